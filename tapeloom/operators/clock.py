@@ -88,7 +88,7 @@ def running_cells(folded: DataFrame) -> DataFrame:
 def previous_tick_grid(folded: DataFrame, units: int) -> DataFrame:
     """Last price at every whole unit of the session; null before the first trade."""
     sessions = folded.select(*KEY).distinct()
-    grid = sessions.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(units))).cast("bigint"))
+    grid = sessions.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(units)).cast("array<bigint>")))
     order = Window.partitionBy(*KEY).orderBy("g")
     filled = grid.join(folded.select(*KEY, "g", "price"), [*KEY, "g"], "left")
     return filled.withColumn("price", F.last("price", ignorenulls=True).over(order))
@@ -97,7 +97,7 @@ def previous_tick_grid(folded: DataFrame, units: int) -> DataFrame:
 def clock_anchors(sessions: DataFrame, spec: ClockSpec) -> DataFrame:
     """Anchors every ``step`` units from a full history to the last full future."""
     grid = F.sequence(F.lit(spec.history), F.lit(spec.session_units - spec.vwap_to), F.lit(spec.step))
-    return sessions.select(*KEY, "split", F.explode(grid).cast("bigint").alias("anchor"))
+    return sessions.select(*KEY, "split", F.explode(grid.cast("array<bigint>")).alias("anchor"))
 
 
 STATE = ("cum_n", "cum_size", "cum_value", "rv", "log_price", "price", "r", "x", "trail_value", "trail_size", "context_x")
@@ -129,12 +129,12 @@ def asof_lookup(anchors: DataFrame, running: DataFrame, offsets: tuple[int, ...]
     return seen.groupBy(*KEY, "split", "anchor").agg(*wide)
 
 
-def _total(name: str, offset: int) -> Column:
+def total(name: str, offset: int) -> Column:
     return F.coalesce(F.col(f"{name}_{tag(offset)}"), F.lit(0))
 
 
-def _moved(name: str, start: int, end: int) -> Column:
-    return _total(name, end) - _total(name, start)
+def moved(name: str, start: int, end: int) -> Column:
+    return total(name, end) - total(name, start)
 
 
 def anchor_steps(spec: ClockSpec, context: int) -> list[tuple[str, Column]]:
@@ -144,10 +144,10 @@ def anchor_steps(spec: ClockSpec, context: int) -> list[tuple[str, Column]]:
             REASONS,
             (
                 F.col("r_p0") >= context,
-                (_total("cum_n", -spec.history) > 0) & (_moved("cum_n", -spec.history, 0) > 0),
+                (total("cum_n", -spec.history) > 0) & (moved("cum_n", -spec.history, 0) > 0),
                 age <= spec.max_age,
-                _moved("rv", -spec.history, 0) > spec.rv_floor,
-                _moved("cum_n", spec.vwap_from, spec.vwap_to) > 0,
+                moved("rv", -spec.history, 0) > spec.rv_floor,
+                moved("cum_n", spec.vwap_from, spec.vwap_to) > 0,
             ),
         )
     )
@@ -155,13 +155,13 @@ def anchor_steps(spec: ClockSpec, context: int) -> list[tuple[str, Column]]:
 
 def clock_targets(spec: ClockSpec) -> dict[str, Column]:
     """Activity ratio, volatility ratio and volatility-scaled VWAP return of the near future."""
-    rv, count = _moved("rv", -spec.history, 0), _moved("cum_n", -spec.history, 0)
+    rv, count = moved("rv", -spec.history, 0), moved("cum_n", -spec.history, 0)
     share = spec.volatility / spec.history
-    future = _moved("cum_value", spec.vwap_from, spec.vwap_to) / _moved("cum_size", spec.vwap_from, spec.vwap_to)
+    future = moved("cum_value", spec.vwap_from, spec.vwap_to) / moved("cum_size", spec.vwap_from, spec.vwap_to)
     past = F.col("trail_value_p0") / F.col("trail_size_p0")
     return {
-        "T1_target": _moved("cum_n", 0, spec.activity) * (spec.history / spec.activity) / count,
-        "T2_target": F.sqrt(F.greatest(F.lit(0.0), _moved("rv", 0, spec.volatility)) / (share * rv)),
+        "T1_target": moved("cum_n", 0, spec.activity) * (spec.history / spec.activity) / count,
+        "T2_target": F.sqrt(F.greatest(F.lit(0.0), moved("rv", 0, spec.volatility)) / (share * rv)),
         "T3_target": F.log(future / past) / F.sqrt(share * rv),
     }
 
@@ -169,12 +169,12 @@ def clock_targets(spec: ClockSpec) -> dict[str, Column]:
 def clock_features(spec: ClockSpec) -> dict[str, Column]:
     """Thirteen features of the past alone, in the order of :data:`FEATURES`."""
     h, (short, long) = spec.history, spec.recent
-    rv, count = _moved("rv", -h, 0), _moved("cum_n", -h, 0)
+    rv, count = moved("rv", -h, 0), moved("cum_n", -h, 0)
     rate = count / h
     floor = F.lit(1.0 / h)
 
     def ratio(width):
-        return F.log((_moved("cum_n", -width, 0) / width + floor) / (rate + floor))
+        return F.log((moved("cum_n", -width, 0) / width + floor) / (rate + floor))
 
     def scaled(width):
         return (F.col("log_price_p0") - F.col(f"log_price_{tag(-width)}")) / F.sqrt(rv * width / h)
@@ -184,9 +184,9 @@ def clock_features(spec: ClockSpec) -> dict[str, Column]:
     share = spec.volatility / spec.history
     columns = (
         F.log1p(rate), ratio(short), ratio(long), F.log(F.sqrt(rv / h)),
-        F.sqrt(F.greatest(F.lit(0.0), _moved("rv", -long, 0)) / (share * rv)),
+        F.sqrt(F.greatest(F.lit(0.0), moved("rv", -long, 0)) / (share * rv)),
         scaled(short), scaled(long), scaled(h),
-        F.log1p(_moved("cum_size", -h, 0) / count),
+        F.log1p(moved("cum_size", -h, 0) / count),
         F.log(F.col("price_p0") / past) / F.sqrt(share * rv),
         F.col("anchor") - F.col("x_p0") / spec.unit_ns, F.sin(turn), F.cos(turn),
     )
@@ -210,9 +210,9 @@ def clock_examples(marked: DataFrame, spec: ClockSpec) -> DataFrame:
         "last_code_index": F.col("r_p0") - 1,
         "last_trade": F.col("x_p0") / spec.unit_ns,
         "future_end": F.col("anchor") + spec.vwap_to,
-        "past_trade_count": _moved("cum_n", -spec.history, 0),
-        "future_activity_count": _moved("cum_n", 0, spec.activity),
-        "future_vwap_count": _moved("cum_n", spec.vwap_from, spec.vwap_to),
+        "past_trade_count": moved("cum_n", -spec.history, 0),
+        "future_activity_count": moved("cum_n", 0, spec.activity),
+        "future_vwap_count": moved("cum_n", spec.vwap_from, spec.vwap_to),
         "context_span": (F.col("x_p0") - F.col("context_x_p0")) / spec.unit_ns,
         "older_trade_index": F.col(f"r_{tag(-spec.older_lag)}"),
     }
@@ -274,14 +274,15 @@ def older_windows(examples: DataFrame, trades: DataFrame, spec: ClockSpec, clean
     asked = points.select("*", F.inline(ends))
     times = elapsed(trades, clean).select(*KEY, "r", F.col("x").alias("at"))
     found = asked.join(times, [*KEY, "r"], "left")
-    at = {role: F.max(F.when(F.col("role") == role, F.col("at"))) / spec.unit_ns for role in ("end", "start")}
+    at = {role: F.max(F.when(F.col("role") == role, F.col("at"))) for role in ("end", "start")}
     grouped = found.groupBy("split", *KEY, "anchor", "policy", "current_r", "older_r", "usable").agg(
-        at["end"].alias("older_endpoint"), at["start"].alias("older_start")
+        at["end"].alias("older_endpoint_ns"), at["start"].alias("older_start_ns")
     )
+    now = F.col("anchor") * F.lit(spec.unit_ns)
     return grouped.select(
-        "split", *KEY, "anchor", "policy", "current_r", "older_r", "usable", "older_endpoint",
-        (F.col("anchor") - F.col("older_endpoint")).alias("endpoint_age"),
-        (F.col("anchor") - F.col("older_start")).alias("total_span"),
+        "split", *KEY, "anchor", "policy", "current_r", "older_r", "usable", "older_endpoint_ns",
+        (now - F.col("older_endpoint_ns")).alias("endpoint_age_ns"),
+        (now - F.col("older_start_ns")).alias("total_span_ns"),
         F.greatest(F.lit(0), context - (F.col("current_r") - F.col("older_r"))).alias("overlap_events"),
     )
 

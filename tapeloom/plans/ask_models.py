@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import KEY
 from ..operators import markov, metrics, windows
 from ..operators.ordering import framed, positions
-from ..runtime import land
 from .prepare import Prepared
 from .questions import question
 
@@ -26,32 +25,16 @@ def located(p: Prepared) -> DataFrame:
     return windows.locate(windows.evaluation_subset(totals(p), EVALUATED), p.counts)
 
 
-class _ByIdentity:
-    """Landed tables of one prepared tape, made on first use."""
-
-    def __init__(self):
-        self.made: dict[tuple[int, str], DataFrame] = {}
-
-    def __call__(self, p: Prepared, name: str, make) -> DataFrame:
-        key = (id(p), name)
-        if key not in self.made:
-            self.made[key] = land(make(p), name)
-        return self.made[key]
-
-
-landed = _ByIdentity()
-
-
 def pairs(p: Prepared) -> DataFrame:
-    return landed(p, "pairs", lambda p: markov.evaluation_pairs(located(p), p.coded, p.context))
+    return p.landed("pairs", lambda p: markov.evaluation_pairs(located(p), p.coded, p.context))
 
 
 def counts(p: Prepared) -> DataFrame:
-    return landed(p, "transitions", lambda p: markov.transition_counts(p.coded.where("split = 'train'"), p.context))
+    return p.landed("transitions", lambda p: markov.transition_counts(p.coded.where("split = 'train'"), p.context))
 
 
 def frequency(p: Prepared) -> DataFrame:
-    return landed(p, "frequency", lambda p: markov.fit_frequency(p.coded.where("split = 'train'"), p.vocab, p.context))
+    return p.landed("frequency", lambda p: markov.fit_frequency(p.coded.where("split = 'train'"), p.vocab, p.context))
 
 
 def stream(p: Prepared) -> DataFrame:
@@ -59,7 +42,7 @@ def stream(p: Prepared) -> DataFrame:
 
 
 def stream_at(p: Prepared) -> DataFrame:
-    return landed(p, "stream", lambda p: windows.locate(stream(p), p.counts))
+    return p.landed("stream", lambda p: windows.locate(stream(p), p.counts))
 
 
 def strength(p: Prepared) -> float:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,17 @@ class Prepared:
     split_spec: SplitSpec
     token_spec: TokenSpec
     clock_spec: ClockSpec
+    made: dict = field(default_factory=dict, repr=False)
+
+    def once(self, name: str, make: Callable):
+        """A result of this tape that several questions share, made on first use."""
+        if name not in self.made:
+            self.made[name] = make(self)
+        return self.made[name]
+
+    def landed(self, name: str, make: Callable[[Prepared], DataFrame]) -> DataFrame:
+        """The same for a table, which is landed in the shared folder."""
+        return self.once(name, lambda p: land(make(p), name))
 
     @property
     def spark(self) -> SparkSession:
