@@ -98,12 +98,6 @@ class ClockSpec:
     rv_floor: float = 1e-16
     older_lag: int = 20
 
-    @property
-    def offsets(self) -> tuple[int, ...]:
-        back = {-self.history, -self.older_lag, *(-width for width in self.recent), 0}
-        ahead = {self.activity, self.volatility, self.vwap_from, self.vwap_to}
-        return tuple(sorted(back | ahead))
-
 
 def settings(*specs) -> dict:
     return {type(spec).__name__: dataclasses.asdict(spec) for spec in specs}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import KEY, CleanSpec, ClockSpec, clock_seconds
 from ..functions.times import session_open_ns
 from .clean import first_failure
-from .ordering import framed
+from .ordering import exact_quantiles, framed, spread
 from .tokens import bin_of
 
 TASKS = ("T1", "T2", "T3")
@@ -100,31 +100,36 @@ def clock_anchors(sessions: DataFrame, spec: ClockSpec) -> DataFrame:
     return sessions.select(*KEY, "split", F.explode(grid.cast("array<bigint>")).alias("anchor"))
 
 
-STATE = ("cum_n", "cum_size", "cum_value", "rv", "log_price", "price", "r", "x", "trail_value", "trail_size", "context_x")
+def needed(spec: ClockSpec) -> dict[str, tuple[int, ...]]:
+    """Which running total is looked up at which offset from the anchor."""
+    h, (short, long) = -spec.history, (-width for width in spec.recent)
+    return {
+        "cum_n": (h, long, short, 0, spec.activity, spec.vwap_from, spec.vwap_to),
+        "cum_size": (h, 0, spec.vwap_from, spec.vwap_to),
+        "cum_value": (spec.vwap_from, spec.vwap_to),
+        "rv": (h, long, 0, spec.volatility),
+        "log_price": (h, long, short, 0),
+        "r": (-spec.older_lag, 0),
+        **{name: (0,) for name in ("price", "x", "trail_value", "trail_size", "context_x")},
+    }
 
 
-def asof_lookup(anchors: DataFrame, running: DataFrame, offsets: tuple[int, ...]) -> DataFrame:
-    """Every running total as of ``anchor + offset``, one column ``<name>_<offset>`` each.
+def asof_lookup(anchors: DataFrame, running: DataFrame, wanted: dict[str, tuple[int, ...]]) -> DataFrame:
+    """Running totals as of ``anchor + offset``, one column ``<name>_<offset>`` for each that is wanted.
 
     One sort per session over at most its units plus its probes: cells and probes are stacked and the
     latest state is carried forward, probes after the cell of the same time.
     """
-    names = [c for c in STATE if c in running.columns]
+    offsets = sorted({o for each in wanted.values() for o in each})
+    state = F.struct(*wanted)
     probes = anchors.select(*KEY, "split", "anchor", F.explode(F.array(*[F.lit(o) for o in offsets])).alias("offset"))
-    kind = ", ".join(f"{c}: {running.schema[c].dataType.simpleString()}" for c in names)
-    stacked = running.select(
-        *KEY, "g", F.lit(0).alias("probe"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("bigint").alias("anchor"), F.lit(None).cast("int").alias("offset"),
-        F.struct(*names).alias("state"),
-    ).unionByName(
-        probes.select(
-            *KEY, (F.col("anchor") + F.col("offset")).alias("g"), F.lit(1).alias("probe"), "split", "anchor", "offset",
-            F.lit(None).cast(f"struct<{kind.replace(': ', ':')}>").alias("state"),
-        )
-    )
+    held = running.select(*KEY, "g", F.lit(0).alias("probe"), state.alias("state"))
+    asked = probes.withColumns({"g": F.col("anchor") + F.col("offset"), "probe": F.lit(1)})
     order = Window.partitionBy(*KEY).orderBy("g", "probe")
+    stacked = held.unionByName(asked, allowMissingColumns=True)
     seen = stacked.withColumn("state", F.last("state", ignorenulls=True).over(order)).where("probe = 1")
     wide = [
-        F.max(F.when(F.col("offset") == o, F.col(f"state.{c}"))).alias(f"{c}_{tag(o)}") for o in offsets for c in names
+        F.max(F.when(F.col("offset") == o, F.col(f"state.{name}"))).alias(f"{name}_{tag(o)}") for name, at in wanted.items() for o in at
     ]
     return seen.groupBy(*KEY, "split", "anchor").agg(*wide)
 
@@ -199,7 +204,7 @@ def marked_anchors(
     """Every candidate anchor with its boundary states and the first reason to exclude it, if any."""
     followed = trailing(elapsed(trades, clean).select(*KEY, "r", "x", "price", "size"), spec.trail, context)
     states = running_cells(cells(followed, spec.unit_ns))
-    looked = asof_lookup(clock_anchors(sessions, spec), states, spec.offsets)
+    looked = asof_lookup(clock_anchors(sessions, spec), states, needed(spec))
     return looked.withColumn("first_fail", first_failure(anchor_steps(spec, context)))
 
 
@@ -232,8 +237,6 @@ def exclusion_counts(marked: DataFrame) -> DataFrame:
 
 def fit_thresholds(examples: DataFrame) -> dict[str, tuple[float, float]]:
     """Tertiles of each target on training anchors; equal tertiles are an error."""
-    from .ordering import exact_quantiles
-
     train = examples.where("split = 'train'")
     found = exact_quantiles(train, {f"{task}_target": [1 / 3, 2 / 3] for task in TASKS})
     thresholds = {task: tuple(found[f"{task}_target"]) for task in TASKS}
@@ -292,20 +295,20 @@ def require_older(windows: DataFrame) -> None:
         raise ValueError("An older window lacks past context or is not strictly older")
 
 
-def audit_volatility(examples: DataFrame, trades: DataFrame, spec: ClockSpec, clean: CleanSpec, salts: int = 32) -> DataFrame:
+def audit_volatility(examples: DataFrame, trades: DataFrame, spec: ClockSpec, clean: CleanSpec) -> DataFrame:
     """Recompute the volatility target of each session's first, middle and last kept anchor from trades alone.
 
     A different route on purpose: a range join of trades to the anchors they precede, folded at once to
-    each anchor's own grid. A trade meets at most three anchors, and salts share out a busy session.
+    each anchor's own grid. A trade meets at most three anchors, and the join goes chunk by chunk.
     """
     order = Window.partitionBy(*KEY).orderBy("anchor")
     ranked = examples.select(*KEY, "anchor", "T2_target").withColumns(
         {"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*KEY))}
     )
     picked = ranked.where(F.col("_i").isin(0) | (F.col("_i") == F.floor(F.col("_n") / 2)) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
-    spread = picked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    timed = elapsed(trades, clean).select(*KEY, "r", "x", "price", (F.floor(F.col("r") / 4096) % salts).cast("int").alias("_salt"))
-    met = timed.join(spread, [*KEY, "_salt"]).where(F.col("x") <= (F.col("anchor") + spec.volatility) * F.lit(spec.unit_ns))
+    sizes = trades.groupBy(*KEY).agg((F.max("r") + 1).alias("rows"))
+    timed = elapsed(trades, clean).select(*KEY, "r", "x", "price")
+    met = spread(timed, picked, KEY, "r", sizes).where(F.col("x") <= (F.col("anchor") + spec.volatility) * F.lit(spec.unit_ns))
     point = F.greatest(F.ceil(F.col("x") / spec.unit_ns), F.col("anchor") - spec.history)
     last = met.groupBy(*KEY, "anchor", "T2_target", point.alias("g")).agg(F.max_by("price", "r").alias("price"))
     steps = Window.partitionBy(*KEY, "anchor").orderBy("g")

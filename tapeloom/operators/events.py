@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import KEY, SPLITS, SplitSpec
 from .clean import calendar
-from .ordering import framed, positions, running_totals
+from .ordering import framed, positions, running_totals, spread
 
 FEATURES = ("f0", "f1", "f2")
 
@@ -62,18 +62,26 @@ def all_sessions(trades: DataFrame) -> DataFrame:
 
 
 def session_table(trades: DataFrame, context: int) -> DataFrame:
-    """Usable sessions with dense ids in (symbol, date) order and their order ``k`` inside the split."""
-    usable = all_sessions(trades).where(F.col("events") > context)
-    numbered = positions(usable, [], list(KEY), "sid")
-    # A split holds one row per session; the symbol totals come first, so no window sees a whole split.
-    per_symbol = numbered.groupBy("split", "symbol").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("split").orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_symbol.select("split", "symbol", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("split", "symbol").orderBy("date")) - 1
+    """Usable sessions with dense ids ``sid`` in (symbol, date) order and their order ``k`` inside the split."""
+    usable = all_sessions(trades).where(F.col("events") > context).withColumn("_one", F.lit(1))
+    ranked = running_by_symbol(running_by_symbol(usable, "_one", "k"), "_one", "sid", groups=())
+    return ranked.select("sid", *KEY, "split", "events", "k")
+
+
+def running_by_symbol(sessions: DataFrame, amount: str, name: str, groups: tuple[str, ...] = ("split",)) -> DataFrame:
+    """Exclusive running sum over sessions in (symbol, date) order, within ``groups``.
+
+    Totals per symbol come first: no window sees more than one symbol's dates or one row per symbol.
+    """
+    totals = sessions.groupBy(*groups, "symbol").agg(F.sum(amount).alias("_t"))
+    earlier = Window.partitionBy(*groups).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*groups, "symbol", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*groups, "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        numbered.withColumn("_k", inside)
-        .join(base, ["split", "symbol"])
-        .select("sid", *KEY, "split", "events", (F.col("_base") + F.col("_k")).alias("k"))
+        sessions.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+        .join(base, [*groups, "symbol"])
+        .withColumn(name, F.col("_base") + F.col("_in"))
+        .drop("_base", "_in")
     )
 
 
@@ -132,13 +140,8 @@ def recover_ns(events: DataFrame, anchors: DataFrame) -> DataFrame:
     offsets = implied.groupBy(*KEY).agg(
         F.min("_offset").alias("_low"), (F.min("_offset") == F.max("_offset")).alias("agree")
     )
-    return spread(at, offsets).select(*KEY, "r", (F.col("_sum") + F.col("_low")).alias("ts_ns"), "agree")
-
-
-def spread(big: DataFrame, per_session: DataFrame, row: str = "r", salts: int = 32) -> DataFrame:
-    """Join one row per session to all its rows. Salted, so a busy session is shared by many tasks."""
-    salted = per_session.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", (F.floor(F.col(row) / 4096) % salts).cast("int")).join(salted, [*KEY, "_salt"]).drop("_salt")
+    sizes = events.groupBy(*KEY).agg((F.max("e") + 2).alias("rows"))
+    return spread(at, offsets, KEY, "r", sizes).select(*KEY, "r", (F.col("_sum") + F.col("_low")).alias("ts_ns"), "agree")
 
 
 def require_same_offsets(recovered: DataFrame) -> None:

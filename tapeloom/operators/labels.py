@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEY
-from .ordering import framed, positions
+from .events import running_by_symbol
+from .ordering import framed, positions, spread
 from .windows import evaluation_subset
 
 
@@ -86,19 +87,15 @@ def event_examples(
 
 def example_totals(sessions: DataFrame, context: int, horizon: int) -> DataFrame:
     """Anchors per session by arithmetic, and their exclusive running sum within the split as ``first``."""
-    from .windows import running_by_symbol
-
     counted = sessions.withColumn("anchors", F.floor(F.col("events") / (context + horizon)).cast("bigint"))
     return running_by_symbol(counted, "anchors", "first")
 
 
 def index_examples(examples: DataFrame, totals: DataFrame) -> DataFrame:
     """Dense ``example_index`` per split in (symbol, date, anchor) order, without ordering the examples."""
-    from .events import spread
-
-    return spread(examples, totals.select(*KEY, "first"), "ordinal").withColumn(
-        "example_index", F.col("first") + F.col("ordinal")
-    ).drop("first")
+    sizes = totals.where("anchors > 0").select(*KEY, F.col("anchors").alias("rows"))
+    joined = spread(examples, totals.select(*KEY, "first"), KEY, "ordinal", sizes)
+    return joined.withColumn("example_index", F.col("first") + F.col("ordinal")).drop("first")
 
 
 def cap_examples(indexed: DataFrame, totals: DataFrame, maximum: int) -> DataFrame:

@@ -31,7 +31,7 @@ def fit_frequency(train: DataFrame, vocab: int, context: int, stride: int = 1, s
 
 def smoothed(counts: DataFrame, vocab: int, smoothing: float = 1.0) -> DataFrame:
     tokens = counts.sparkSession.range(vocab).select(F.col("id").cast("int").alias("token"))
-    full = tokens.join(F.broadcast(counts), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    full = tokens.join(bounded(counts, vocab), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = full.agg(F.sum("n").alias("_total"))
     return full.join(F.broadcast(total)).select(
         "token", "n", ((F.col("n") + smoothing) / (F.col("_total") + smoothing * vocab)).alias("p")

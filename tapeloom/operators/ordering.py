@@ -48,15 +48,15 @@ def positions(
 
 
 def with_chunks(
-    df: DataFrame, keys: Sequence[str], pos: str, before: int = 0, after: int = 0, rows: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], pos: str, before: int = 0, after: int = 0
 ) -> tuple[DataFrame, Window]:
     """Copy each row to its chunk and to the neighbours that may look at it.
 
     Returns the copies with ``_own`` (true on the row's own chunk) and the window that orders one
     chunk. A frame of at most ``before`` rows back and ``after`` rows ahead is exact on own rows.
     """
-    if max(before, after) > rows:
-        raise ValueError("A frame cannot reach past the neighbouring chunk")
+    # A frame must not reach past the neighbouring chunk.
+    rows = max(CHUNK_ROWS, before, after)
     home = F.floor(F.col(pos) / rows)
     offset = F.col(pos) % rows
     homes = [home]
@@ -70,18 +70,18 @@ def with_chunks(
 
 
 def framed(
-    df: DataFrame, keys: Sequence[str], pos: str, columns, before: int = 0, after: int = 0, rows: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], pos: str, columns, before: int = 0, after: int = 0
 ) -> DataFrame:
     """Add window columns: ``columns`` maps the chunk's ordered window to ``{name: column}``."""
-    copies, window = with_chunks(df, keys, pos, before, after, rows)
+    copies, window = with_chunks(df, keys, pos, before, after)
     return copies.withColumns(columns(window)).where("_own").drop("_chunk", "_own")
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], pos: str, sums: dict[str, Column], rows: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], pos: str, sums: dict[str, Column]
 ) -> DataFrame:
     """Inclusive running sums from the start of the session: chunk totals first, then rows within a chunk."""
-    copies, window = with_chunks(df.withColumns({f"_add_{k}": v for k, v in sums.items()}), keys, pos, rows=rows)
+    copies, window = with_chunks(df.withColumns({f"_add_{k}": v for k, v in sums.items()}), keys, pos)
     per_chunk = copies.groupBy(*keys, "_chunk").agg(*[F.sum(f"_add_{k}").alias(f"_all_{k}") for k in sums])
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select(
@@ -95,6 +95,17 @@ def running_totals(
     )
 
 
+def spread(big: DataFrame, per_key: DataFrame, keys: Sequence[str], pos: str, sizes: DataFrame) -> DataFrame:
+    """Join one row, or a few, per key to all rows of the key, chunk by chunk.
+
+    A join on the key alone would send a busy key to one task. ``sizes`` holds the key and ``rows``,
+    one more than its largest ``pos``; each row of ``per_key`` is repeated once per chunk, not per row.
+    """
+    last = F.floor((F.col("rows") - 1) / CHUNK_ROWS)
+    repeated = per_key.join(sizes.select(*keys, "rows"), list(keys)).withColumn("_chunk", F.explode(F.sequence(F.lit(0), last)))
+    return big.withColumn("_chunk", F.floor(F.col(pos) / CHUNK_ROWS)).join(repeated.drop("rows"), [*keys, "_chunk"]).drop("_chunk")
+
+
 def order_statistics(
     df: DataFrame, ranks: dict[str, Sequence[int]], counts: dict[str, int], gather: int = 100_000, accuracy: int = 10_000
 ) -> dict[tuple[str, int], float]:

@@ -129,7 +129,10 @@ def subset_counts(subset: DataFrame, ident: Sequence[str], label: str = "label")
 
 
 def budget_subsets(train: DataFrame, ident: Sequence[str], seeds: Sequence[int], budgets: Sequence[int]) -> DataFrame:
-    """(seed, budget, ident): each budget takes a prefix of the seed's one ranking."""
+    """(seed, budget, ident): each budget takes a prefix of the seed's one ranking, and too large a one is an error."""
+    largest = max(budgets)
+    if train.limit(largest).count() < largest:
+        raise ValueError(f"Fewer than {largest} training examples")
     ranked = nested_subsets(train, ident, seeds, budgets)
     each = ranked.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets])))
     return each.where(F.col("rank") <= F.col("budget"))
@@ -141,26 +144,33 @@ def probe_grid(
     ident: Sequence[str],
     tasks: dict[str, str],
     seeds: Sequence[int],
-    budgets: Sequence[int],
+    budgets: Sequence[int | str],
     grid: Sequence[float],
 ) -> DataFrame:
     """Metrics of task x seed x budget x method x split, ``frequency`` being the class prior.
 
+    A budget is a number of training labels, or ``all`` of them.
+
     ``methods`` maps a name to its feature array; ``tasks`` maps a name to its label column. The rows
     are cached once, as each fit reads them several times.
     """
     spark = examples.sparkSession
     columns = [*ident, *[c for c in ("split",) if c not in ident]]
     base = examples.select(*columns, *tasks.values(), *[x.alias(f"x_{m}") for m, x in methods.items()]).persist()
-    subsets = budget_subsets(base.where("split = 'train'"), ident, seeds, budgets).select(*ident, "seed", "budget").persist()
+    whole = base.where("split = 'train'")
+    numbers = [b for b in budgets if b != "all"]
+    subsets = budget_subsets(whole, ident, seeds, numbers).select(*ident, "seed", "budget").persist() if numbers else None
     out = None
     try:
         for task, label in tasks.items():
             for seed in seeds:
                 for budget in budgets:
-                    chosen = subsets.where((F.col("seed") == seed) & (F.col("budget") == budget)).select(*ident)
-                    train = base.join(chosen, list(ident), "left_semi").persist()
-                    # ``train`` holds at most ``budget`` rows.
+                    train = whole
+                    if budget != "all":
+                        chosen = subsets.where((F.col("seed") == seed) & (F.col("budget") == budget)).select(*ident)
+                        train = whole.join(chosen, list(ident), "left_semi")
+                    train = train.persist()
+                    # A prior is one row.
                     prior = F.broadcast(class_prior(train, label=label))
                     scored = {"frequency": (base.where("split <> 'train'").select(*columns, label).join(prior), None)}
                     for method in methods:
@@ -169,7 +179,7 @@ def probe_grid(
                         scored[method] = (predict_probe(view(base.where("split <> 'train'")), probe), probe.strength)
                     for method, (pred, strength) in scored.items():
                         part = class_metrics(pred, ["split"], label).select(
-                            F.lit(task).alias("task"), F.lit(method).alias("method"), F.lit(budget).cast("bigint").alias("budget"),
+                            F.lit(task).alias("task"), F.lit(method).alias("method"), F.lit(str(budget)).alias("budget"),
                             F.lit(seed).cast("bigint").alias("seed"), "split", F.lit(strength).cast("double").alias("strength"),
                             "examples", "nll", "balanced_accuracy", "macro_f1", "brier",
                         )
@@ -179,7 +189,8 @@ def probe_grid(
                     train.unpersist()
     finally:
         base.unpersist()
-        subsets.unpersist()
+        if subsets is not None:
+            subsets.unpersist()
     return out
 
 

@@ -78,15 +78,16 @@ def fit_bins(train: DataFrame, bins: int, method: str = "rank") -> Binner:
     summary = training_summary(train)
     n = summary["n"]
     edges = fit_edges(train, bins, method, summary)
-    held = train.agg(
-        *[F.count_if(bin_of(F.col(f), edges[i]) == b).alias(f"n{i}_{b}") for i, f in enumerate(FEATURES) for b in range(bins)]
+    reached = train.agg(
+        *[F.count_if(F.col(f) >= F.lit(float(edge))).alias(f"n{i}_{k}") for i, f in enumerate(FEATURES) for k, edge in enumerate(edges[i])]
     ).first()
     # A bin holds one run of sorted values, so its median is an order statistic of the whole field.
     middles, empties = {}, {}
     for i, f in enumerate(FEATURES):
+        upper = [n, *[reached[f"n{i}_{k}"] for k in range(bins - 1)], 0]
         start = 0
         for b in range(bins):
-            size = held[f"n{i}_{b}"]
+            size = upper[b] - upper[b + 1]
             if size:
                 middles[i, b] = (start + (size - 1) // 2, start + size // 2)
             else:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import KEY
 from ..functions.columns import draw
-from .ordering import CHUNK_ROWS, framed
+from .events import running_by_symbol
+from .ordering import framed
 
 
 def window_counts(sessions: DataFrame, context: int, stride: int = 1) -> DataFrame:
@@ -19,20 +20,6 @@ def window_counts(sessions: DataFrame, context: int, stride: int = 1) -> DataFra
     return running_by_symbol(counted, "windows", "first").withColumn("last", F.col("first") + F.col("windows"))
 
 
-def running_by_symbol(sessions: DataFrame, amount: str, name: str) -> DataFrame:
-    """Exclusive running sum over a split's sessions in (symbol, date) order, by way of symbol totals."""
-    totals = sessions.groupBy("split", "symbol").agg(F.sum(amount).alias("_t"))
-    earlier = Window.partitionBy("split").orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("split", "symbol", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("split", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sessions.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(base, ["split", "symbol"])
-        .withColumn(name, F.col("_base") + F.col("_in"))
-        .drop("_base", "_in")
-    )
-
-
 def windows(coded: DataFrame, context: int, stride: int = 1, value: str = "token") -> DataFrame:
     """Every window of ``context + 1`` consecutive events of one session, as (key, start, tokens).
 
@@ -52,21 +39,25 @@ def windows(coded: DataFrame, context: int, stride: int = 1, value: str = "token
     wanted = (F.col("e") >= context) & ((F.col("e") - context) % stride == 0)
     full = framed(
         coded.select(*KEY, "split", "e", value), KEY, "e",
-        lambda w: {"tokens": F.collect_list(value).over(w.rowsBetween(-context, 0))}, before=context, rows=max(CHUNK_ROWS, context),
+        lambda w: {"tokens": F.collect_list(value).over(w.rowsBetween(-context, 0))}, before=context,
     )
     return full.where(wanted).select(*KEY, "split", (F.col("e") - context).alias("start"), "tokens")
 
 
-def locate(indices: DataFrame, counts: DataFrame, stride: int = 1, width: int = 4096) -> DataFrame:
+def locate(indices: DataFrame, counts: DataFrame, stride: int = 1, blocks: int = 1_000_000) -> DataFrame:
     """Place global window numbers (``split``, ``window_index``) in their sessions: adds key and ``start``.
 
-    A range join made equi: a session is listed under each block of ``width`` numbers it touches.
+    A range join made equi: a session is listed under each block of numbers it touches, with about
+    ``blocks`` blocks in all whatever the number of windows.
     """
-    blocks = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("last") - 1) / width)))
-    ranges = counts.where("windows > 0").select(*KEY, "split", "first", "last", blocks.alias("_block"))
-    placed = indices.withColumn("_block", F.floor(F.col("window_index") / width)).join(ranges, ["split", "_block"])
+    width = counts.agg(F.greatest(F.lit(4096), F.ceil(F.max("last") / blocks)).alias("_width"))
+    sized = counts.where("windows > 0").join(F.broadcast(width))
+    touched = F.explode(F.sequence(F.floor(F.col("first") / F.col("_width")), F.floor((F.col("last") - 1) / F.col("_width"))))
+    ranges = sized.select(*KEY, "split", "first", "last", touched.alias("_block"))
+    asked = indices.join(F.broadcast(width)).withColumn("_block", F.floor(F.col("window_index") / F.col("_width"))).drop("_width")
     inside = (F.col("window_index") >= F.col("first")) & (F.col("window_index") < F.col("last"))
-    return placed.where(inside).withColumn("start", (F.col("window_index") - F.col("first")) * stride).drop("first", "last", "_block")
+    placed = asked.join(ranges, ["split", "_block"]).where(inside)
+    return placed.withColumn("start", (F.col("window_index") - F.col("first")) * stride).drop("first", "last", "_block")
 
 
 def even_index(k: Column, n: Column, m: Column) -> Column:

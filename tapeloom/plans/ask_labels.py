@@ -63,7 +63,8 @@ def capped_examples(p: Prepared):
 
 @question("symbol date anchor:i tokens", "SELECT h.symbol, h.date, h.e AS anchor, h.tokens FROM history h JOIN ex ON ex.symbol = h.symbol AND ex.date = h.date AND ex.anchor = h.e")
 def context_codes(p: Prepared):
-    return p.examples.select(*KEY, "anchor", F.array_join("tokens", ",").alias("tokens"))
+    found = labels.event_examples(p.coded, p.context, HORIZON, BAND, tokens="token")
+    return found.select(*KEY, "anchor", F.array_join("tokens", ",").alias("tokens"))
 
 
 @question("symbol date split anchor:i", "SELECT * FROM anchor", clock=True)
@@ -113,9 +114,9 @@ def boundary_lookup(p: Prepared):
 
 
 @question(
-    "symbol date anchor:i past_count:i activity_count:i past_vwap:r future_vwap:r",
-    """SELECT symbol, date, anchor, n0 - n_m300 AS past_count, n10 - n0 AS activity_count, tv0 / ts0 AS past_vwap,
-         CASE WHEN s35 > s25 THEN (v35 - v25) / (s35 - s25) END AS future_vwap FROM amark WHERE r0 >= 12""",
+    "symbol date anchor:i past_count:i activity_count:i log_past_vwap:r log_future_vwap:r",
+    """SELECT symbol, date, anchor, n0 - n_m300 AS past_count, n10 - n0 AS activity_count, ln(tv0 / ts0) AS log_past_vwap,
+         CASE WHEN s35 > s25 THEN ln((v35 - v25) / (s35 - s25)) END AS log_future_vwap FROM amark WHERE r0 >= 12""",
     clock=True,
 )
 def interval_vwaps(p: Prepared):
@@ -124,7 +125,7 @@ def interval_vwaps(p: Prepared):
     size = moved("cum_size", 25, 35)
     return p.anchors.where("r_p0 >= 12").select(
         *KEY, "anchor", moved("cum_n", -300, 0).alias("past_count"), moved("cum_n", 0, 10).alias("activity_count"),
-        (F.col("trail_value_p0") / F.col("trail_size_p0")).alias("past_vwap"), F.when(size > 0, moved("cum_value", 25, 35) / size).alias("future_vwap"),
+        F.log(F.col("trail_value_p0") / F.col("trail_size_p0")).alias("log_past_vwap"), F.when(size > 0, F.log(moved("cum_value", 25, 35) / size)).alias("log_future_vwap"),
     )
 
 

@@ -53,7 +53,8 @@ class Prepared:
 
     @cached_property
     def kept(self) -> DataFrame:
-        return clean.retained(self.marked)
+        """Kept prints, landed so that ordering them does not parse the raw tape twice."""
+        return land(clean.retained(self.marked), "kept")
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -85,8 +86,8 @@ class Prepared:
 
     @cached_property
     def examples(self) -> DataFrame:
-        """Event-time examples of all splits with their dense index and context tokens."""
-        found = labels.event_examples(self.coded, self.context, HORIZON, BAND, tokens="token")
+        """Event-time examples of all splits with their dense index."""
+        found = labels.event_examples(self.events, self.context, HORIZON, BAND)
         totals = labels.example_totals(self.sessions, self.context, HORIZON)
         return land(labels.index_examples(found, totals), "examples")
 
