@@ -12,8 +12,8 @@ UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z")
 
 
 def iso_parts(text: Column) -> Column:
-    """``date time|fraction|zone`` by one regular expression; text that is not ISO has no ``|`` afterwards."""
-    return F.regexp_replace(F.trim(text.cast("string")), ISO, "$1-$2-$3$4|$5|$6")
+    """``date time|fraction|zone`` by one regular expression; text that is not ISO stays as it is."""
+    return F.regexp_replace(text, ISO, "$1-$2-$3$4|$5|$6")
 
 
 def part(parts: Column, n: int) -> Column:

@@ -66,14 +66,15 @@ def check_timestamp_type(df: DataFrame, spec: CleanSpec) -> None:
 def with_time_parts(df: DataFrame, spec: CleanSpec) -> DataFrame:
     """Add ``_clock``, ``_fraction`` and ``_zone`` texts, from one timestamp column or from date and time."""
     if spec.timestamp_column in df.columns:
-        text = F.col(spec.timestamp_column).cast("string")
+        text = F.trim(F.col(spec.timestamp_column).cast("string"))
     else:
         text = F.concat_ws(" ", F.trim(F.col(spec.date_column).cast("string")), F.trim(F.col(spec.time_column).cast("string")))
     return (
-        df.withColumn("_parts", iso_parts(text))
+        df.withColumn("_text", text)
+        .withColumn("_parts", iso_parts(F.col("_text")))
+        .withColumn("_parts", F.when(F.col("_parts") != F.col("_text"), F.col("_parts")))
         .withColumns({name: part(F.col("_parts"), i) for i, name in enumerate(("_clock", "_fraction", "_zone"), 1)})
-        .withColumn("_clock", F.when(F.col("_parts").contains("|"), F.col("_clock")))
-        .drop("_parts")
+        .drop("_text", "_parts")
     )
 
 
