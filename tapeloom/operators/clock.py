@@ -281,7 +281,7 @@ def older_windows(examples: DataFrame, trades: DataFrame, spec: ClockSpec, clean
     grouped = found.groupBy("split", *KEY, "anchor", "policy", "current_r", "older_r", "usable").agg(
         at["end"].alias("older_endpoint_ns"), at["start"].alias("older_start_ns")
     )
-    now = F.col("anchor") * F.lit(spec.unit_ns)
+    now = F.col("anchor") * F.lit(spec.unit_ns).cast("bigint")
     return grouped.select(
         "split", *KEY, "anchor", "policy", "current_r", "older_r", "usable", "older_endpoint_ns",
         (now - F.col("older_endpoint_ns")).alias("endpoint_age_ns"),
@@ -308,7 +308,7 @@ def audit_volatility(examples: DataFrame, trades: DataFrame, spec: ClockSpec, cl
     picked = ranked.where(F.col("_i").isin(0) | (F.col("_i") == F.floor(F.col("_n") / 2)) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
     sizes = trades.groupBy(*KEY).agg((F.max("r") + 1).alias("rows"))
     timed = elapsed(trades, clean).select(*KEY, "r", "x", "price")
-    met = spread(timed, picked, KEY, "r", sizes).where(F.col("x") <= (F.col("anchor") + spec.volatility) * F.lit(spec.unit_ns))
+    met = spread(timed, picked, KEY, "r", sizes).where(F.col("x") <= (F.col("anchor") + spec.volatility) * F.lit(spec.unit_ns).cast("bigint"))
     point = F.greatest(F.ceil(F.col("x") / spec.unit_ns), F.col("anchor") - spec.history)
     last = met.groupBy(*KEY, "anchor", "T2_target", point.alias("g")).agg(F.max_by("price", "r").alias("price"))
     steps = Window.partitionBy(*KEY, "anchor").orderBy("g")
@@ -339,7 +339,7 @@ def causality_check(
     ``factor`` multiplies the price of each later trade. Anchors are matched, not their exclusion, as
     only the future part of the waterfall may depend on later trades.
     """
-    late = F.col("x") > F.lit(t0) * F.lit(spec.unit_ns)
+    late = F.col("x") > F.lit(t0 * spec.unit_ns)
     timed = elapsed(trades, clean)
     changed = timed.withColumn("price", F.when(late, F.col("price") * factor).otherwise(F.col("price"))).drop("x")
 

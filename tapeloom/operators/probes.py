@@ -110,7 +110,7 @@ def select_probe(train: DataFrame, val: DataFrame, grid: Sequence[float], label:
         return probe, class_metrics(predict_probe(val, probe), [], label).first().nll
 
     with ThreadPoolExecutor(max_workers=len(grid)) as pool:
-        fits = list(pool.map(inheritable_thread_target(one), grid))
+        fits = list(pool.map(inheritable_thread_target(train.sparkSession)(one), grid))
     best = min(range(len(grid)), key=lambda i: (fits[i][1], i))
     candidates = [
         {"strength": float(s), "val_nll": loss, "iterations": probe.iterations, "selected": i == best}
