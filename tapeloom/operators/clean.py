@@ -230,7 +230,8 @@ def audit_partials(marked: DataFrame) -> DataFrame:
     ]
     entries += [entry(f"{k}_counts", F.col(k)) for k in ("correction", "condition") if k in marked.columns]
     return (
-        marked.select(F.inline(F.array_compact(F.array(*entries))))
+        marked.select(F.inline(F.array(*entries)))
+        .where(F.col("section").isNotNull())
         .groupBy("section", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -66,23 +66,32 @@ def cells(trades: DataFrame, unit_ns: int) -> DataFrame:
     )
 
 
-def running_cells(folded: DataFrame) -> DataFrame:
-    """Running trade count, size, value and realised variance, as of each cell's end.
+CARRIED = ("log_price", "price", "r", "x", "trail_value", "trail_size", "context_x")
+
+
+def with_running(stacked: DataFrame) -> DataFrame:
+    """Running totals and latest values over cells and probes in time order, probes after a cell of their time.
 
-    Between cells the grid price does not move, so the squared grid returns live on cells alone.
+    Between cells the grid price does not move, so the squared grid returns live on cells alone. A
+    probe adds nothing and so shows the totals as of its time.
     """
-    order = Window.partitionBy(*KEY).orderBy("g")
+    order = Window.partitionBy(*KEY).orderBy("g", "probe")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.col("log_price") - F.lag("log_price").over(order)
-    stepped = folded.withColumn("log_price", F.log("price")).withColumn("_sq", F.coalesce(step * step, F.lit(0.0)))
-    return stepped.withColumns(
-        {
-            "cum_n": F.sum("n").over(upto),
-            "cum_size": F.sum("size").over(upto),
-            "cum_value": F.sum("value").over(upto),
-            "rv": F.sum("_sq").over(upto),
-        }
-    ).drop("_sq")
+    step = F.col("log_price") - F.last("log_price", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    squared = stacked.withColumn("_sq", step * step)
+    totals = {f"cum_{c}": F.sum(c).over(upto) for c in ("n", "size", "value")}
+    latest = {c: F.last(c, ignorenulls=True).over(upto) for c in CARRIED if c in stacked.columns}
+    rv = F.coalesce(F.sum("_sq").over(upto), F.lit(0.0))
+    return squared.withColumns({**totals, "rv": rv, **latest}).drop("_sq")
+
+
+def as_cells(folded: DataFrame) -> DataFrame:
+    return folded.withColumns({"log_price": F.log("price"), "probe": F.lit(0)})
+
+
+def running_cells(folded: DataFrame) -> DataFrame:
+    """Running trade count, size, value and realised variance, as of each cell's end."""
+    return with_running(as_cells(folded)).drop("probe")
 
 
 def previous_tick_grid(folded: DataFrame, units: int) -> DataFrame:
@@ -114,23 +123,17 @@ def needed(spec: ClockSpec) -> dict[str, tuple[int, ...]]:
     }
 
 
-def asof_lookup(anchors: DataFrame, running: DataFrame, wanted: dict[str, tuple[int, ...]]) -> DataFrame:
+def asof_lookup(anchors: DataFrame, folded: DataFrame, wanted: dict[str, tuple[int, ...]]) -> DataFrame:
     """Running totals as of ``anchor + offset``, one column ``<name>_<offset>`` for each that is wanted.
 
-    One sort per session over at most its units plus its probes: cells and probes are stacked and the
-    latest state is carried forward, probes after the cell of the same time.
+    Cells and probes are stacked and sorted once per session, over at most its units plus its probes;
+    the pivot back to anchors keeps that partitioning.
     """
     offsets = sorted({o for each in wanted.values() for o in each})
-    state = F.struct(*wanted)
     probes = anchors.select(*KEY, "split", "anchor", F.explode(F.array(*[F.lit(o) for o in offsets])).alias("offset"))
-    held = running.select(*KEY, "g", F.lit(0).alias("probe"), state.alias("state"))
     asked = probes.withColumns({"g": F.col("anchor") + F.col("offset"), "probe": F.lit(1)})
-    order = Window.partitionBy(*KEY).orderBy("g", "probe")
-    stacked = held.unionByName(asked, allowMissingColumns=True)
-    seen = stacked.withColumn("state", F.last("state", ignorenulls=True).over(order)).where("probe = 1")
-    wide = [
-        F.max(F.when(F.col("offset") == o, F.col(f"state.{name}"))).alias(f"{name}_{tag(o)}") for name, at in wanted.items() for o in at
-    ]
+    seen = with_running(as_cells(folded).unionByName(asked, allowMissingColumns=True)).where("probe = 1")
+    wide = [F.max(F.when(F.col("offset") == o, F.col(name))).alias(f"{name}_{tag(o)}") for name, at in wanted.items() for o in at]
     return seen.groupBy(*KEY, "split", "anchor").agg(*wide)
 
 
@@ -203,8 +206,7 @@ def marked_anchors(
 ) -> DataFrame:
     """Every candidate anchor with its boundary states and the first reason to exclude it, if any."""
     followed = trailing(elapsed(trades, clean).select(*KEY, "r", "x", "price", "size"), spec.trail, context)
-    states = running_cells(cells(followed, spec.unit_ns))
-    looked = asof_lookup(clock_anchors(sessions, spec), states, needed(spec))
+    looked = asof_lookup(clock_anchors(sessions, spec), cells(followed, spec.unit_ns), needed(spec))
     return looked.withColumn("first_fail", first_failure(anchor_steps(spec, context)))
 
 

@@ -10,6 +10,7 @@ from .clean import calendar
 from .ordering import framed, positions, running_totals, spread
 
 FEATURES = ("f0", "f1", "f2")
+BEFORE = ("g0", "g1", "g2")
 
 
 def number_trades(kept: DataFrame) -> DataFrame:
@@ -24,26 +25,26 @@ def event_features(numbered: DataFrame) -> DataFrame:
     event before it comes along as ``g0..g2``, so that a transition needs no further shuffle.
     """
 
-    def columns(w):
-        def features(back: int) -> list[Column]:
-            here = [F.lag(c, back).over(w) if back else F.col(c) for c in ("ts_ns", "price", "size")]
-            earlier = [F.lag(c, back + 1).over(w) for c in ("ts_ns", "price")]
-            known = F.col("r") > back
-            return [
-                F.when(known, F.log1p((here[0] - earlier[0]) / 1e9)),
-                F.when(known, F.log(here[1] / earlier[1]) * 10000),
-                F.when(known, F.log1p(here[2])),
-            ]
+    back = {f"_{c}{k}": (c, k) for c, k in (("ts_ns", 1), ("ts_ns", 2), ("price", 1), ("price", 2), ("size", 1))}
+    lagged = framed(numbered, KEY, "r", lambda w: {name: F.lag(c, k).over(w) for name, (c, k) in back.items()}, before=2)
 
-        return {**dict(zip(("f0", "f1", "f2"), features(0))), **dict(zip(("g0", "g1", "g2"), features(1)))}
+    def features(here: tuple[str, str, str], earlier: tuple[str, str], known: Column) -> list[Column]:
+        ts, price, size = (F.col(c) for c in here)
+        return [
+            F.when(known, F.log1p((ts - F.col(earlier[0])) / 1e9)),
+            F.when(known, F.log(price / F.col(earlier[1])) * 10000),
+            F.when(known, F.log1p(size)),
+        ]
 
-    return framed(numbered, KEY, "r", columns, before=2)
+    now = features(("ts_ns", "price", "size"), ("_ts_ns1", "_price1"), F.col("r") > 0)
+    before = features(("_ts_ns1", "_price1", "_size1"), ("_ts_ns2", "_price2"), F.col("r") > 1)
+    return lagged.withColumns({**dict(zip(FEATURES, now)), **dict(zip(BEFORE, before))}).drop(*back)
 
 
 def events_of(trades: DataFrame, context: int | None = None) -> DataFrame:
     """Events ``e = 0..n-1``; with ``context``, only of sessions that have more than ``context`` events."""
     events = trades.where("r > 0").select(
-        "symbol", "date", "split", (F.col("r") - 1).alias("e"), (F.col("trades") - 1).alias("events"), "ts_ns", *FEATURES, "g0", "g1", "g2"
+        "symbol", "date", "split", (F.col("r") - 1).alias("e"), (F.col("trades") - 1).alias("events"), "ts_ns", *FEATURES, *BEFORE
     )
     return events if context is None else drop_short(events, context)
 

@@ -57,18 +57,23 @@ def with_chunks(
     """
     # A frame must not reach past the neighbouring chunk.
     rows = max(CHUNK_ROWS, before, after)
-    home = F.floor(F.col(pos) / rows)
-    offset = F.col(pos) % rows
-    homes = [home]
-    if before:
-        homes.append(F.when(offset >= rows - before, home + 1))
-    if after:
-        homes.append(F.when((offset < after) & (home > 0), home - 1))
-    chunk = F.explode(F.array_compact(F.array(*homes))) if len(homes) > 1 else home
-    copies = df.withColumn("_chunk", chunk).withColumn("_own", F.col("_chunk") == F.floor(F.col(pos) / rows))
+    home, offset = chunk_of(pos, rows), F.col(pos) % rows
+    ends, starts = offset >= rows - before, (offset < after) & (home > 0)
+    if before and after:
+        homes = F.when(ends & starts, F.array(home - 1, home, home + 1)).when(ends, F.array(home, home + 1)).when(starts, F.array(home - 1, home))
+    elif before:
+        homes = F.when(ends, F.array(home, home + 1))
+    else:
+        homes = F.when(starts, F.array(home - 1, home))
+    chunk = F.explode(homes.otherwise(F.array(home))) if before or after else home
+    copies = df.withColumn("_chunk", chunk).withColumn("_own", F.col("_chunk") == home)
     return copies, Window.partitionBy(*keys, "_chunk").orderBy(pos)
 
 
+def chunk_of(pos: str, rows: int) -> Column:
+    return F.expr(f"`{pos}` div {rows}L")
+
+
 def framed(
     df: DataFrame, keys: Sequence[str], pos: str, columns, before: int = 0, after: int = 0
 ) -> DataFrame:
@@ -101,9 +106,9 @@ def spread(big: DataFrame, per_key: DataFrame, keys: Sequence[str], pos: str, si
     A join on the key alone would send a busy key to one task. ``sizes`` holds the key and ``rows``,
     one more than its largest ``pos``; each row of ``per_key`` is repeated once per chunk, not per row.
     """
-    last = F.floor((F.col("rows") - 1) / CHUNK_ROWS)
-    repeated = per_key.join(sizes.select(*keys, "rows"), list(keys)).withColumn("_chunk", F.explode(F.sequence(F.lit(0), last)))
-    return big.withColumn("_chunk", F.floor(F.col(pos) / CHUNK_ROWS)).join(repeated.drop("rows"), [*keys, "_chunk"]).drop("_chunk")
+    last = F.expr(f"(`rows` - 1) div {CHUNK_ROWS}L")
+    repeated = per_key.join(sizes.select(*keys, "rows"), list(keys)).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return big.withColumn("_chunk", chunk_of(pos, CHUNK_ROWS)).join(repeated.drop("rows"), [*keys, "_chunk"]).drop("_chunk")
 
 
 def order_statistics(

@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import bin_of, joint_encode
-from .events import FEATURES
+from .events import BEFORE, FEATURES
 from .ordering import exact_quantiles, order_statistics
 
 CODES = ("c0", "c1", "c2")
-BEFORE = ("b0", "b1", "b2")
 
 
 @dataclass(frozen=True)
@@ -129,7 +128,7 @@ def tokenise(events: DataFrame, binner: Binner) -> DataFrame:
     """Add codes ``c0..c2`` and joint ``token``, and ``prev``, the token of the event before (null on the first)."""
     coded = assign_bins(events, binner.edges)
     before = F.when(
-        F.col("g0").isNotNull(), joint_encode([bin_of(F.col(g), binner.edges[i]) for i, g in enumerate(("g0", "g1", "g2"))], binner.bins)
+        F.col(BEFORE[0]).isNotNull(), joint_encode([bin_of(F.col(g), binner.edges[i]) for i, g in enumerate(BEFORE)], binner.bins)
     )
     return coded.withColumn("token", joint_encode([F.col(c) for c in CODES], binner.bins)).withColumn("prev", before)
 
