@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -26,7 +27,8 @@ class Probe:
     bias: tuple[float, ...]
     strength: float
     iterations: int
-    converged: bool
+    objective: float
+    gradient: float
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(k, list(self.weight[k]), self.bias[k], list(self.mean), list(self.scale)) for k in range(CLASSES)]
@@ -55,11 +57,26 @@ def standardise(x: Column, mean: Sequence[float], scale: Sequence[float]) -> Col
     return F.zip_with(F.zip_with(x, centre, lambda a, m: a - m), width, lambda a, s: a / s)
 
 
-def fit_probe(train: DataFrame, strength: float, label: str = "label", max_iter: int = 500, tolerance: float = 1e-9) -> Probe:
+def gradient(train: DataFrame, probe: Probe, label: str = "label") -> DataFrame:
+    """Slope of the penalised objective by class and position; position -1 is the intercept."""
+    scored = predict_probe(train, probe)
+    z = F.concat(F.array(F.lit(1.0)), standardise(F.col("x"), probe.mean, probe.scale))
+    miss = lambda k: (F.col("p")[k] - (F.col(label) == k).cast("double")) * F.col("z")
+    misses = scored.select(label, "p", F.posexplode(z).alias("at", "z")).select((F.col("at") - 1).alias("i"), *[miss(k).alias(f"m{k}") for k in range(CLASSES)])
+    slopes = misses.groupBy("i").agg(*[F.avg(f"m{k}").alias(f"m{k}") for k in range(CLASSES)])
+    long = slopes.select("i", F.inline(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"m{k}").alias("slope")) for k in range(CLASSES)])))
+    weights = probe.to_frame(train.sparkSession).select("class", F.posexplode("weight").alias("i", "w"))
+    penalty = 2 * probe.strength * F.coalesce("w", F.lit(0.0))
+    return long.join(weights, ["class", "i"], "left").select("class", "i", (F.col("slope") + penalty).alias("slope"))
+
+
+def fit_probe(
+    train: DataFrame, strength: float, label: str = "label", max_iter: int = 500, gradient_tolerance: float = 1e-5
+) -> Probe:
     """Minimise mean cross entropy plus ``strength`` times the squared weights; the intercepts are free.
 
-    MLlib penalises half the squared weights, hence ``regParam = 2 * strength``. A fit that uses up its
-    iterations is refused.
+    MLlib penalises half the squared weights, hence ``regParam = 2 * strength``. A fit counts as
+    converged only if the objective is flat where it stopped; any other is refused.
     """
     seen = train.agg(*[F.count_if(F.col(label) == k).alias(f"n{k}") for k in range(CLASSES)]).first()
     if not all(seen):
@@ -69,15 +86,18 @@ def fit_probe(train: DataFrame, strength: float, label: str = "label", max_iter:
         array_to_vector(standardise(F.col("x"), mean, scale)).alias("features"), F.col(label).cast("double").alias("label")
     )
     model = LogisticRegression(
-        family="multinomial", regParam=2 * strength, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tolerance
+        family="multinomial", regParam=2 * strength, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9
     ).fit(ready)
-    iterations = model.summary.totalIterations
-    if iterations >= max_iter:
-        raise RuntimeError(f"The probe did not converge in {max_iter} iterations at strength {strength}")
-    weight = model.coefficientMatrix.toArray()
-    return Probe(
-        tuple(mean), tuple(scale), tuple(tuple(map(float, row)) for row in weight), tuple(map(float, model.interceptVector)), strength, iterations, True
+    weight = tuple(tuple(map(float, row)) for row in model.coefficientMatrix.toArray())
+    summary = model.summary
+    probe = Probe(
+        tuple(mean), tuple(scale), weight, tuple(map(float, model.interceptVector)), float(strength),
+        summary.totalIterations, float(summary.objectiveHistory[-1]), float("nan"),
     )
+    steepest = gradient(train, probe, label).agg(F.max(F.abs("slope"))).first()[0]
+    if not steepest <= gradient_tolerance:
+        raise RuntimeError(f"The probe did not converge: gradient {steepest} at strength {strength}")
+    return dataclasses.replace(probe, gradient=steepest)
 
 
 def predict_probe(df: DataFrame, probe: Probe) -> DataFrame:
@@ -113,7 +133,10 @@ def select_probe(train: DataFrame, val: DataFrame, grid: Sequence[float], label:
         fits = list(pool.map(inheritable_thread_target(train.sparkSession)(one), grid))
     best = min(range(len(grid)), key=lambda i: (fits[i][1], i))
     candidates = [
-        {"strength": float(s), "val_nll": loss, "iterations": probe.iterations, "selected": i == best}
+        {
+            "strength": float(s), "val_nll": loss, "objective": probe.objective, "gradient": probe.gradient,
+            "iterations": probe.iterations, "selected": i == best,
+        }
         for i, (s, (probe, loss)) in enumerate(zip(grid, fits))
     ]
     return fits[best][0], candidates

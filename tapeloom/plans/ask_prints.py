@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
+import os
 import uuid
+import zipfile
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..config import KEY, SPLITS
@@ -52,6 +56,40 @@ def csv_round_trip(spark, sf_dir):
     )
 
 
+def zip_batches(folder: str):
+    """Writer of one archive per partition with one CSV member per Arrow batch."""
+
+    def write(batches):
+        path = os.path.join(folder, f"{TaskContext.get().partitionId():05d}.zip")
+        members = 0
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for batch in batches:
+                archive.writestr(f"part-{members:05d}.csv", batch.to_csv(index=False))
+                members += 1
+        if members:
+            yield pd.DataFrame({"path": [path]})
+
+    return write
+
+
+@question(
+    "symbol n:i price_sum:r empty_suffix:i",
+    "SELECT symbol, count(*) AS n, sum(price) AS price_sum, count(*) FILTER (suffix = '') AS empty_suffix FROM marked GROUP BY 1",
+    raw=True,
+)
+def zip_round_trip(spark, sf_dir):
+    """Prints packed into ZIP archives by the executors and read back, one task per member."""
+    folder = scratch(spark, "zips").removeprefix("file:")
+    os.makedirs(folder)
+    spread = tape.raw_prints(spark, sf_dir).repartition(3, "seq")
+    paths = [r.path for r in spread.mapInPandas(zip_batches(folder), "path string").collect()]
+    df = prints.read_prints(spark, paths)
+    symbol = symbol_of(F.col("sym_root"), F.col("sym_suffix"))
+    return df.groupBy(symbol.alias("symbol")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast("double")).alias("price_sum"), F.count_if(F.col("sym_suffix") == "").alias("empty_suffix")
+    )
+
+
 @question(
     "date n:i",
     """SELECT d.day AS date, count(p.seq) AS n FROM (SELECT strftime(TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS day FROM range(31) t(i)) d

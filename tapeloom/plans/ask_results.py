@@ -200,17 +200,8 @@ def probe_parameters(p: Prepared):
 @question("class:i i:i optimal", "SELECT c.i AS class, f.i - 1 AS i, true AS optimal FROM range(3) c(i), range(14) f(i), (SELECT count(*) FROM cex)", clock=True)
 def probe_gradient(p: Prepared):
     """The penalised objective is flat at the fitted weights; position -1 is the intercept."""
-    probe = fitted(p)[0]
-    scored = probes.predict_probe(probe_rows(p).where("split = 'train'"), probe)
-    z = F.concat(F.array(F.lit(1.0)), probes.standardise(F.col("x"), probe.mean, probe.scale))
-    misses = scored.select("label", "p", F.posexplode(z).alias("at", "z")).select(
-        (F.col("at") - 1).alias("i"), *[((F.col("p")[k] - (F.col("label") == k).cast("double")) * F.col("z")).alias(f"m{k}") for k in range(3)]
-    )
-    slopes = misses.groupBy("i").agg(*[F.avg(f"m{k}").alias(f"m{k}") for k in range(3)])
-    long = slopes.select("i", F.inline(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"m{k}").alias("slope")) for k in range(3)])))
-    weights = probe.to_frame(p.spark).select("class", F.posexplode("weight").alias("i", "w"))
-    joined = long.join(weights, ["class", "i"], "left")
-    return joined.select("class", "i", (F.abs(F.col("slope") + 2 * probe.strength * F.coalesce("w", F.lit(0.0))) < 1e-5).alias("optimal"))
+    slopes = probes.gradient(probe_rows(p).where("split = 'train'"), fitted(p)[0])
+    return slopes.select("class", "i", (F.abs("slope") < 1e-5).alias("optimal"))
 
 
 @question()
@@ -221,7 +212,7 @@ def probe_predictions(p: Prepared):
 
 @question()
 def probe_selection(p: Prepared):
-    return p.spark.createDataFrame(fitted(p)[1], "strength double, val_nll double, iterations int, selected boolean")
+    return p.spark.createDataFrame(fitted(p)[1], "strength double, val_nll double, objective double, gradient double, iterations int, selected boolean")
 
 
 @question("rows:i rebuilt", "SELECT count(*) AS rows, true AS rebuilt FROM cex WHERE split <> 'train'", clock=True)
