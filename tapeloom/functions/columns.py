@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,9 +85,21 @@ def first_argmax(p: Column) -> Column:
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
 
 
+def search(value: Column, edges: Sequence[float], leaf: Callable[[int], Column]) -> Column:
+    """``leaf(k)`` for ``k`` ascending edges at or below ``value``, as a binary tree of comparisons.
+
+    A sum of comparisons would grow past what the JVM compiles; the tree takes log2 steps.
+    """
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return leaf(low)
+        middle = (low + high) // 2
+        return F.when(value >= F.lit(float(edges[middle])), between(middle + 1, high)).otherwise(between(low, middle))
+
+    return F.when(value.isNotNull(), between(0, len(edges)))
+
+
 def bin_of(value: Column, edges: Sequence[float]) -> Column:
     """Number of edges at or below ``value``: a tie with an edge goes up."""
-    total = F.lit(0)
-    for edge in edges:
-        total = total + (value >= F.lit(float(edge))).cast("int")
-    return total.cast("int")
+    return search(value, edges, F.lit).cast("int")

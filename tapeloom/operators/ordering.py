@@ -13,9 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import search
 from ..runtime import land
 
 CHUNK_ROWS = 1 << 16
+SKETCH_SIZE = 4_000
 _SLOT_MASK = (1 << 33) - 1
 
 
@@ -112,82 +114,111 @@ def spread(big: DataFrame, per_key: DataFrame, keys: Sequence[str], pos: str, si
 
 
 def order_statistics(
-    df: DataFrame, ranks: dict[str, Sequence[int]], counts: dict[str, int], gather: int = 100_000, accuracy: int = 10_000
+    df: DataFrame, ranks: dict[str, Sequence[int]], counts: dict[str, int], gather: int = 100_000, accuracy: int = 2_000
 ) -> dict[tuple[str, int], float]:
-    """Exact values at 0-based ``ranks`` of each column's sorted non-null values, without sorting them.
+    """Exact values at 0-based ``ranks`` of each column's sorted non-null values, without sorting the columns.
 
-    Each round brackets every wanted rank with a mergeable quantile sketch and counts the rows below,
-    on and between the bracket ends, so the bracket is proven rather than trusted. Values tied with an
-    end are settled at once; the rest shrinks about 2500-fold a round until it fits ``gather`` rows.
+    A mergeable quantile sketch proposes values around every wanted rank, and one count of the rows
+    below, on and between them tells for certain where each rank falls. Ranks that fall on a proposed
+    value are settled, however many rows tie there; the others leave an open interval about 500 times
+    smaller. Once the intervals together hold at most ``gather`` rows, those are looked at directly.
     """
+    for c, wanted in ranks.items():
+        if any(not 0 <= r < counts[c] for r in wanted):
+            raise ValueError(f"Rank outside the {counts[c]} values of {c}")
     found: dict[tuple[str, int], float] = {}
-    # (column, low, high) holds the ranks strictly between low and high, `below` rows before them.
-    waiting = [(c, None, None, 0, counts[c], sorted(set(r))) for c, r in ranks.items() if r]
-    for c, _, _, _, n, wanted in waiting:
-        if wanted[0] < 0 or wanted[-1] >= n:
-            raise ValueError(f"Rank outside the {n} values of {c}")
-
-    def inside(c, low, high):
-        test = F.col(c).isNotNull()
-        if low is not None:
-            test = test & (F.col(c) > F.lit(low))
-        if high is not None:
-            test = test & (F.col(c) < F.lit(high))
-        return F.when(test, F.col(c))
-
-    while waiting:
-        small = [w for w in waiting if w[4] <= gather]
-        large = [w for w in waiting if w[4] > gather]
-        lists = [F.sort_array(F.collect_list(inside(c, lo, hi))).alias(f"s{i}") for i, (c, lo, hi, *_) in enumerate(small)]
-        picks = [((c, r), F.col(f"s{i}")[r - below]) for i, (c, _, _, below, _, wanted) in enumerate(small) for r in wanted]
-        brackets = []
-        for c, lo, hi, below, n, wanted in large:
-            shares = []
+    # (column, low, high), both ends excluded, to (rows before it, rows in it, ranks in it).
+    open_ = {(c, None, None): (0, counts[c], sorted(set(wanted))) for c, wanted in ranks.items() if wanted}
+    while open_:
+        if sum(n for _, n, _ in open_.values()) <= gather:
+            found.update(_look_up(df, open_))
+            break
+        proposals = _propose(df, open_, accuracy)
+        tallies = _tally(df, proposals)
+        narrowed: dict = {}
+        for (c, _, _), (_, _, wanted) in open_.items():
+            ends = proposals[c]
             for r in wanted:
-                at = (r - below) / n
-                shares += [max(0.0, at - 2 / accuracy), min(1.0, at + 2 / accuracy)]
-            sketch = F.percentile_approx(inside(c, lo, hi), F.array(*[F.lit(s) for s in shares]), F.lit(accuracy))
-            brackets.append(sketch)
-        row = (
-            df.agg(*lists, *[b.alias(f"b{i}") for i, b in enumerate(brackets)])
-            .select(*[e.alias(f"v{i}") for i, (_, e) in enumerate(picks)], *[f"b{i}" for i in range(len(brackets))])
-            .first()
-        )
-        for i, (target, _) in enumerate(picks):
-            found[target] = row[f"v{i}"]
-        waiting = []
-        checks, tests = [], []
-        for i, (c, lo, hi, below, n, wanted) in enumerate(large):
-            ends = row[f"b{i}"]
-            for j, r in enumerate(wanted):
-                low, high = ends[2 * j], ends[2 * j + 1]
-                checks.append((c, lo, hi, below, n, r, low, high))
-                v = inside(c, lo, hi)
-                tests += [F.count_if(v < F.lit(low)), F.count_if(v == F.lit(low)), F.count_if(v <= F.lit(high)), F.count_if(v == F.lit(high))]
-        if not checks:
-            continue
-        tallies = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(tests)]).first()
-        merged: dict = {}
-        for i, (c, lo, hi, below, n, r, low, high) in enumerate(checks):
-            under, on_low, upto, on_high = (tallies[4 * i + k] for k in range(4))
-            local = r - below
-            if local < under:
-                part = (c, lo, low, below, under)
-            elif local < under + on_low:
-                found[(c, r)] = low
-                continue
-            elif local >= upto:
-                part = (c, high, hi, below + upto, n - upto)
-            elif local >= upto - on_high:
-                found[(c, r)] = high
-                continue
-            else:
-                part = (c, low, high, below + under + on_low, upto - on_high - under - on_low)
-            merged.setdefault(part, []).append(r)
-        waiting = [(*part, wanted) for part, wanted in merged.items()]
+                before = 0
+                for code in range(2 * len(ends) + 1):
+                    n = tallies.get((c, code), 0)
+                    if r < before + n:
+                        break
+                    before += n
+                if code % 2:
+                    found[c, r] = ends[code // 2]
+                    continue
+                j = code // 2
+                interval = (c, ends[j - 1] if j else None, ends[j] if j < len(ends) else None)
+                narrowed.setdefault(interval, (before, n, []))[2].append(r)
+        open_ = narrowed
     return found
 
 
+def _between(column: str, ends: Sequence[float]) -> Column:
+    """2j + 1 for the value ``ends[j]``, 2j for one between ``ends[j - 1]`` and ``ends[j]``; ``ends`` ascend."""
+    value = F.col(column)
+    leaf = lambda k: F.when(value == F.lit(ends[k - 1]), 2 * k - 1).otherwise(2 * k) if k else F.lit(0)
+    return search(value, ends, leaf)
+
+
+def _coded(df: DataFrame, ends: dict[str, list[float]], codes: dict[str, list[int]] | None = None) -> DataFrame:
+    """One row (column, code, value) per non-null value, or only those of ``codes``; each branch scans its column alone."""
+    out = None
+    for c, e in ends.items():
+        part = df.select(F.lit(c).alias("c"), _between(c, e).alias("code"), F.col(c).alias("v")).where(F.col("v").isNotNull())
+        if codes is not None:
+            part = part.where(F.col("code").isin(codes[c]))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _propose(df: DataFrame, open_: dict, accuracy: int) -> dict[str, list[float]]:
+    """Ends of the open intervals and sketched values a little below and above each wanted rank."""
+    sketches = []
+    for (c, low, high), (before, n, wanted) in open_.items():
+        # Neighbouring ranks share their proposals.
+        runs = [[wanted[0], wanted[0]]]
+        for r in wanted[1:]:
+            if r - runs[-1][1] <= 4 * n / accuracy:
+                runs[-1][1] = r
+            else:
+                runs.append([r, r])
+        shares = sorted({min(1.0, max(0.0, (r - before) / n + side / accuracy)) for run in runs for r, side in zip(run, (-2, 2))})
+        inside = F.col(c).isNotNull()
+        inside = inside if low is None else inside & (F.col(c) > F.lit(low))
+        inside = inside if high is None else inside & (F.col(c) < F.lit(high))
+        wanted_shares = F.array(*[F.lit(s) for s in shares])
+        sketches.append((F.kll_sketch_agg_double(F.when(inside, F.col(c)), F.lit(SKETCH_SIZE)), wanted_shares))
+    merged = df.agg(*[sketch.alias(f"k{i}") for i, (sketch, _) in enumerate(sketches)])
+    row = merged.select(*[F.kll_sketch_get_quantile_double(f"k{i}", at).alias(f"s{i}") for i, (_, at) in enumerate(sketches)]).first()
+    ends: dict[str, set[float]] = {}
+    for i, (c, low, high) in enumerate(open_):
+        ends.setdefault(c, set()).update(v for v in (*row[f"s{i}"], low, high) if v is not None)
+    return {c: sorted(values) for c, values in ends.items()}
+
+
+def _tally(df: DataFrame, ends: dict[str, list[float]]) -> dict[tuple[str, int], int]:
+    rows = _coded(df, ends).groupBy("c", "code").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {(r.c, r.code): r.n for r in rows}
+
+
+def _look_up(df: DataFrame, open_: dict) -> dict[tuple[str, int], float]:
+    """Values at the ranks of intervals that are small by count: each is one sorted list of bounded length."""
+    ends: dict[str, set[float]] = {}
+    for c, low, high in open_:
+        ends.setdefault(c, set()).update(v for v in (low, high) if v is not None)
+    ordered = {c: sorted(values) for c, values in ends.items()}
+    places = {(c, 0 if low is None else 2 * ordered[c].index(low) + 2): at for (c, low, _), at in open_.items()}
+    here = lambda c, code: (F.col("c") == c) & (F.col("code") == code)
+    wanted = F.coalesce(*[F.when(here(c, code), F.array(*[F.lit(r - before) for r in at])) for (c, code), (before, _, at) in places.items()])
+    codes = {c: [code for column, code in places if column == c] for c in ordered}
+    lists = _coded(df, ordered, codes).withColumn("at", wanted).groupBy("c", "code", "at")
+    sorted_lists = lists.agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    rows = sorted_lists.select("c", "code", F.transform("at", lambda i: F.get(F.col("vs"), i)).alias("picked")).collect()
+    return {(r.c, rank): v for r in rows for rank, v in zip(places[r.c, r.code][2], r.picked)}
+
+
 def interpolate(at: float, low: float, high: float) -> float:
     return low if low == high else low + (high - low) * at
 
