@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import joint_decode, joint_encode
+from ..functions.columns import joint_decode
 from .tokens import Binner, decode_bins
 from .windows import eligible
 

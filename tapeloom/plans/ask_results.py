@@ -9,7 +9,7 @@ from ..config import KEY, SPLITS
 from ..operators import clock, compare, integrity, labels, metrics, probes, tokens, windows
 from . import frozen
 from .ask_labels import AUDIT_SQL, DISTRIBUTION_SQL
-from .ask_models import BATCH, COVERAGE_SQL, SEEDS, located, pairs, stream_at, totals
+from .ask_models import BATCH, COVERAGE_SQL, SEEDS, pairs, stream_at, totals
 from .prepare import Prepared
 from .questions import question
 

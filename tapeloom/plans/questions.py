@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .oracle import ask, ask_clock
-from .prepare import Prepared, prepared_tape
+from .prepare import prepared_tape
 
 PLACES = 6
 

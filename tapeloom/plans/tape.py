@@ -35,7 +35,7 @@ def raw_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.col("ts").cast("string"), 1, 10).alias("date"),
         F.substring(F.col("ts").cast("string"), 12, 18).alias("time_m"),
         F.col("value").alias("price"),
-        F.get_json_object("props", "$.k").alias("size"),
+        F.regexp_extract("props", r'"k":\s*(-?[0-9.]+)', 1).alias("size"),
         F.when(user % 17 == 0, "01").when(user % 3 == 0, "0").otherwise("00").alias("tr_corr"),
         F.when(user % 11 == 0, "T").when(user % 7 == 0, "@F").when(user % 2 == 0, "@").otherwise("").alias("tr_scond"),
     )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import KEY
-from ..functions.columns import symbol_of
 
 MODES = ("errorifexists", "overwrite")
 
