@@ -10,6 +10,9 @@ frequent a key is, a bucket gets it at most once per chunk.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,7 +24,7 @@ from ..runtime import land, shared_dir
 from .scan import text_bytes
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 
 
 def buckets_of(spark: SparkSession) -> int:
@@ -87,20 +90,44 @@ def parcels(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Several arrays as one value: their number, lengths in bytes, then their bytes."""
-    blobs = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    """Several arrays as one value: their number, lengths in bytes, then their bytes, first bytes of all items before second ones.
+
+    Small numbers thus leave long runs of zeros, which the exchange's own compression takes away.
+    """
+    blobs = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays]
     return b"".join([np.array([len(blobs), *map(len, blobs)], "<i8").tobytes(), *blobs])
 
 
 def unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
     head = np.frombuffer(payload, "<i8", len(kinds) + 1)
     at, out = 8 * len(head), []
-    for kind, size in zip(kinds, head[1:], strict=True):
-        out.append(np.frombuffer(payload, kind, int(size) // np.dtype(kind).itemsize, at))
-        at += int(size)
+    for kind, size in zip(kinds, head[1:].tolist(), strict=True):
+        width_ = np.dtype(kind).itemsize
+        planes = np.frombuffer(payload, np.uint8, size, at).reshape(width_, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += size
+    return out
+
+
+def steps(ordered: np.ndarray) -> np.ndarray:
+    """Differences of ordered unsigned numbers; ``np.cumsum`` with their type gives them back."""
+    out = ordered.copy()
+    out[1:] -= ordered[:-1]
     return out
 
 
+def whole(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=differences.dtype)
+
+
+def settle() -> None:
+    """Give memory that a worker has freed back to the system: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def split_ordered(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds of each bucket in ordered 64-bit keys: bucket ``b`` has the keys of the ``b``-th equal part of the key space."""
     step = (1 << 64) // buckets + 1
@@ -112,7 +139,9 @@ def send(docs: DataFrame, ask: Callable[[int, pa.Table], list[tuple]], keep: tup
     """Parcels of every chunk: ``ask(chunk, table)`` sees all documents of one chunk."""
     def one(key, table):
         chunk = key[0].as_py()
-        return parcels([(chunk, *row) for row in ask(chunk, table.sort_by(ORDER))])
+        out = parcels([(chunk, *row) for row in ask(chunk, table.sort_by(ORDER))])
+        settle()
+        return out
 
     return docs.select("chunk", "rid", "doc_id", *keep).groupBy("chunk").applyInArrow(one, PARCEL)
 
@@ -124,7 +153,9 @@ def answer(sent: DataFrame, reply: Callable[[int, dict], list[tuple]]) -> DataFr
         for chunk, kind, payload in sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "payload")), strict=True)):
             got.setdefault(kind, []).append((chunk, payload))
         bucket = key[0].as_py()
-        return parcels([(chunk, bucket, kind, payload) for chunk, kind, payload in reply(bucket, got)])
+        out = parcels([(chunk, bucket, kind, payload) for chunk, kind, payload in reply(bucket, got)])
+        settle()
+        return out
 
     return land(sent.groupBy("bucket").applyInArrow(one, PARCEL), "answers")
 
@@ -133,7 +164,9 @@ def together(docs: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table,
     """Each chunk with its answers: ``work(chunk, table, {(kind, bucket): payload})``."""
     def one(key, table, got):
         found = dict(zip(zip(got.column("kind").to_pylist(), got.column("bucket").to_pylist(), strict=True), got.column("payload").to_pylist(), strict=True))
-        return work(key[0].as_py(), table.sort_by(ORDER), found)
+        out = work(key[0].as_py(), table.sort_by(ORDER), found)
+        settle()
+        return out
 
     left, right = docs.select("chunk", "rid", "doc_id", *keep).groupBy("chunk"), answers.groupBy("chunk")
     return left.cogroup(right).applyInArrow(one, schema)

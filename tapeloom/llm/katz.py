@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import answer, buckets_of, chunked, pack, parts_of, send, send_again, short, together, unpack
+from .chunks import answer, buckets_of, chunked, pack, parts_of, send, send_again, short, steps, together, unpack, whole
 from .scan import LOWER, SPACED, mix, scan, text_bytes
 
 #: Counts up to this one are discounted.
@@ -85,19 +85,21 @@ class Chunk:
         self.pairs, at, self.pair = np.unique(mix(context * _PAIR + token), return_index=True, return_inverse=True)
         self.pair_counts = np.bincount(self.pair[train], minlength=len(self.pairs))
         self.pair_context, self.pair_word = context[at], self.word[at]
+        self.word = self.word.astype(np.int32)
+        self.pair = self.pair.astype(np.int32)
 
     def ask(self, buckets: int) -> list[tuple[int, int, bytes]]:
-        out = [(b, _WORDS, pack(self.words[p], self.word_counts[p].astype("<u4"))) for b, p in parts_of(self.words, buckets)]
+        out = [(b, _WORDS, pack(steps(self.words[p]), self.word_counts[p].astype("<u4"))) for b, p in parts_of(self.words, buckets)]
         for b, p in parts_of(self.pairs, buckets):
             n = self.pair_counts[p]
-            out.append((b, _PAIRS, pack(short(self.pairs[p], b, buckets), np.packbits(n > 0), np.packbits(n > 1))))
+            out.append((b, _PAIRS, pack(steps(short(self.pairs[p], b, buckets)), np.packbits(n > 0), np.packbits(n > 1))))
         return out
 
     def learn(self, found: dict, buckets: int, documents: int) -> None:
         """Corpus counts of the words, which pairs may be frequent enough, and the distinct contexts worth asking for."""
         self.count = np.zeros(len(self.words), np.int64)
         for b, p in parts_of(self.words, buckets):
-            self.count[p] = np.frombuffer(found[_WORDS, b], "<u8")
+            (self.count[p],) = unpack(found[_WORDS, b], "<u8")
         again = np.zeros(len(self.pairs), bool)
         for b, p in parts_of(self.pairs, buckets):
             again[p] = np.unpackbits(np.frombuffer(found[_PAIRS, b], np.uint8), count=p.stop - p.start)
@@ -133,7 +135,7 @@ class Chunk:
         for b, contexts, pairs in self.requests(buckets, total):
             each = np.searchsorted(self.pair_nth[pairs], contexts, "right") - np.searchsorted(self.pair_nth[pairs], contexts)
             word = self.pair_word[pairs]
-            out.append((b, _COUNTS, pack(self.contexts[contexts], each.astype("<u4"), self.words[word], self.pair_counts[pairs].astype("<u4"), self.count[word].astype("<u8"))))
+            out.append((b, _COUNTS, pack(steps(self.contexts[contexts]), each.astype("<u4"), self.words[word], self.pair_counts[pairs].astype("<u4"), self.count[word].astype("<u8"))))
         return out
 
 
@@ -149,14 +151,16 @@ def _bucket(context: np.ndarray, turn: np.ndarray, buckets: int) -> np.ndarray:
 def _reply_first(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
     out, stats = [], np.zeros(3 + HIGHEST, np.int64)
     if sent := [(chunk, *unpack(payload, "<u8", "<u4")) for chunk, payload in got.get(_WORDS, [])]:
+        sent = [(chunk, whole(k), n) for chunk, k, n in sent]
         keys, where = np.unique(np.concatenate([k for _, k, _ in sent]), return_inverse=True)
         totals = np.zeros(len(keys), np.int64)
         np.add.at(totals, where, np.concatenate([n for *_, n in sent]).astype(np.int64))
         ends = np.cumsum([len(k) for _, k, _ in sent])
-        out += [(chunk, _WORDS, totals[w].astype("<u8").tobytes()) for (chunk, *_), w in zip(sent, np.split(where, ends[:-1]), strict=True)]
+        out += [(chunk, _WORDS, pack(totals[w].astype("<u8"))) for (chunk, *_), w in zip(sent, np.split(where, ends[:-1]), strict=True)]
         stats[0], stats[1] = totals.sum(), (totals > 0).sum()
         stats[2:] = [(totals == r).sum() for r in range(1, HIGHEST + 2)]
     if sent := [(chunk, *unpack(payload, "<u4", "u1", "u1")) for chunk, payload in got.get(_PAIRS, [])]:
+        sent = [(chunk, whole(k), x, y) for chunk, k, x, y in sent]
         size = [len(k) for _, k, *_ in sent]
         key = np.concatenate([k for _, k, *_ in sent])
         seen = np.concatenate([np.unpackbits(x, count=len(k)) + np.unpackbits(y, count=len(k)) for _, k, x, y in sent])
@@ -173,6 +177,7 @@ def _reply_first(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
 def _reply_counts(unigrams: Unigrams):
     def reply(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
         sent = [(chunk, *unpack(payload, "<u8", "<u4", "<u8", "<u4", "<u8")) for chunk, payload in got.get(_COUNTS, [])]
+        sent = [(chunk, whole(contexts), *more) for chunk, contexts, *more in sent]
         context = np.concatenate([np.repeat(c, n) for _, c, n, *_ in sent])
         word, count, alone = (np.concatenate([x[i] for x in sent]) for i in (3, 4, 5))
         order = np.lexsort((word, context))
@@ -180,8 +185,8 @@ def _reply_counts(unigrams: Unigrams):
         new[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
         start = np.flatnonzero(new)
         total = np.add.reduceat(count[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
-        whole = np.empty(len(order), np.int64)
-        whole[order] = total[np.cumsum(new) - 1]
+        everywhere = np.empty(len(order), np.int64)
+        everywhere[order] = total[np.cumsum(new) - 1]
         stats = np.array([total[total >= LEAST].sum(), *[(total == r).sum() for r in range(LEAST, HIGHEST + 2)]], np.int64)
         kept = total >= LEAST
         u, c, p = context[order][start][kept], total[kept], unigrams.p(alone[order][start][kept].astype(np.int64))
@@ -195,7 +200,7 @@ def _reply_counts(unigrams: Unigrams):
         for chunk, contexts, _, words, *_ in sent:
             place = np.minimum(np.searchsorted(keys, contexts), max(0, len(keys) - 1))
             has = keys[place] == contexts if len(keys) else np.zeros(len(contexts), bool)
-            out.append((chunk, _COUNTS, pack(whole[at : at + len(words)].astype("<u8"), np.packbits(has), known[place[has]].view(np.uint8))))
+            out.append((chunk, _COUNTS, pack(everywhere[at : at + len(words)].astype("<u8"), np.packbits(has), known[place[has]].view(np.uint8))))
             at += len(words)
         return out
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import answer, buckets_of, chunked, pack, parts_of, repeated, send, send_again, short, together, unpack
+from .chunks import answer, buckets_of, chunked, pack, parts_of, repeated, send, send_again, short, steps, together, unpack, whole
 from .scan import SPACED, Words, contains, covered, scan, sequence_hash, text_bytes, window_starts
 
 LENGTH = 20
@@ -42,7 +42,7 @@ class Chunk:
     def anchors(self, buckets: int) -> list[tuple[int, int, bytes]]:
         """The chunk's distinct anchors, marked if they occur more than once in it."""
         keys, counts = np.unique(self.anchor, return_counts=True)
-        return [(b, _ANCHOR, pack(short(keys[p], b, buckets), np.packbits(counts[p] > 1))) for b, p in parts_of(keys, buckets)]
+        return [(b, _ANCHOR, pack(steps(short(keys[p], b, buckets)), np.packbits(counts[p] > 1))) for b, p in parts_of(keys, buckets)]
 
     def candidates(self, found: dict, buckets: int) -> np.ndarray:
         """Starts of windows that hold an anchor which occurs again, early enough to be the shared one."""
@@ -67,7 +67,7 @@ class Chunk:
         keys, first, _ = self.windows(starts)
         check = (sequence_hash(self.words.hash, self.length, seed=1)[first] >> np.uint64(32)).astype(np.uint32)
         doc = self.doc[np.searchsorted(self.words.first, first, "right") - 1]
-        return [(b, _WINDOW, pack(keys[p], check[p], doc[p])) for b, p in parts_of(keys, buckets)]
+        return [(b, _WINDOW, pack(steps(keys[p]), check[p], doc[p])) for b, p in parts_of(keys, buckets)]
 
     def removed(self, found: dict, buckets: int) -> np.ndarray:
         """Marks words that a window covers whose words start earlier."""
@@ -85,7 +85,7 @@ def _reply_anchors(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
     for chunk, payload in got.get(_ANCHOR, []):
         keys, bits = unpack(payload, "<u4", "u1")
         chunks.append(chunk)
-        lists.append(keys)
+        lists.append(whole(keys))
         flags.append(np.unpackbits(bits, count=len(keys)))
     return [(c, _ANCHOR, np.packbits(x).tobytes()) for c, x in zip(chunks, repeated(lists, flags), strict=True)]
 
@@ -93,6 +93,7 @@ def _reply_anchors(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
 def _reply_windows(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
     """For each chunk's windows whether another chunk has an equal one in a smaller document."""
     sent = [(chunk, *unpack(payload, "<u8", "<u4", "<i8")) for chunk, payload in got.get(_WINDOW, [])]
+    sent = [(chunk, whole(key), check, doc) for chunk, key, check, doc in sent]
     if not sent:
         return []
     key, check, doc = (np.concatenate([x[i] for x in sent]) for i in (1, 2, 3))

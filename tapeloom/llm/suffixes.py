@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import answer, buckets_of, chunked, pack, parts_of, repeated, send, send_again, short, together, unpack
+from .chunks import answer, buckets_of, chunked, pack, parts_of, repeated, send, send_again, short, steps, together, unpack, whole
 from .scan import BLOCK, PLAIN, byte_values, mix, powers, text_bytes
 
 LENGTH, GRAM = 200, 73
@@ -87,7 +87,7 @@ class Anchors:
     def ask_grams(self, buckets: int) -> list[tuple[int, int, bytes]]:
         _, once = np.unique(self.at, return_index=True)
         keys, counts = np.unique(self.gram[once], return_counts=True)
-        return [(b, _GRAMS, pack(short(keys[p], b, buckets), np.packbits(counts[p] > 1))) for b, p in parts_of(keys, buckets)]
+        return [(b, _GRAMS, pack(steps(short(keys[p], b, buckets)), np.packbits(counts[p] > 1))) for b, p in parts_of(keys, buckets)]
 
     def records(self, found: dict, buckets: int) -> tuple[dict[int, list[tuple[bytes, bytes]]], dict[int, np.ndarray], dict[int, list[int]]]:
         """Per bucket: distinct (text from the anchor, text before it) in order, the anchors with their number there, counts."""
@@ -245,6 +245,7 @@ def _ask_runs(anchors: Anchors, found: dict, buckets: int) -> list[tuple[int, in
 
 def _reply_grams(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
     sent = [(chunk, *unpack(payload, "<u4", "u1")) for chunk, payload in got.get(_GRAMS, [])]
+    sent = [(chunk, whole(keys), bits) for chunk, keys, bits in sent]
     marks = repeated([k for _, k, _ in sent], [np.unpackbits(bits, count=len(k)) for _, k, bits in sent])
     return [(chunk, _GRAMS, np.packbits(x).tobytes()) for (chunk, _, _), x in zip(sent, marks, strict=True)]
 
