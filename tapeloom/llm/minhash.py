@@ -97,8 +97,8 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, per: int = ROWS) -> np.
     return total.view(np.int64)
 
 
-def described(landed: DataFrame, weighted: bool) -> DataFrame:
-    """``rid, set_key, size, bands`` of every row; the key is null for a text without words."""
+def described(named: DataFrame, weighted: bool) -> DataFrame:
+    """``rid, id__, set_key, size, bands`` of every row; the key is null for a text without words."""
     def describe(batches):
         for batch in (s for b in batches for s in slices(b, "text")):
             rows = batch.num_rows
@@ -112,9 +112,9 @@ def described(landed: DataFrame, weighted: bool) -> DataFrame:
             key = np.stack([s[ends[1:]] - s[ends[:-1]] for s in sums], 1).copy()
             keys = [key[r].tobytes() if size[r] else None for r in range(rows)]
             listed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(keys, pa.binary()), pa.array(size), listed], ["rid", "set_key", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id__"), pa.array(keys, pa.binary()), pa.array(size), listed], ["rid", "id__", "set_key", "size", "bands"])
 
-    return landed.select("rid", "text").mapInArrow(describe, "rid long, set_key binary, size long, bands array<long>")
+    return named.mapInArrow(describe, "rid long, id__ long, set_key binary, size long, bands array<long>")
 
 
 def candidate_pairs(reps: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -202,8 +202,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: fl
     """
     landed = land(docs.withColumn("rid", F.monotonically_increasing_id()), "docs")
     named = landed.select("rid", F.col(id).cast("long").alias("id__"), F.col(text).alias("text"))
-    facts = described(named, weighted).join(named.select("rid", "id__"), "rid")
-    facts = land(facts, "sets")
+    facts = land(described(named, weighted), "sets")
     order = F.struct(F.col("id__").isNull().alias("n"), F.col("id__").alias("i"), F.col("rid").alias("r"))
     sets = facts.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rep"), F.min(order).alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     sets = land(sets, "representatives")

@@ -25,7 +25,7 @@ LENGTH, GRAM = 200, 73
 SPREAD = LENGTH - GRAM + 1
 
 _GRAMS, _RUNS = 0, 1
-_PLACE = np.uint64((1 << 20) - 1)
+_PLACE, _ANEW = np.uint64((1 << 20) - 1), np.uint64(0xC3A5C85C97CB3127)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -82,7 +82,8 @@ class Anchors:
         count = good[last + 1] - good[group]
         keep = count > 0
         lo = start[group[keep]]
-        return place[group[keep]] + begin, lo, lo + count[keep] - 1, gram[place[group[keep]]]
+        # The least hashes crowd at the low end of the key space, so they are mixed anew before they choose a bucket.
+        return place[group[keep]] + begin, lo, lo + count[keep] - 1, mix(gram[place[group[keep]]] ^ _ANEW)
 
     def ask_grams(self, buckets: int) -> list[tuple[int, int, bytes]]:
         _, once = np.unique(self.at, return_index=True)

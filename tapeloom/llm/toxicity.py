@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .scan import ALNUM, LOWER, mix, scan, slices, text_bytes
 
 #: Bound of the labelled rows that the classifier is fitted on.
-SAMPLE = 16_000
+SAMPLE = 12_000
 #: Features are hashed to so many bits.
 BITS = 22
 THRESHOLD = 0.7
@@ -81,11 +81,11 @@ def fit(docs: DataFrame, sample: DataFrame, settings: Settings = Settings(), id:
             yield pa.RecordBatch.from_arrays([batch.column("id__"), batch.column("y__"), pa.array(sets, pa.binary())], ["id", "y", "features"])
 
     def learn(table):
-        order = table.sort_by([("id", "ascending"), ("features", "ascending")])
-        order = order.take(pa.array(np.random.default_rng(5).permutation(order.num_rows)))
-        y = order.column("y").to_numpy()
-        sets = [np.frombuffer(f, "<u4").astype(np.int64) for f in order.column("features").to_pylist()]
-        index, weight, bias = ftrl(sets, y, settings)
+        ids, y = table.column("id").to_numpy(), table.column("y").to_numpy()
+        sets = [np.frombuffer(f, "<u4") for f in table.column("features").to_pylist()]
+        order = sorted(range(len(sets)), key=lambda i: (int(ids[i]), sets[i].tobytes()))
+        order = [order[i] for i in np.random.default_rng(5).permutation(len(order))]
+        index, weight, bias = ftrl([sets[i] for i in order], y[order], settings)
         return pa.Table.from_arrays([pa.array([*index.tolist(), -1], pa.int64()), pa.array([*weight.tolist(), bias], pa.float64())], ["feature", "weight"])
 
     found = chosen.mapInArrow(extract, "id long, y int, features binary").groupBy().applyInArrow(learn, "feature long, weight double").collect()
@@ -98,29 +98,27 @@ def ftrl(sets: list[np.ndarray], y: np.ndarray, settings: Settings) -> tuple[np.
     """FTRL-proximal updates, one document at a time: weights that are not zero, and the intercept."""
     if not len(y) or y.min() == y.max():
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    used, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    sets = np.split(flat + 1, np.cumsum([len(s) for s in sets])[:-1])
-    z, n = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     a, b, l1, l2 = settings.alpha, settings.beta, settings.l1, settings.l2
+    last = np.array([1 << BITS])
 
-    def weights(zi: np.ndarray, ni: np.ndarray, free: bool) -> np.ndarray:
+    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((b + np.sqrt(ni)) / a + l2))
-        if free:  # the intercept is not thinned out
-            w[0] = -zi[0] / ((b + np.sqrt(ni[0])) / a)
+        w[-1] = -zi[-1] / ((b + np.sqrt(ni[-1])) / a)  # the intercept is not thinned out
         return w
 
     for _ in range(settings.passes):
         for own, label in zip(sets, y.tolist(), strict=True):
-            at = np.concatenate([[0], own])
+            at = np.concatenate([own, last])
             zi, ni = z[at], n[at]
-            w = weights(zi, ni, True)
+            w = weights(zi, ni)
             g = 1 / (1 + np.exp(-min(max(w.sum(), -30.0), 30.0))) - label
             root = np.sqrt(ni + g * g)
             z[at] = zi + g - (root - np.sqrt(ni)) / a * w
             n[at] = ni + g * g
-    w = weights(z, n, True)
-    keep = np.flatnonzero(w[1:])
-    return used[keep], w[1:][keep], float(w[0])
+    w = weights(z, n)
+    keep = np.flatnonzero(w[:-1])
+    return keep, w[keep], float(w[-1])
 
 
 def scores_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
