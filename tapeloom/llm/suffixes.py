@@ -319,7 +319,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", bytewi
     buckets = buckets_of(spark)
     grams = answer(send(landed, lambda _, t: Anchors(t).ask_grams(buckets), ("text",)), _reply_grams)
     runs = answer(send_again(landed, grams, lambda _, t, found: _ask_runs(Anchors(t), found, buckets), ("text",)), _reply_runs)
-    kind = "binary" if bytewise else "string"
+    kind, names = "binary" if bytewise else "string", tuple(carried)
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}" + "".join(f", `{n}` {landed.schema[n].dataType.simpleString()}" for n in carried)
 
     def keep(_, table: pa.Table, found: dict) -> pa.Table:
@@ -340,8 +340,8 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", bytewi
             n_spans.append(len(pairs))
             kept.append(left if bytewise else None if missing[r] else left.decode())
         numbers = [pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)]
-        return pa.Table.from_arrays([table.column("doc_id"), *numbers, pa.array(kept, pa.binary() if bytewise else pa.string()), *(table.column(n) for n in carried)],
-                                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carried])
+        return pa.Table.from_arrays([table.column("doc_id"), *numbers, pa.array(kept, pa.binary() if bytewise else pa.string()), *(table.column(n) for n in names)],
+                                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *names])
 
     return together(landed, grams.unionByName(runs), keep, schema, ("text", *carried))
 
