@@ -19,14 +19,22 @@ def seed_summary(metrics: DataFrame, keys: Sequence[str], value: str = "nll") ->
     )
 
 
+def only(condition: Column | None, value: Column) -> Column:
+    """The one value of a group that meets ``condition`` (null if none does); a second one is an error."""
+    chosen = value if condition is None else F.when(condition, value)
+    repeated = F.raise_error(F.lit("A key occurs more than once where one value is expected"))
+    return F.when(F.count(chosen) > 1, repeated).otherwise(F.max(chosen))
+
+
 def pivot_metrics(metrics: DataFrame, keys: Sequence[str], column: str, names: Sequence[str], value: str = "nll") -> DataFrame:
-    return metrics.groupBy(*keys).pivot(column, list(names)).agg(F.first(value))
+    """One column per name; two values for one key and name are an error."""
+    return metrics.groupBy(*keys).agg(*[only(F.col(column) == name, F.col(value)).alias(str(name)) for name in names])
 
 
 def paired_rows(metrics: DataFrame, left: str, right: str, on: Sequence[str], value: str = "nll", column: str = "method") -> DataFrame:
     """Left minus right on matching keys: one aggregate in place of a self join."""
     sides = metrics.where(F.col(column).isin(left, right)).groupBy(*on).agg(
-        F.max(F.when(F.col(column) == left, F.col(value))).alias("_l"), F.max(F.when(F.col(column) == right, F.col(value))).alias("_r")
+        only(F.col(column) == left, F.col(value)).alias("_l"), only(F.col(column) == right, F.col(value)).alias("_r")
     )
     both = sides.where(F.col("_l").isNotNull() & F.col("_r").isNotNull())
     return both.select(*on, F.lit(f"{left} - {right}").alias("comparison"), (F.col("_l") - F.col("_r")).alias("delta"))
@@ -63,7 +71,7 @@ def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], cardinali
 
 def wins_ties(deltas: DataFrame, keys: Sequence[str], seeds: Sequence[int]) -> DataFrame:
     """Wins below, and ties within, the tolerance; one column per seed."""
-    per_seed = [F.max(F.when(F.col("seed") == s, F.col("delta"))).alias(f"seed_{s}") for s in seeds]
+    per_seed = [only(F.col("seed") == s, F.col("delta")).alias(f"seed_{s}") for s in seeds]
     return deltas.groupBy(*keys).agg(
         F.avg("delta").alias("mean_delta"),
         F.count_if(F.col("delta") < -TOLERANCE).alias("wins"),
@@ -83,7 +91,7 @@ def gap_change(
     metrics: DataFrame, study: str, old: str, new: str, left: str, right: str, keys: Sequence[str], value: str = "nll"
 ) -> DataFrame:
     """Gap ``left - right`` in two studies side by side, and how each method moved."""
-    cell = lambda s, m: F.max(F.when((F.col(study) == s) & (F.col("method") == m), F.col(value)))
+    cell = lambda s, m: only((F.col(study) == s) & (F.col("method") == m), F.col(value))
     wide = metrics.groupBy(*keys).agg(
         cell(old, left).alias("_ol"), cell(old, right).alias("_or"), cell(new, left).alias("_nl"), cell(new, right).alias("_nr")
     )

@@ -6,6 +6,7 @@ nothing is densified and no session is ever gathered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,8 +70,8 @@ def check_prior(prior: DataFrame, tolerance: float = 1e-9) -> None:
 
 
 def check_strength(*strengths: float) -> None:
-    if not strengths or min(strengths) <= 0:
-        raise ValueError("Shrinkage strengths must be positive")
+    if not strengths or not all(math.isfinite(s) and s > 0 for s in strengths):
+        raise ValueError("Shrinkage strengths must be positive and finite")
 
 
 def shrunk(n: Column, total: Column, prior: Column, strength) -> Column:
@@ -81,13 +82,17 @@ def shrunk(n: Column, total: Column, prior: Column, strength) -> Column:
 
 
 def with_counts(pairs: DataFrame, counts: DataFrame, prior: DataFrame, vocab: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Attach to each (prev, next) its count, its row's total and the prior of ``next``."""
+    """Attach to each (prev, next) its count, its row's total and the prior of ``next``; a prior that is not positive is an error.
+
+    Without ``keys`` the tables have at most vocab² rows and may be sent to all tasks; with them adaptive execution looks at sizes.
+    """
+    fits = (lambda df, rows: df) if keys else bounded
     totals = counts.groupBy(*keys, "prev").agg(F.sum("n").alias("row_n"))
-    marginal = prior.select(*keys, F.col("token").alias("next"), F.col("p").alias("prior_p"))
+    marginal = prior.select(*keys, F.col("token").alias("next"), F.when(F.col("p") > 0, F.col("p")).otherwise(F.raise_error(F.lit("A prior must be positive"))).alias("prior_p"))
     return (
-        pairs.join(bounded(counts.select(*keys, "prev", "next", "n"), vocab**2), [*keys, "prev", "next"], "left")
-        .join(bounded(totals, vocab), [*keys, "prev"], "left")
-        .join(bounded(marginal, vocab), [*keys, "next"])
+        pairs.join(fits(counts.select(*keys, "prev", "next", "n"), vocab**2), [*keys, "prev", "next"], "left")
+        .join(fits(totals, vocab), [*keys, "prev"], "left")
+        .join(fits(marginal, vocab), [*keys, "next"])
     )
 
 
@@ -176,7 +181,8 @@ def top_next(counts: DataFrame, prior: DataFrame, strength: float, binner: Binne
     """The ``k`` likeliest next events after each seen token, with their typical seconds, return and size.
 
     Unseen successors rank by the prior alone, so the best ``k`` of a row are among its seen
-    successors and the prior's best ``k`` tokens that it has not seen; nothing is densified.
+    successors and the prior's best ``k`` tokens that it has not seen: those are among its best
+    ``k`` and as many as the row has seen.
     """
     check_strength(strength)
     bins, vocab = binner.bins, binner.bins**3
@@ -188,7 +194,7 @@ def top_next(counts: DataFrame, prior: DataFrame, strength: float, binner: Binne
     ranked = prior.agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("q"), F.col("token").alias("next")))).alias("_all"))
     unseen = per_row.join(F.broadcast(ranked)).select(
         "prev", "row_n",
-        F.explode(F.slice(F.filter(F.col("_all.next"), lambda t: ~F.array_contains(F.col("_seen"), t)), 1, k)).alias("next"),
+        F.explode(F.slice(F.array_except(F.slice(F.col("_all.next"), F.lit(1), F.size("_seen") + k), F.col("_seen")), 1, k)).alias("next"),
     )
     both = seen.unionByName(unseen.withColumn("n", F.lit(0).cast("bigint"))).join(marginal, "next")
     scored = both.withColumn("p", shrunk(F.col("n"), F.col("row_n"), F.col("prior_p"), strength))

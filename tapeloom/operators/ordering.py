@@ -113,6 +113,16 @@ def spread(big: DataFrame, per_key: DataFrame, keys: Sequence[str], pos: str, si
     return big.withColumn("_chunk", chunk_of(pos, CHUNK_ROWS)).join(repeated.drop("rows"), [*keys, "_chunk"]).drop("_chunk")
 
 
+def require_finite(df: DataFrame, columns: Sequence[str]) -> None:
+    """NaN and infinite values have no place in an order; they are refused by count, whatever the number of rows."""
+    real = [c for c in columns if df.schema[c].dataType.typeName() in ("double", "float")]
+    if real:
+        odd = df.agg(*[F.count_if(F.isnan(c) | (F.abs(F.col(c)) == float("inf"))).alias(c) for c in real]).first()
+        bad = {c: odd[c] for c in real if odd[c]}
+        if bad:
+            raise ValueError(f"Values that are not finite: {bad}")
+
+
 def order_statistics(
     df: DataFrame, ranks: dict[str, Sequence[int]], counts: dict[str, int], gather: int = 100_000, accuracy: int = 2_000
 ) -> dict[tuple[str, int], float]:
@@ -126,6 +136,7 @@ def order_statistics(
     for c, wanted in ranks.items():
         if any(not 0 <= r < counts[c] for r in wanted):
             raise ValueError(f"Rank outside the {counts[c]} values of {c}")
+    require_finite(df, [c for c, wanted in ranks.items() if wanted])
     found: dict[tuple[str, int], float] = {}
     # (column, low, high), both ends excluded, to (rows before it, rows in it, ranks in it).
     open_ = {(c, None, None): (0, counts[c], sorted(set(wanted))) for c, wanted in ranks.items() if wanted}

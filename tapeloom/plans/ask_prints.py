@@ -81,7 +81,7 @@ def zip_round_trip(spark, sf_dir):
     """Prints packed into ZIP archives by the executors and read back, one task per member."""
     folder = scratch(spark, "zips").removeprefix("file:")
     os.makedirs(folder)
-    spread = tape.raw_prints(spark, sf_dir).repartition(3, "seq")
+    spread = tape.raw_prints(spark, sf_dir).repartition("seq")
     paths = [r.path for r in spread.mapInPandas(zip_batches(folder), "path string").collect()]
     df = prints.read_prints(spark, paths)
     symbol = symbol_of(F.col("sym_root"), F.col("sym_suffix"))

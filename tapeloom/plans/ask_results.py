@@ -514,7 +514,7 @@ def session_fingerprints(p: Prepared):
     """Fingerprints of the coded events are the same however the rows are spread."""
     columns = [*KEY, "e", "c0", "c1", "c2"]
     one = integrity.session_fingerprints(p.coded, KEY, columns)
-    other = integrity.session_fingerprints(p.coded.repartition(7, "e"), KEY, columns).select(*KEY, F.col("hash_sum").alias("_h"))
+    other = integrity.session_fingerprints(p.coded.repartition("e"), KEY, columns).select(*KEY, F.col("hash_sum").alias("_h"))
     return one.join(other, list(KEY)).select(*KEY, "rows", (F.col("hash_sum") == F.col("_h")).alias("same"))
 
 
