@@ -10,8 +10,10 @@ with the largest one that still fits. Smaller pieces then go, from the largest d
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections import deque
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ from .scan import slices
 CAPACITY = 1024
 END = 2
 #: Words whose ids a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 _UNEVEN = re.compile(r" (?![^\s\x1c-\x1f])")
 _CUT = re.compile(r" (?=[^\s\x1c-\x1f])")
@@ -37,28 +39,35 @@ class Encoder:
     among spaces, so a text may be cut before each space that another character follows, and pieces are remembered."""
 
     def __init__(self, path: str):
+        # One thread for each task: Spark runs a task on every core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit numbers; pieces that are new are encoded together."""
+        cut = [_CUT.split(t) if _UNEVEN.search(t) else t.split(" ") for t in texts]
+        known = self.known
+        found = [list(map(known.get, words[1:])) for words in cut]
+        new = list({w for words, own in zip(cut, found, strict=True) if None in own for w, x in zip(words[1:], own, strict=True) if x is None})
+        made = dict(zip(new, self._encode([f" {w}" for w in new]), strict=True))
+        heads = self._encode([words[0] for words in cut])
+        out = []
+        for words, own, head in zip(cut, found, heads, strict=True):
+            if None in own:
+                own = [made[w] if x is None else x for w, x in zip(words[1:], own, strict=True)]
+            out.append(b"".join([head, *own]))
+        room = REMEMBERED - len(known)
+        known.update(made if len(made) <= room else dict(list(made.items())[: max(room, 0)]))
+        return out
 
     def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        words = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
-        head, words = words[0], words[1:]
-        out = list(map(self.known.get, words))
-        if None in out:
-            new = list({w for w, x in zip(words, out, strict=True) if x is None})
-            made = dict(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-            if len(self.known) < REMEMBERED:
-                self.known.update(made)
-            out = [made[w] if x is None else x for w, x in zip(words, out, strict=True)]
-        return b"".join([*(self._encode([head]) if head else []), *out])
+        return self.many([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,8 +96,9 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
         last = np.array([end], "<u4").tobytes()
         for batch in (s for b in batches for s in slices(b, "text")):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder(path).ids(text or "") + last
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).many(texts), strict=True):
+                ids += last
                 total = len(ids) // 4
                 at, k = 0, 0
                 while at < total:
