@@ -10,9 +10,6 @@ frequent a key is, a bucket gets it at most once per chunk.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import land, shared_dir
-from .scan import text_bytes
+from .scan import settle, text_bytes
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 6 << 20
@@ -120,14 +117,6 @@ def whole(differences: np.ndarray) -> np.ndarray:
     return np.cumsum(differences, dtype=differences.dtype)
 
 
-def settle() -> None:
-    """Give memory that a worker has freed back to the system: workers outlive their tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def split_ordered(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds of each bucket in ordered 64-bit keys: bucket ``b`` has the keys of the ``b``-th equal part of the key space."""
     step = (1 << 64) // buckets + 1

@@ -6,6 +6,8 @@ blocks of bytes, so memory beyond the per-word arrays is bounded whatever the le
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -85,6 +87,13 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def settle() -> None:
+    """Give memory that a worker has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch, column: str, nbytes: int = SLICE) -> Iterator:
     """Parts of a batch or table with at most ``nbytes`` of text, or one row."""
     if batch.num_rows == 0:
@@ -96,6 +105,7 @@ def slices(batch, column: str, nbytes: int = SLICE) -> Iterator:
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+    settle()
 
 
 @dataclass

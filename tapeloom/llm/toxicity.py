@@ -82,9 +82,10 @@ def fit(docs: DataFrame, sample: DataFrame, settings: Settings = Settings(), id:
 
     def learn(table):
         ids, y = table.column("id").to_numpy(), table.column("y").to_numpy()
-        sets = [np.frombuffer(f, "<u4") for f in table.column("features").to_pylist()]
-        order = sorted(range(len(sets)), key=lambda i: (int(ids[i]), sets[i].tobytes()))
-        order = [order[i] for i in np.random.default_rng(5).permutation(len(order))]
+        sets = [np.frombuffer(f.as_buffer(), "<u4") for f in table.column("features")]
+        # Rows of one id come by size and sum of their features, so equal inputs are learned in one order.
+        order = np.lexsort(([int(s.sum(dtype=np.uint64)) & 0xFFFFFFFF for s in sets], [len(s) for s in sets], ids))
+        order = order[np.random.default_rng(5).permutation(len(order))].tolist()
         index, weight, bias = ftrl([sets[i] for i in order], y[order], settings)
         return pa.Table.from_arrays([pa.array([*index.tolist(), -1], pa.int64()), pa.array([*weight.tolist(), bias], pa.float64())], ["feature", "weight"])
 
@@ -98,7 +99,7 @@ def ftrl(sets: list[np.ndarray], y: np.ndarray, settings: Settings) -> tuple[np.
     """FTRL-proximal updates, one document at a time: weights that are not zero, and the intercept."""
     if not len(y) or y.min() == y.max():
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    z, n = np.zeros((1 << BITS) + 1, np.float32), np.zeros((1 << BITS) + 1, np.float32)
     a, b, l1, l2 = settings.alpha, settings.beta, settings.l1, settings.l2
     last = np.array([1 << BITS])
 
@@ -110,15 +111,15 @@ def ftrl(sets: list[np.ndarray], y: np.ndarray, settings: Settings) -> tuple[np.
     for _ in range(settings.passes):
         for own, label in zip(sets, y.tolist(), strict=True):
             at = np.concatenate([own, last])
-            zi, ni = z[at], n[at]
+            zi, ni = z[at].astype(np.float64), n[at].astype(np.float64)
             w = weights(zi, ni)
             g = 1 / (1 + np.exp(-min(max(w.sum(), -30.0), 30.0))) - label
             root = np.sqrt(ni + g * g)
             z[at] = zi + g - (root - np.sqrt(ni)) / a * w
             n[at] = ni + g * g
-    w = weights(z, n)
-    keep = np.flatnonzero(w[:-1])
-    return keep, w[keep], float(w[-1])
+    at = np.append(np.flatnonzero(np.abs(z[:-1]) > l1), 1 << BITS)
+    w = weights(z[at].astype(np.float64), n[at].astype(np.float64))
+    return at[:-1], w[:-1], float(w[-1])
 
 
 def scores_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
