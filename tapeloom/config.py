@@ -17,6 +17,7 @@ def clock_seconds(text: str) -> int:
 
 @dataclass(frozen=True)
 class CleanSpec:
+    # Published column names, code lists and exchange hours.
     symbol_column: str = "symbol"
     root_column: str = "sym_root"
     suffix_column: str = "sym_suffix"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,13 +85,26 @@ def zone_mix(df: DataFrame, spec: CleanSpec) -> DataFrame:
 
 
 def check_zone_mix(df: DataFrame, spec: CleanSpec) -> None:
-    row = zone_mix(df, spec).first()
-    if row.zoned and row.naive:
+    refuse_mix(zone_mix(df, spec).first().asDict())
+
+
+def refuse_mix(seen: dict) -> None:
+    if seen.get("zoned") and seen.get("naive"):
         raise ValueError("Timestamps with and without a zone are mixed; bring the input to one zone first")
 
 
+def watched(marked: DataFrame) -> tuple[DataFrame, Observation]:
+    """``marked``, which tells the kinds of its times to whoever writes it: no pass of its own."""
+    kinds = Observation()
+    return marked.observe(kinds, *kinds_of_times()), kinds
+
+
+def kinds_of_times() -> list[Column]:
+    return [F.bool_or("zoned").alias("zoned"), F.bool_or(~F.col("zoned")).alias("naive")]
+
+
 def parse_timestamps(df: DataFrame, spec: CleanSpec) -> DataFrame:
-    """Add ``ts_ns`` (UTC), ``date`` and ``clock`` (whole local seconds of the day); bad times are null.
+    """Add ``ts_ns`` (UTC), ``date``, ``clock`` (whole local seconds of the day) and ``zoned``; bad times are null.
 
     Each step is a column of its own, so that Spark evaluates the text work once per row.
     """
@@ -108,6 +121,7 @@ def parse_timestamps(df: DataFrame, spec: CleanSpec) -> DataFrame:
         )
     return (
         df.withColumn("ts_ns", utc * NANOS + fraction_nanos(F.col("_fraction")))
+        .withColumn("zoned", F.when(F.col("_clock").isNotNull(), zoned))
         .withColumn("clock", F.pmod(local, F.lit(86400)).cast("int"))
         .withColumn("date", F.date_from_unix_date(((local - F.col("clock")) / 86400).cast("int")))
         .drop("_clock", "_fraction", "_wall", "_zone", "_utc", "_local")
@@ -237,6 +251,12 @@ def audit_partials(marked: DataFrame) -> DataFrame:
     )
 
 
+def warnings_of(totals: DataFrame) -> DataFrame:
+    """A row of section ``warnings`` for each kind of repeat that occurs."""
+    note = F.when(F.col("key") == "same_symbol_timestamp_ties", TIES_WARNING).when(F.col("key") == "identical_print_rows", COPIES_WARNING)
+    return totals.where("n > 0").select(F.lit("warnings").alias("section"), note.alias("key"), F.lit(1).cast("bigint").alias("n")).where("key is not null")
+
+
 def audit(marked: DataFrame, warnings: Sequence[str] = ()) -> DataFrame:
     """The whole report as (section, key, n); repeats are counted on kept rows, codes on all rows."""
     spark = marked.sparkSession
@@ -245,11 +265,7 @@ def audit(marked: DataFrame, warnings: Sequence[str] = ()) -> DataFrame:
     totals = counted.select(
         F.inline(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in names]))
     )
-    notes = {names[0]: TIES_WARNING, names[1]: COPIES_WARNING}
-    raised = totals.where("n > 0").select(
-        F.lit("warnings").alias("section"), F.create_map(*[F.lit(x) for kv in notes.items() for x in kv])[F.col("key")].alias("key"), F.lit(1).cast("bigint").alias("n")
-    )
-    report = audit_partials(marked).unionByName(totals).unionByName(raised)
+    report = audit_partials(marked).unionByName(totals).unionByName(warnings_of(totals))
     if warnings:
         given = spark.createDataFrame([("warnings", w, 1) for w in sorted(set(warnings))], "section string, key string, n bigint")
         report = report.unionByName(given)

@@ -53,8 +53,11 @@ class Prepared:
 
     @cached_property
     def kept(self) -> DataFrame:
-        """Kept prints, landed so that ordering them does not parse the raw tape twice."""
-        return land(clean.retained(self.marked), "kept")
+        """Kept prints, landed so that ordering them does not parse the raw tape twice; a mix of zoned and naive times is refused."""
+        marked, kinds = clean.watched(self.marked)
+        kept = land(clean.retained(marked), "kept")
+        clean.refuse_mix(kinds.get)
+        return kept
 
     @cached_property
     def trades(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CleanSpec, SplitSpec
-from ..operators.clean import annotate, audit_partials, repeats, retained
+from ..operators.clean import annotate, audit_partials, kinds_of_times, refuse_mix, repeats, retained, warnings_of
 
 
 def clean_stream(raw: DataFrame, clean: CleanSpec, split: SplitSpec, out: str, checkpoint: str) -> None:
@@ -22,6 +22,7 @@ def clean_stream(raw: DataFrame, clean: CleanSpec, split: SplitSpec, out: str, c
     def land_batch(batch: DataFrame, number: int) -> None:
         marked = annotate(batch, clean, split).persist()
         try:
+            refuse_mix(marked.agg(*kinds_of_times()).first().asDict())
             retained(marked).write.mode("overwrite").parquet(f"{out}/kept/batch={number}")
             audit_partials(marked).write.mode("overwrite").parquet(f"{out}/counters/batch={number}")
         finally:
@@ -40,6 +41,5 @@ def landed_audit(spark: SparkSession, out: str) -> DataFrame:
     counters = spark.read.parquet(f"{out}/counters").groupBy("section", "key").agg(F.sum("n").alias("n"))
     names = ("same_symbol_timestamp_ties", "identical_print_rows")
     counted = repeats(landed_prints(spark, out))
-    return counters.unionByName(
-        counted.select(F.inline(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in names])))
-    )
+    totals = counted.select(F.inline(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in names])))
+    return counters.unionByName(totals).unionByName(warnings_of(totals))

@@ -4,7 +4,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tapeloom.config import CleanSpec, ClockSpec, SplitSpec, TokenSpec
 from tapeloom.operators import compare, markov, ordering
+from tapeloom.plans.prepare import prepare
+from tapeloom.sources.zipcsv import csv_members
+from tapeloom.streaming import ingest
 
 
 @pytest.mark.parametrize("rows", [10, 300_000])
@@ -40,3 +44,43 @@ def test_repeated_keys_are_an_error(spark):
 def test_strengths_are_positive_and_finite(strength):
     with pytest.raises(ValueError):
         markov.check_strength(strength)
+
+
+SPLIT = SplitSpec(seen=("AAA",), heldout=("BBB",), train=("2025-02-03",), val=("2025-02-04",), test=("2025-02-05",))
+
+
+def _tape(spark, *times):
+    rows = [(i, "AAA", t, 10.0, 5, "0", "@") for i, t in enumerate(times)]
+    return spark.createDataFrame(rows, "seq int, symbol string, timestamp string, price double, size int, tr_corr string, tr_scond string")
+
+
+def _prepared(spark, *times):
+    return prepare(_tape(spark, *times), CleanSpec(), SPLIT, TokenSpec(bins=2, context=1), ClockSpec())
+
+
+def test_prepare_refuses_mixed_zones(spark):
+    assert _prepared(spark, "2025-02-03 15:00:00", "not a time").kept.count() == 1
+    assert _prepared(spark).kept.count() == 0
+    with pytest.raises(ValueError, match="mixed"):
+        # The zoned print falls outside the calendar: it counts all the same.
+        _prepared(spark, "2025-02-03 15:00:00", "2031-02-03T15:00:00Z").kept.count()
+
+
+def test_stream_refuses_mixed_zones(spark, tmp_path):
+    raw = _tape(spark, "2025-02-03 15:00:00", "2025-02-03T15:00:00Z")
+    raw.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    feed = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "feed"))
+    with pytest.raises(Exception, match="mixed"):
+        ingest.clean_stream(feed, CleanSpec(), SPLIT, str(tmp_path / "out"), str(tmp_path / "progress"))
+
+
+def test_archive_members(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as out:
+        for name in ("b.CSV", "deep/a.csv", "__MACOSX/deep/a.csv", "notes.txt", "folder.csv/"):
+            out.writestr(name, "")
+    assert csv_members(str(tmp_path / "a.zip")) == ["b.CSV", "deep/a.csv"]
+    zipfile.ZipFile(tmp_path / "b.zip", "w").close()
+    with pytest.raises(ValueError, match="no CSV"):
+        csv_members(str(tmp_path / "b.zip"))
