@@ -8,7 +8,9 @@ the work is in proportion to the elements plus the darts, whatever the length of
 
 Documents with equal sets are folded first. Band keys are counted before they are joined: a small group of a band gives
 all its pairs, a larger one a star around its least member and is cut finer by the next band's key. Candidate pairs are
-checked on their whole texts, and classes are the components of the links, found by star contraction.
+checked on their whole texts, and classes are the components of the links, found by star contraction. Members of a larger group
+that are not in one component by then look, in random blocks of the group, for the likeliest partner by signature outside
+their component; these pairs are checked as well and join components.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
 #: Groups of a band up to this size give all their pairs.
 SMALL = 12
+#: Members of a larger group that are compared by signature at once.
+BLOCK = 64
+#: Times that the blocks are drawn, if each time before has joined components.
+DRAWS = 3
 
 _UNIT, _THROW = np.uint64(0xA24BAED4963EE407), 0x9FB21C651E98DF25
 
@@ -98,13 +104,16 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, per: int = ROWS) -> np.
 
 
 def described(named: DataFrame, weighted: bool) -> DataFrame:
-    """``rid, id__, set_key, size, bands`` of every row; the key is null for a text without words."""
+    """``rid, id__, set_key, size, bands, sketch`` of every row; the key is null for a text without words. The sketch has a byte of
+    each coordinate."""
     def describe(batches):
         for batch in (s for b in batches for s in slices(b, "text")):
             rows = batch.num_rows
             value, often, row = shingles(*text_bytes(batch.column("text")))
             weight = often.astype(np.float64) if weighted else np.ones(len(value))
-            bands = band_keys(signatures(value, weight, row, rows))
+            signature = signatures(value, weight, row, rows)
+            bands = band_keys(signature)
+            sketch = [x.tobytes() for x in (signature >> np.uint64(56)).astype(np.uint8)]
             size = np.bincount(row, weights=weight, minlength=rows).astype(np.int64)
             ends = np.searchsorted(row, np.arange(rows + 1))
             salted = mix(value * np.uint64(3) + weight.astype(np.uint64)), mix(value ^ np.uint64(0x5DEECE66D) ^ (weight.astype(np.uint64) << np.uint64(40)))
@@ -112,13 +121,14 @@ def described(named: DataFrame, weighted: bool) -> DataFrame:
             key = np.stack([s[ends[1:]] - s[ends[:-1]] for s in sums], 1).copy()
             keys = [key[r].tobytes() if size[r] else None for r in range(rows)]
             listed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id__"), pa.array(keys, pa.binary()), pa.array(size), listed], ["rid", "id__", "set_key", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id__"), pa.array(keys, pa.binary()), pa.array(size), listed, pa.array(sketch, pa.binary())], ["rid", "id__", "set_key", "size", "bands", "sketch"])
 
-    return named.mapInArrow(describe, "rid long, id__ long, set_key binary, size long, bands array<long>")
+    return named.mapInArrow(describe, "rid long, id__ long, set_key binary, size long, bands array<long>, sketch binary")
 
 
-def candidate_pairs(reps: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Distinct pairs ``a < b`` of representatives that share a band key, with sizes that allow the similarity."""
+def candidate_pairs(reps: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a < b`` of representatives that share a band key, with sizes that allow the similarity, and the members
+    (``band, key, rep, size, members``) of the groups that were too large to give all their pairs."""
     bands = reps.select("rep", "size", F.posexplode("bands").alias("band", "key"), F.col("bands"))
     rows = bands.select("rep", "size", "band", "key", F.get("bands", F.pmod(F.col("band") + 1, F.lit(BANDS))).alias("finer"))
     one = F.struct("rep", "size")
@@ -144,7 +154,32 @@ def candidate_pairs(reps: DataFrame, similar: float = SIMILAR) -> DataFrame:
         .unionByName(star(large.where(F.col("members") > SMALL)))
     )
     sizes = F.least("x.size", "y.size") >= F.lit(similar) * F.greatest("x.size", "y.size")
-    return pairs.where(sizes).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    found = pairs.where(sizes).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    return found, level.where(F.col("members") > SMALL).select("band", "key", "rep", "size", "members")
+
+
+def bridges(large: DataFrame, reps: DataFrame, roots: DataFrame, draw: int = 0, similar: float = SIMILAR) -> DataFrame:
+    """Distinct pairs that may join components: in random blocks of every large group that has several of them, each member
+    with the likeliest one of another component, if their signatures do not rule the similarity out."""
+    component = reps.select("rep", "sketch").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    members = large.join(component, "rep")
+    several = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+    blocks = members.join(several, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep", "band", F.lit(draw)), F.ceil(F.col("members") / BLOCK)))
+    least = similar - 3 * math.sqrt(similar * (1 - similar) / COORDINATES)
+
+    def likeliest(table):
+        table = table.sort_by("rep")
+        rep, size, root = (table.column(c).to_numpy() for c in ("rep", "size", "root"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        alike = np.stack([(sketch == own).mean(axis=1) for own in sketch])
+        alike[(root[:, None] == root) | (np.minimum(size[:, None], size) < similar * np.maximum(size[:, None], size))] = -1
+        best = alike.argmax(axis=1)
+        own = np.flatnonzero(alike[np.arange(len(rep)), best] >= least)
+        a, b = np.minimum(rep[own], rep[best[own]]), np.maximum(rep[own], rep[best[own]])
+        return pa.Table.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    chosen = blocks.select("band", "key", "block", "rep", "size", "root", "sketch")
+    return chosen.groupBy("band", "key", "block").applyInArrow(likeliest, "a long, b long").distinct()
 
 
 def links(pairs: DataFrame, texts: DataFrame, similar: float, weighted: bool) -> DataFrame:
@@ -193,22 +228,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``docs`` landed with a row number ``rid``, and per ``rid`` its class.
+    """``docs`` landed as ``row`` with a row number ``rid``, and per ``rid`` its class.
 
-    The second table has ``rid, class_id`` (least id of the class), ``keep`` (one row of each class) and ``n_links`` (links of the
-    row's set to different sets). Rows whose shingle sets are equal are one class without being paired; texts without words,
+    The second table has ``rid, class_id`` (least id of the class), ``keep`` (one row of each class) and ``n_links`` (checked links of
+    the row's set to different sets; in a larger group those that join its class, not all that there are). Rows whose shingle sets are equal are one class without being paired; texts without words,
     null ones too, are alone, each its own class. Ties of ids are broken by the order of reading; a null id comes last.
     ``weighted`` counts a shingle as often as it occurs.
     """
-    landed = land(docs.withColumn("rid", F.monotonically_increasing_id()), "docs")
-    named = landed.select("rid", F.col(id).cast("long").alias("id__"), F.col(text).alias("text"))
+    landed = land(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "docs")
+    named = landed.select("rid", F.col("row")[id].cast("long").alias("id__"), F.col("row")[text].alias("text"))
     facts = land(described(named, weighted), "sets")
     order = F.struct(F.col("id__").isNull().alias("n"), F.col("id__").alias("i"), F.col("rid").alias("r"))
-    sets = facts.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rep"), F.min(order).alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    sets = facts.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rep"), F.min(order).alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     sets = land(sets, "representatives")
-    pairs = land(candidate_pairs(sets, similar), "pairs")
-    found = land(links(pairs, named.select("rid", "text"), similar, weighted), "edges")
+    texts = named.select("rid", "text")
+    pairs, large = candidate_pairs(sets, similar)
+    found = land(links(land(pairs, "pairs"), texts, similar, weighted), "edges")
     roots = components(found)
+    for draw in range(DRAWS):
+        more = land(links(land(bridges(large, sets, roots, draw, similar), "pairs"), texts, similar, weighted), "edges")
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+        roots = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     labelled = sets.select("set_key", F.col("rep").alias("node"), "least").join(roots, "node", "left").join(degree, "node", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "node"))
@@ -225,11 +267,11 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: fl
 def clean_rows(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with all columns of ``docs``."""
     landed, found = classes(docs, **options)
-    return landed.join(found.where("keep").select("rid"), "rid", "left_semi").drop("rid")
+    return landed.join(found.where("keep").select("rid"), "rid", "left_semi").select("row.*")
 
 
 def report(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """One row per document: its class, whether it is the one that stays, and its set's links to different sets."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     landed, found = classes(chosen, weighted=weighted)
-    return landed.select("rid", "doc_id").join(found, "rid").select("doc_id", "class_id", "keep", "n_links")
+    return landed.select("rid", "row.doc_id").join(found, "rid").select("doc_id", "class_id", "keep", "n_links")

@@ -116,6 +116,20 @@ def test_near_copies(tables, corpus):
     assert kept.columns == tables[0].columns and kept.count() == len(set(root.values()))
 
 
+def test_near_copies_of_a_dense_group(spark):
+    """Copies with five changed words each: all in one class, though most pairs are below the similarity and no star joins them."""
+    rng, rows = np.random.default_rng(7), []
+    for d in range(600):
+        words = [f"b{k}" for k in range(400)]
+        for k in rng.choice(400, 5, replace=False).tolist():
+            words[k] = f"x{d}_{k}"
+        rows.append((d, " ".join(words), "kept"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+    assert {r.class_id for r in minhash.report(docs).collect()} == {0}
+    left = minhash.clean_rows(docs).collect()
+    assert [tuple(r) for r in left] == rows[:1]
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     element = rng.integers(0, 1 << 62, 400).astype(np.uint64)
