@@ -161,10 +161,12 @@ def candidate_pairs(reps: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
 def bridges(large: DataFrame, reps: DataFrame, roots: DataFrame, draw: int = 0, similar: float = SIMILAR) -> DataFrame:
     """Distinct pairs that may join components: in random blocks of every large group that has several of them, each member
     with the likeliest one of another component, if their signatures do not rule the similarity out."""
-    component = reps.select("rep", "sketch").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    members = large.join(component, "rep")
+    members = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     several = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    blocks = members.join(several, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep", "band", F.lit(draw)), F.ceil(F.col("members") / BLOCK)))
+    place = F.pmod(F.xxhash64("rep", "band", F.lit(draw)), F.ceil(F.col("members") / BLOCK))
+    # Blocks are keys of their own, so that a large group's are dealt to all tasks; signatures travel with split groups only.
+    blocks = members.join(several, ["band", "key"]).select(F.xxhash64("band", "key", place).alias("block"), "rep", "size", "root")
+    blocks = blocks.join(reps.select("rep", "sketch"), "rep")
     least = similar - 3 * math.sqrt(similar * (1 - similar) / COORDINATES)
 
     def likeliest(table):
@@ -178,12 +180,13 @@ def bridges(large: DataFrame, reps: DataFrame, roots: DataFrame, draw: int = 0,
         a, b = np.minimum(rep[own], rep[best[own]]), np.maximum(rep[own], rep[best[own]])
         return pa.Table.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    chosen = blocks.select("band", "key", "block", "rep", "size", "root", "sketch")
-    return chosen.groupBy("band", "key", "block").applyInArrow(likeliest, "a long, b long").distinct()
+    return blocks.groupBy("block").applyInArrow(likeliest, "a long, b long").distinct()
 
 
 def links(pairs: DataFrame, texts: DataFrame, similar: float, weighted: bool) -> DataFrame:
     """The pairs whose whole texts have a similarity of at least ``similar``."""
+    # Only texts that are in a pair are dealt out.
+    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid", "left_semi")
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
