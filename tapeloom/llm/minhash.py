@@ -8,9 +8,10 @@ the work is in proportion to the elements plus the darts, whatever the length of
 
 Documents with equal sets are folded first. Band keys are counted before they are joined: a small group of a band gives
 all its pairs, a larger one a star around its least member and is cut finer by the next band's key. Candidate pairs are
-checked on their whole texts, and classes are the components of the links, found by star contraction. Members of a larger group
-that are not in one component by then look, in random blocks of the group, for the likeliest partner by signature outside
-their component; these pairs are checked as well and join components.
+checked on their whole texts, and classes are the components of the links, found by star contraction. A larger group whose members
+are not in one component by then is searched whole: first inside random blocks, then, if that leaves several components, every
+block of members outside the largest component against every other block. The overlaps of all pairs of a block are
+counted exactly, so that two members of a group that are similar enough are always in one class.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
 #: Groups of a band up to this size give all their pairs.
 SMALL = 12
-#: Members of a larger group that are compared by signature at once.
-BLOCK = 64
-#: Times that the blocks are drawn, if each time before has joined components.
-DRAWS = 3
+#: A block of a larger group has about so many members and shingles at most.
+BLOCK, BLOCK_SHINGLES = 256, 250_000
+#: Shingles of at most so many members of a block are counted pair by pair, others by products of matrices.
+RARE, COLUMNS = 12, 4096
 
 _UNIT, _THROW = np.uint64(0xA24BAED4963EE407), 0x9FB21C651E98DF25
 
@@ -104,16 +105,13 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, per: int = ROWS) -> np.
 
 
 def described(named: DataFrame, weighted: bool) -> DataFrame:
-    """``rid, id__, set_key, size, bands, sketch`` of every row; the key is null for a text without words. The sketch has a byte of
-    each coordinate."""
+    """``rid, id__, set_key, size, bands`` of every row; the key is null for a text without words."""
     def describe(batches):
         for batch in (s for b in batches for s in slices(b, "text")):
             rows = batch.num_rows
             value, often, row = shingles(*text_bytes(batch.column("text")))
             weight = often.astype(np.float64) if weighted else np.ones(len(value))
-            signature = signatures(value, weight, row, rows)
-            bands = band_keys(signature)
-            sketch = [x.tobytes() for x in (signature >> np.uint64(56)).astype(np.uint8)]
+            bands = band_keys(signatures(value, weight, row, rows))
             size = np.bincount(row, weights=weight, minlength=rows).astype(np.int64)
             ends = np.searchsorted(row, np.arange(rows + 1))
             salted = mix(value * np.uint64(3) + weight.astype(np.uint64)), mix(value ^ np.uint64(0x5DEECE66D) ^ (weight.astype(np.uint64) << np.uint64(40)))
@@ -121,9 +119,9 @@ def described(named: DataFrame, weighted: bool) -> DataFrame:
             key = np.stack([s[ends[1:]] - s[ends[:-1]] for s in sums], 1).copy()
             keys = [key[r].tobytes() if size[r] else None for r in range(rows)]
             listed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id__"), pa.array(keys, pa.binary()), pa.array(size), listed, pa.array(sketch, pa.binary())], ["rid", "id__", "set_key", "size", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id__"), pa.array(keys, pa.binary()), pa.array(size), listed], ["rid", "id__", "set_key", "size", "bands"])
 
-    return named.mapInArrow(describe, "rid long, id__ long, set_key binary, size long, bands array<long>, sketch binary")
+    return named.mapInArrow(describe, "rid long, id__ long, set_key binary, size long, bands array<long>")
 
 
 def candidate_pairs(reps: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -158,29 +156,96 @@ def candidate_pairs(reps: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     return found, level.where(F.col("members") > SMALL).select("band", "key", "rep", "size", "members")
 
 
-def bridges(large: DataFrame, reps: DataFrame, roots: DataFrame, draw: int = 0, similar: float = SIMILAR) -> DataFrame:
-    """Distinct pairs that may join components: in random blocks of every large group that has several of them, each member
-    with the likeliest one of another component, if their signatures do not rule the similarity out."""
+def unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the large groups that have several components, with the ``root`` of each, the group's members ``n`` and
+    shingles ``s``, and those of its largest component ``main``."""
     members = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    several = members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    place = F.pmod(F.xxhash64("rep", "band", F.lit(draw)), F.ceil(F.col("members") / BLOCK))
-    # Blocks are keys of their own, so that a large group's are dealt to all tasks; signatures travel with split groups only.
-    blocks = members.join(several, ["band", "key"]).select(F.xxhash64("band", "key", place).alias("block"), "rep", "size", "root")
-    blocks = blocks.join(reps.select("rep", "sketch"), "rep")
-    least = similar - 3 * math.sqrt(similar * (1 - similar) / COORDINATES)
-
-    def likeliest(table):
+    parts = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    groups = parts.groupBy("band", "key").agg(F.max(F.struct("n", "root", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("parts"))
+    return members.join(groups.where("parts > 1").drop("parts"), ["band", "key"])
+
+
+def _blocks(n: F.Column, s: F.Column) -> F.Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES))
+
+
+def single_blocks(members: DataFrame) -> DataFrame:
+    """``block, rep, root``: every member in one random block of its group. A block is a key of its own, so that a large group's
+    are dealt to all tasks."""
+    place = F.pmod(F.xxhash64("rep", "band"), _blocks(F.col("n"), F.col("s")))
+    return members.select(F.xxhash64("band", "key", place).alias("block"), "rep", "root")
+
+
+def paired_blocks(members: DataFrame) -> DataFrame:
+    """``block, rep, root``: every pair of blocks of a group of which one at least is outside its largest component, so that all
+    pairs of members with different roots meet."""
+    outside = F.col("root") != F.col("main.root")
+    rest, main = _blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")), _blocks(F.col("main.n"), F.col("main.s"))
+    place = F.xxhash64("rep", "band", F.lit(1))
+    own = F.when(outside, F.pmod(place, rest)).otherwise(rest + F.pmod(place, main))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, rest + main).otherwise(rest) - 1))
+    spread = members.where(_blocks(F.col("n"), F.col("s")) > 1).select("band", "key", "rep", "root", own.alias("own"), other.alias("other"))
+    return spread.where("own <> other").select(F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "rep", "root")
+
+
+def overlaps(element: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How many elements every two rows share, exactly; the entries above the diagonal count. Elements of a row are distinct."""
+    order = np.lexsort((row, element))
+    element, row = element[order], row[order]
+    new = np.ones(len(element), bool)
+    new[1:] = element[1:] != element[:-1]
+    column, often = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(element)))
+    shared = np.zeros(rows * rows)
+    few = often[column] <= RARE
+    c, r = column[few], row[few]
+    for d in range(1, RARE):
+        same = c[d:] == c[:-d]
+        if not same.any():
+            break
+        shared += np.bincount(r[:-d][same] * rows + r[d:][same], minlength=rows * rows)
+    shared = shared.reshape(rows, rows)
+    column, row = np.unique(column[~few], return_inverse=True)[1], row[~few]
+    ends = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + COLUMNS + 1, COLUMNS))
+    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        has = np.zeros((rows, COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - k * COLUMNS] = 1
+        shared += has @ has.T
+    return shared
+
+
+def joining(blocks: DataFrame, texts: DataFrame, similar: float, weighted: bool) -> DataFrame:
+    """Links ``a < b`` that join the components of each block's members: all pairs of a block are compared on their whole texts."""
+    texts = texts.join(blocks.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi")
+    both = blocks.join(texts.select(F.col("rid").alias("rep"), "text"), "rep").select("block", "rep", "root", "text")
+
+    def compare(table):
         table = table.sort_by("rep")
-        rep, size, root = (table.column(c).to_numpy() for c in ("rep", "size", "root"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        alike = np.stack([(sketch == own).mean(axis=1) for own in sketch])
-        alike[(root[:, None] == root) | (np.minimum(size[:, None], size) < similar * np.maximum(size[:, None], size))] = -1
-        best = alike.argmax(axis=1)
-        own = np.flatnonzero(alike[np.arange(len(rep)), best] >= least)
-        a, b = np.minimum(rep[own], rep[best[own]]), np.maximum(rep[own], rep[best[own]])
-        return pa.Table.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return blocks.groupBy("block").applyInArrow(likeliest, "a long, b long").distinct()
+        rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
+        value, often, row = shingles(*text_bytes(table.column("text")))
+        if weighted:  # the second of two equal shingles is an element of its own
+            nth = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+            value, row = mix(np.repeat(value, often) + nth.astype(np.uint64) * _UNIT), np.repeat(row, often)
+        n = len(rep)
+        size = np.bincount(row, minlength=n)
+        shared = overlaps(value, row, n)
+        linked = np.triu((shared >= similar * (size[:, None] + size - shared)) & (root[:, None] != root), 1)
+        head, out = {}, []
+
+        def find(x):
+            while (up := head.get(x, x)) != x:
+                head[x] = head.get(up, up)
+                x = up
+            return x
+
+        for i, j in np.argwhere(linked).tolist():
+            x, y = find(root[i]), find(root[j])
+            if x != y:
+                head[max(x, y)] = min(x, y)
+                out.append((rep[i], rep[j]))
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return both.groupBy("block").applyInArrow(compare, "a long, b long").distinct()
 
 
 def links(pairs: DataFrame, texts: DataFrame, similar: float, weighted: bool) -> DataFrame:
@@ -242,18 +307,20 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: fl
     named = landed.select("rid", F.col("row")[id].cast("long").alias("id__"), F.col("row")[text].alias("text"))
     facts = land(described(named, weighted), "sets")
     order = F.struct(F.col("id__").isNull().alias("n"), F.col("id__").alias("i"), F.col("rid").alias("r"))
-    sets = facts.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rep"), F.min(order).alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    sets = facts.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rep"), F.min(order).alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     sets = land(sets, "representatives")
     texts = named.select("rid", "text")
     pairs, large = candidate_pairs(sets, similar)
     found = land(links(land(pairs, "pairs"), texts, similar, weighted), "edges")
     roots = components(found)
-    for draw in range(DRAWS):
-        more = land(links(land(bridges(large, sets, roots, draw, similar), "pairs"), texts, similar, weighted), "edges")
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
-        roots = components(found)
+    for dealt in (single_blocks, paired_blocks):
+        blocks = land(dealt(unsettled(large, roots)), "blocks")
+        if blocks.isEmpty():
+            continue
+        more = land(joining(blocks, texts, similar, weighted), "edges")
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            roots = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     labelled = sets.select("set_key", F.col("rep").alias("node"), "least").join(roots, "node", "left").join(degree, "node", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "node"))

@@ -130,6 +130,33 @@ def test_near_copies_of_a_dense_group(spark):
     assert [tuple(r) for r in left] == rows[:1]
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_near_copies_of_a_group_with_few_links(spark, monkeypatch, weighted):
+    """Copies with six changed words each: few of all pairs are links, and every link counts, across blocks too."""
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    rng, sets = np.random.default_rng(8), {}
+    for d in range(1200):
+        words = [f"b{k % 390}" for k in range(400)]
+        for k in rng.choice(400, 6, replace=False).tolist():
+            words[k] = f"x{d}_{k}"
+        sets[d] = words
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in sets.items()], "doc_id long, text string")
+    bags = {d: collections.Counter(tuple(w[k : k + 5]) for k in range(396)) for d, w in sets.items()}
+    names = {g: i for i, g in enumerate(sorted({g for b in bags.values() for g in b}))}
+    most = 2 if weighted else 1
+    have = np.zeros((len(bags), most * len(names)), np.float32)
+    for d, bag in bags.items():
+        for g, n in bag.items():
+            have[d, [most * names[g] + k for k in range(min(n, most))]] = 1
+    shared, size = have @ have.T, have.sum(axis=1)
+    linked = shared >= 0.8 * (size[:, None] + size - shared)
+    want = np.arange(len(bags))
+    while (now := np.where(linked, want, len(bags)).min(axis=1)).tolist() != want.tolist():
+        want = now
+    got = by_id(minhash.report(docs, weighted=weighted), "class_id")
+    assert [got[d][0] for d in range(len(bags))] == want.tolist() and 1 < len(set(want.tolist())) < len(bags)
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     element = rng.integers(0, 1 << 62, 400).astype(np.uint64)
