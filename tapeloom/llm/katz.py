@@ -1,12 +1,12 @@
 """Katz backoff scoring of whole texts with bigrams over unigrams, Good-Turing discounts and exact normalisation.
 
     p(w)     = d1[c(w)] c(w) / N                     for a word seen in training; what is left over is the unseen word's
-    p(w | u) = s(u) d2[c(u w)] c(u w) / c(u)         if the pair was seen at least ``LEAST`` times
+    p(w | u) = s(u) d2[c(u w)] c(u w) / c(u)         if the pair was seen at least ``least`` times
              = a(u) p(w)                             otherwise
 
 ``a(u)`` makes the probabilities after ``u`` add up to one over all words and the unseen one; ``s(u)`` is 1 unless that would
-leave less than one count in ``c(u) + 1``. Pairs seen once are not kept, as is usual for backoff models: first 32-bit keys of all
-pairs are exchanged, and only those that may occur twice travel whole. Counts lie in tables partitioned by key. A chunk
+leave less than one count in ``c(u) + 1``. With a ``least`` of 1 every pair counts and all travel whole. With a larger one 32-bit keys of
+all pairs are exchanged first, and only pairs that may be frequent enough travel whole. Counts lie in tables partitioned by key. A chunk
 asks for each distinct word, pair and context once; a context as frequent as to fill a bucket is cut by the word that follows.
 """
 
@@ -22,14 +22,14 @@ from .scan import LOWER, SPACED, mix, scan, text_bytes
 
 #: Counts up to this one are discounted.
 HIGHEST = 5
-#: Pairs seen less often are left to the backoff.
+#: Pairs seen less often are left to the backoff if nothing else is asked for.
 LEAST = 2
 
 _WORDS, _PAIRS, _COUNTS, _STATS = 0, 1, 2, 9
 _END, _BEGIN = np.uint64(0xE4D0F7E275E9D1A7), np.uint64(0xB361A0D05747C69B)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-#: What a chunk learns of a context: pairs seen 2 to 5 times, sum of the larger counts, share of ``p`` that its pairs have.
-_CONTEXT = np.dtype([("few", "<u4", (HIGHEST - LEAST + 1,)), ("more", "<u8"), ("share", "<f8")])
+#: What a chunk learns of a context: pairs seen 1 to 5 times, sum of the larger counts, share of ``p`` that its pairs have.
+_CONTEXT = np.dtype([("few", "<u4", (HIGHEST,)), ("more", "<u8"), ("share", "<f8")])
 
 
 def discounts(seen: dict[int, int], highest: int = HIGHEST) -> np.ndarray:
@@ -88,29 +88,30 @@ class Chunk:
         self.word = self.word.astype(np.int32)
         self.pair = self.pair.astype(np.int32)
 
-    def ask(self, buckets: int) -> list[tuple[int, int, bytes]]:
+    def ask(self, buckets: int, least: int) -> list[tuple[int, int, bytes]]:
         out = [(b, _WORDS, pack(steps(self.words[p]), self.word_counts[p].astype("<u4"))) for b, p in parts_of(self.words, buckets)]
-        for b, p in parts_of(self.pairs, buckets):
+        for b, p in parts_of(self.pairs, buckets) if least > 1 else ():
             n = self.pair_counts[p]
             out.append((b, _PAIRS, pack(steps(short(self.pairs[p], b, buckets)), np.packbits(n > 0), np.packbits(n > 1))))
         return out
 
-    def learn(self, found: dict, buckets: int, documents: int) -> None:
+    def learn(self, found: dict, buckets: int, documents: int, least: int) -> None:
         """Corpus counts of the words, which pairs may be frequent enough, and the distinct contexts worth asking for."""
         self.count = np.zeros(len(self.words), np.int64)
         for b, p in parts_of(self.words, buckets):
             (self.count[p],) = unpack(found[_WORDS, b], "<u8")
-        again = np.zeros(len(self.pairs), bool)
-        for b, p in parts_of(self.pairs, buckets):
+        again = np.full(len(self.pairs), least <= 1)
+        for b, p in parts_of(self.pairs, buckets) if least > 1 else ():
             again[p] = np.unpackbits(np.frombuffer(found[_PAIRS, b], np.uint8), count=p.stop - p.start)
         self.contexts, self.pair_nth = np.unique(self.pair_context, return_inverse=True)
         place = np.minimum(np.searchsorted(self.words, self.contexts), max(0, len(self.words) - 1))
         self.context_count = np.where(self.contexts == _BEGIN, documents, self.count[place] if len(self.words) else 0)
-        self.chosen = np.flatnonzero(again & (self.context_count[self.pair_nth] >= LEAST))
+        self.least = least
+        self.chosen = np.flatnonzero(again & (self.context_count[self.pair_nth] >= least))
 
     def requests(self, buckets: int, total: int):
         """Per bucket: its contexts (numbers) and its chosen pairs, both in order of the context's hash."""
-        asked = np.flatnonzero(self.context_count >= LEAST)
+        asked = np.flatnonzero(self.context_count >= self.least)
         cuts = _cuts(self.context_count[asked], buckets, total)
         context = np.repeat(asked, cuts)
         turn = np.arange(len(context)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
@@ -148,33 +149,36 @@ def _bucket(context: np.ndarray, turn: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(context + turn.astype(np.uint64) * _PAIR) % np.uint64(buckets)).astype(np.int64)
 
 
-def _reply_first(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
-    out, stats = [], np.zeros(3 + HIGHEST, np.int64)
-    if sent := [(chunk, *unpack(payload, "<u8", "<u4")) for chunk, payload in got.get(_WORDS, [])]:
-        sent = [(chunk, whole(k), n) for chunk, k, n in sent]
-        keys, where = np.unique(np.concatenate([k for _, k, _ in sent]), return_inverse=True)
-        totals = np.zeros(len(keys), np.int64)
-        np.add.at(totals, where, np.concatenate([n for *_, n in sent]).astype(np.int64))
-        ends = np.cumsum([len(k) for _, k, _ in sent])
-        out += [(chunk, _WORDS, pack(totals[w].astype("<u8"))) for (chunk, *_), w in zip(sent, np.split(where, ends[:-1]), strict=True)]
-        stats[0], stats[1] = totals.sum(), (totals > 0).sum()
-        stats[2:] = [(totals == r).sum() for r in range(1, HIGHEST + 2)]
-    if sent := [(chunk, *unpack(payload, "<u4", "u1", "u1")) for chunk, payload in got.get(_PAIRS, [])]:
-        sent = [(chunk, whole(k), x, y) for chunk, k, x, y in sent]
-        size = [len(k) for _, k, *_ in sent]
-        key = np.concatenate([k for _, k, *_ in sent])
-        seen = np.concatenate([np.unpackbits(x, count=len(k)) + np.unpackbits(y, count=len(k)) for _, k, x, y in sent])
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(key), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        often = np.add.reduceat(seen[order].astype(np.int64), np.flatnonzero(new)) >= LEAST if len(key) else new
-        marks = np.empty(len(key), bool)
-        marks[order] = often[np.cumsum(new) - 1]
-        out += [(chunk, _PAIRS, np.packbits(x).tobytes()) for (chunk, *_), x in zip(sent, np.split(marks, np.cumsum(size)[:-1]), strict=True)]
-    return [*out, (-1, _STATS, stats.tobytes())]
-
-
-def _reply_counts(unigrams: Unigrams):
+def _reply_first(least: int):
+    def reply(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
+        out, stats = [], np.zeros(3 + HIGHEST, np.int64)
+        if sent := [(chunk, *unpack(payload, "<u8", "<u4")) for chunk, payload in got.get(_WORDS, [])]:
+            sent = [(chunk, whole(k), n) for chunk, k, n in sent]
+            keys, where = np.unique(np.concatenate([k for _, k, _ in sent]), return_inverse=True)
+            totals = np.zeros(len(keys), np.int64)
+            np.add.at(totals, where, np.concatenate([n for *_, n in sent]).astype(np.int64))
+            ends = np.cumsum([len(k) for _, k, _ in sent])
+            out += [(chunk, _WORDS, pack(totals[w].astype("<u8"))) for (chunk, *_), w in zip(sent, np.split(where, ends[:-1]), strict=True)]
+            stats[0], stats[1] = totals.sum(), (totals > 0).sum()
+            stats[2:] = [(totals == r).sum() for r in range(1, HIGHEST + 2)]
+        if sent := [(chunk, *unpack(payload, "<u4", "u1", "u1")) for chunk, payload in got.get(_PAIRS, [])]:
+            sent = [(chunk, whole(k), x, y) for chunk, k, x, y in sent]
+            size = [len(k) for _, k, *_ in sent]
+            key = np.concatenate([k for _, k, *_ in sent])
+            seen = np.concatenate([np.unpackbits(x, count=len(k)) + np.unpackbits(y, count=len(k)) for _, k, x, y in sent])
+            order = np.argsort(key, kind="stable")
+            new = np.ones(len(key), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            often = np.add.reduceat(seen[order].astype(np.int64), np.flatnonzero(new)) >= least if len(key) else new
+            marks = np.empty(len(key), bool)
+            marks[order] = often[np.cumsum(new) - 1]
+            out += [(chunk, _PAIRS, np.packbits(x).tobytes()) for (chunk, *_), x in zip(sent, np.split(marks, np.cumsum(size)[:-1]), strict=True)]
+        return [*out, (-1, _STATS, stats.tobytes())]
+
+    return reply
+
+
+def _reply_counts(unigrams: Unigrams, least: int):
     def reply(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
         sent = [(chunk, *unpack(payload, "<u8", "<u4", "<u8", "<u4", "<u8")) for chunk, payload in got.get(_COUNTS, [])]
         sent = [(chunk, whole(contexts), *more) for chunk, contexts, *more in sent]
@@ -187,13 +191,13 @@ def _reply_counts(unigrams: Unigrams):
         total = np.add.reduceat(count[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
         everywhere = np.empty(len(order), np.int64)
         everywhere[order] = total[np.cumsum(new) - 1]
-        stats = np.array([total[total >= LEAST].sum(), *[(total == r).sum() for r in range(LEAST, HIGHEST + 2)]], np.int64)
-        kept = total >= LEAST
+        stats = np.array([total[total >= least].sum(), *[(total == r).sum() for r in range(least, HIGHEST + 2)]], np.int64)
+        kept = total >= least
         u, c, p = context[order][start][kept], total[kept], unigrams.p(alone[order][start][kept].astype(np.int64))
         keys, nth = np.unique(u, return_inverse=True)
         known = np.zeros(len(keys), _CONTEXT)
-        for r in range(LEAST, HIGHEST + 1):
-            known["few"][:, r - LEAST] = np.bincount(nth[c == r], minlength=len(keys))
+        for r in range(least, HIGHEST + 1):
+            known["few"][:, r - 1] = np.bincount(nth[c == r], minlength=len(keys))
         known["more"] = np.bincount(nth, weights=np.where(c > HIGHEST, c, 0), minlength=len(keys))
         known["share"] = np.bincount(nth, weights=p, minlength=len(keys))
         out, at = [(-1, _STATS, stats.tobytes())], 0
@@ -213,34 +217,36 @@ def _stats(answers: DataFrame, size: int) -> np.ndarray:
     return sum((np.frombuffer(r["payload"], "<i8") for r in rows), np.zeros(size, np.int64))
 
 
-def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document, learned where ``held_out`` is false.
 
     A null text is empty: one end token. A null ``held_out`` counts as true. Without training rows every token is the unseen
-    one with probability 1. Repeated rows are counted and scored each by itself. Scores are log10 probabilities.
+    one with probability 1. Pairs seen less than ``least`` times, which is 1 or 2, are left to the backoff. Repeated rows are counted and scored each by itself. Scores are log10 probabilities.
     """
+    if least not in (1, 2):
+        raise ValueError(f"least is {least}: pairs are left out below one or two times only")
     buckets = buckets_of(docs.sparkSession)
     landed = chunked(docs, doc_id=F.col(id).cast("long"), text=F.col(text), held_out=F.coalesce(held_out, F.lit(True)))
     keep = ("text", "held_out")
-    first = answer(send(landed, lambda _, t: Chunk(t).ask(buckets), keep), _reply_first)
+    first = answer(send(landed, lambda _, t: Chunk(t).ask(buckets, least), keep), _reply_first(least))
     unigrams = Unigrams(_stats(first, 3 + HIGHEST))
     documents = landed.where("not held_out").count()
     first = first.where("chunk >= 0")
 
     def ask(_, table: pa.Table, found: dict) -> list[tuple]:
         chunk = Chunk(table)
-        chunk.learn(found, buckets, documents)
+        chunk.learn(found, buckets, documents, least)
         return chunk.ask_counts(buckets, unigrams.total)
 
-    second = answer(send_again(landed, first, ask, keep), _reply_counts(unigrams))
-    stats = _stats(second, 2 + HIGHEST + 1 - LEAST)
-    frequent = {r: int(stats[1 + r - LEAST]) for r in range(LEAST, HIGHEST + 2)}
+    second = answer(send_again(landed, first, ask, keep), _reply_counts(unigrams, least))
+    stats = _stats(second, 2 + HIGHEST + 1 - least)
+    frequent = {r: int(stats[1 + r - least]) for r in range(least, HIGHEST + 2)}
     factors = discounts({1: unigrams.total - int(stats[0]), **frequent})
     second = second.where("chunk >= 0")
 
     def score(_, table: pa.Table, found: dict) -> pa.Table:
         chunk = Chunk(table)
-        chunk.learn(found, buckets, documents)
+        chunk.learn(found, buckets, documents, least)
         pair = np.zeros(len(chunk.pairs), np.int64)
         taken, share = np.zeros(len(chunk.contexts)), np.zeros(len(chunk.contexts))
         for b, contexts, pairs in chunk.requests(buckets, unigrams.total):
@@ -248,7 +254,7 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
             pair[pairs] = counts
             has = contexts[np.unpackbits(bits, count=len(contexts)).astype(bool)]
             rows = rows.view(_CONTEXT)
-            taken[has] += rows["few"] @ (factors[LEAST : HIGHEST + 1] * np.arange(LEAST, HIGHEST + 1)) + rows["more"]
+            taken[has] += rows["few"] @ (factors[1 : HIGHEST + 1] * np.arange(1, HIGHEST + 1)) + rows["more"]
             share[has] += rows["share"]
         count = np.maximum(chunk.context_count, 1)
         taken = taken / count
@@ -257,7 +263,7 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
         p1 = unigrams.p(chunk.count)
         nth, word = chunk.pair_nth, chunk.pair_word
         direct = scale[nth] * factors[np.minimum(pair, HIGHEST + 1)] * pair / count[nth]
-        log = np.log10(np.where(pair >= LEAST, direct, backoff[nth] * p1[word]))
+        log = np.log10(np.where(pair >= least, direct, backoff[nth] * p1[word]))
         row = np.repeat(np.arange(table.num_rows), np.diff(chunk.first))
         total = lambda x: np.bincount(row, weights=x, minlength=table.num_rows)
         n = np.diff(chunk.first)
@@ -269,7 +275,7 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
     return together(landed, first.unionByName(second), score, schema, keep)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Scores with the fixed split: rows whose crc32(doc_id as text) mod 7 is 2 are held out."""
     key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return scored(docs, key % 7 == 2)
+    return scored(docs, key % 7 == 2, least=least)

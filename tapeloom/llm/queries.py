@@ -59,7 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": _query(lambda t: suffixes.report(t("documents"))),
     "op7_sharding": _query(lambda t: sharding.report(t("documents"))),
     "op8_quality_rules": _query(lambda t: quality.report(t("documents"), t("labels"))),
-    "op9_lm_scoring": _query(lambda t: katz.report(t("documents"))),
+    "op9_lm_scoring": _query(lambda t: katz.report(t("documents"), least=1)),
     "op10_token_counts": _query(lambda t: tokencounts.report(t("documents"), tokenizer("piece_bpe_32k.model"))),
 }
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm import decontaminate, katz, minhash, packing, quality, sharding, substrings, suffixes, tokencounts, toxicity
-from tapeloom.llm.queries import tokenizer
+from tapeloom.llm.queries import QUERIES, tokenizer
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -257,6 +257,45 @@ def test_katz(tables, corpus):
         assert got[i][4:] == pytest.approx((base, score), rel=1e-9)
 
 
+def test_katz_with_pairs_seen_once(tables, corpus):
+    """Every pair seen in training is discounted and scored itself."""
+    tokens = {i: [*SPACED.findall((t or "").translate(LOWER)), None] for i, t in corpus[0]}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    c1, c2, after = collections.Counter(), collections.Counter(), collections.Counter()
+    for i in train:
+        c1.update(tokens[i])
+        c2.update(zip(["<s>", *tokens[i]], tokens[i], strict=False))
+        after.update(["<s>", *tokens[i][:-1]])
+    total, distinct = sum(c1.values()), len(c1)
+    few = collections.Counter(c1.values())
+    unigrams = katz.Unigrams(np.array([total, distinct, *[few[r] for r in range(1, 7)]]))
+    p1 = lambda w: float(unigrams.p(np.array([c1[w]]))[0])
+    pairs = collections.Counter(c2.values())
+    factors = katz.discounts({r: pairs[r] for r in range(1, 7)})
+
+    def after_(u):
+        n, seen = max(after[u], 1), {w: c for (v, w), c in c2.items() if v == u}
+        taken = sum(factors[min(c, 6)] * c for c in seen.values()) / n
+        scale = n / (n + 1) if 1 - taken < 1 / (n + 1) else 1.0
+        rest = (1 - scale * taken) / (1 - sum(p1(w) for w in seen)) if seen else 1.0
+        return lambda w: scale * factors[min(seen[w], 6)] * seen[w] / n if w in seen else rest * p1(w)
+
+    assert abs(sum(after_("<s>")(w) for w in c1) + (after_("<s>")("never seen")) - 1) < 1e-9
+    got = by_id(katz.report(tables[0], least=1), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for i, t in tokens.items():
+        score = sum(math.log10(after_(u)(w)) for u, w in zip(["<s>", *t], t, strict=False))
+        base = sum(math.log10((c1[w] + 1) / (total + distinct + 1)) for w in t)
+        assert got[i][:4] == (i not in train, len(t), sum(c1[w] > 0 for w in t), total)
+        assert got[i][4:] == pytest.approx((base, score), rel=1e-9)
+
+
+def test_the_query_of_lm_scoring_counts_pairs_seen_once(spark, tables, tmp_path):
+    tables[0].write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(QUERIES["op9_lm_scoring"](spark, str(tmp_path)), "score")
+    assert {i: v[0] for i, v in got.items()} == pytest.approx({i: v[0] for i, v in by_id(katz.report(tables[0], least=1), "score").items()}, rel=1e-9)
+    assert got[4] != by_id(katz.report(tables[0]), "score")[4]
+
+
 def test_token_counts(tables, corpus):
     import sentencepiece
 
