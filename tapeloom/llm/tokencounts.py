@@ -7,7 +7,13 @@ their neighbours, and
 
     count(prefix) = count(prefix up to its last piece) + count(its part of that piece)
 
-Counts of whole pieces and of the prefixes of a piece are worked out once per task and distinct piece.
+Inside a piece the last token of each prefix follows from those of shorter prefixes: it is the one vocabulary entry that ends the
+prefix and stays apart from the last token of what is before it, and
+
+    count(prefix) = count(prefix without its last token) + 1
+
+so a prefix costs as many lookups as the longest entry has characters. That two tokens stay apart is worked out once for each two,
+by merging their characters. The library counts each whole piece too: a piece it disagrees on is counted by the library, prefix by prefix.
 """
 
 from __future__ import annotations
@@ -40,8 +46,15 @@ class Model:
         names = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         if any(SIGN in name.lstrip(SIGN) for name in names):
             raise ValueError(f"{path}: a token has a space behind another character, so texts cannot be cut at spaces")
+        sizes = range(self.model.get_piece_size())
+        plain = [i for i in sizes if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
+        self.score = {self.model.id_to_piece(i): self.model.get_score(i) for i in plain}
+        self.longest = max(map(len, self.score), default=1)
+        self.bytewise = any(map(self.model.is_byte, sizes))
+        self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, int] = {}
         self.steps: dict[str, np.ndarray] = {}
+        self.ends: dict[str, int] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text, each without the one space that the model puts before a text."""
@@ -60,13 +73,62 @@ class Model:
         return out
 
     def total(self, text: str) -> int:
-        return sum(self.count(self.pieces(text))) if text else 0
+        """The last entry of the prefix table: the sum of the last entries of its pieces."""
+        total = 0
+        for piece in self.pieces(text) if text else ():
+            n = self.ends.get(piece)
+            if n is None:
+                n = int(self.prefix_steps(piece)[-1]) if piece else self.count([piece])[0]
+                if len(self.ends) < REMEMBERED:
+                    self.ends[piece] = n
+            total += n
+        return total
+
+    def merged(self, text: str) -> list[str]:
+        """Tokens of a short string, by merging the best pair of neighbours as long as there is one."""
+        out = list(text)
+        while True:
+            best = max(((self.score[a + b], -k) for k, (a, b) in enumerate(zip(out[:-1], out[1:], strict=True)) if a + b in self.score), default=None)
+            if best is None:
+                return out
+            k = -best[1]
+            out[k : k + 2] = [out[k] + out[k + 1]]
+
+    def _ends(self, before: str, token: str) -> bool:
+        """Whether ``token`` stays a token of its own after ``before``, or at the start."""
+        known = self.apart.get((before, token))
+        if known is None:
+            known = self.merged(before + token) == ([before, token] if before else [token])
+            if len(self.apart) < REMEMBERED:
+                self.apart[before, token] = known
+        return known
+
+    def _worth(self, token: str) -> int:
+        return 1 if token in self.score or not self.bytewise else len(token.encode())
+
+    def recurrence(self, piece: str) -> np.ndarray:
+        """Counts of the prefixes of a piece from those of shorter ones."""
+        text = SIGN + piece.replace(" ", SIGN)
+        count, last = [0], [""]
+        for i in range(1, len(text) + 1):
+            for n in range(min(self.longest, i), 0, -1):
+                token = text[i - n : i]
+                if (n == 1 or token in self.score) and self._ends(last[i - n], token):
+                    break
+            last.append(token)
+            # Unknown characters side by side are one token if the model does not spell them in bytes.
+            joined = not self.bytewise and token not in self.score and last[i - n] and last[i - n] not in self.score
+            count.append(count[i - n] + (0 if joined else self._worth(token)))
+        return np.array(count[2:], np.int32)
 
     def prefix_steps(self, piece: str) -> np.ndarray:
         """Counts of the prefixes of a piece, one for each of its characters."""
         steps = self.steps.get(piece)
         if steps is None:
-            steps = np.array([len(x) for x in self.model.encode([piece[: i + 1] for i in range(len(piece))], num_threads=1)], np.int32)
+            steps = self.recurrence(piece)
+            if len(piece) and steps[-1] != self.count([piece])[0]:
+                each = (piece[: i + 1] for i in range(len(piece)))
+                steps = np.fromiter((len(self.model.encode(x)) for x in each), np.int32, len(piece))
             if len(self.steps) < REMEMBERED // 10:
                 self.steps[piece] = steps
         return steps

@@ -310,6 +310,22 @@ def test_token_counts(tables, corpus):
     assert all(len(library.encode(r.text or "")) <= 3 for r in short.collect())
 
 
+def test_prefix_counts_of_a_text_without_spaces(spark, monkeypatch):
+    """100,000 characters without a space: each prefix follows from shorter ones, and the query's count is the table's last entry."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/\t\n的是不了人我在有他这é東"))
+    text = "".join(rng.choice(letters, 100_000).tolist())
+    path = tokenizer("piece_bpe_32k.model")
+    model = tokencounts.Model(path)
+    library, asked = model.model, []
+    monkeypatch.setattr(model, "model", type("Counted", (), {"encode": lambda self, x, **k: asked.append(x) or library.encode(x, **k)})())
+    got = model.prefixes(text)
+    assert len(asked) <= 2 and len(got) == 100_000
+    for k in [*range(300), 999, 50_000, 99_999]:
+        assert got[k] == len(library.encode(text[: k + 1]))
+    assert model.total(text) == got[-1] == len(library.encode(text))
+
+
 def test_toxicity(spark, tables):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some plain"), F.concat(F.lit("w"), F.col("id") % 50), F.when(F.col("id") % 4 == 0, F.lit("you vile thing"))).alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
