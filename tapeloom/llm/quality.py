@@ -20,8 +20,6 @@ from .scan import LINES, SPACED, byte_table, covered, mix, row_sums, scan, seque
 BUCKET_BITS = 18
 #: Added to each count.
 SMOOTHING = 0.5
-#: Trusted texts that are counted at most, chosen by a hash of their id.
-SAMPLE = 20_000
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.2
 
@@ -47,8 +45,8 @@ class Ratios:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text") -> Ratios:
-    """Ratios from all of ``docs`` and those of them whose ids ``trusted`` (one column, of bounded size) lists."""
-    marked = docs.select(F.col(id).alias("id__"), F.col(text).alias("text")).join(F.broadcast(trusted.select(F.col(trusted.columns[0]).alias("id__"), F.lit(True).alias("trusted"))), "id__", "left")
+    """Ratios from all of ``docs`` and those of them whose ids ``trusted`` (one column, each id once) lists."""
+    marked = docs.select(F.col(id).alias("id__"), F.col(text).alias("text")).join(trusted.select(F.col(trusted.columns[0]).alias("id__"), F.lit(True).alias("trusted")), "id__", "left")
 
     def count(batches):
         totals = np.zeros((2, 1 << BUCKET_BITS), np.int64)
@@ -142,10 +140,10 @@ def scored(docs: DataFrame, ratios: Ratios, id: str = "doc_id", text: str = "tex
     return chosen.mapInArrow(judge, schema).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
 
 
-def trusted_ids(labels: DataFrame, id: str = "doc_id", bound: int = SAMPLE) -> DataFrame:
-    """At most ``bound`` ids labelled as good and nowhere as bad."""
+def trusted_ids(labels: DataFrame, id: str = "doc_id") -> DataFrame:
+    """All ids labelled as good and nowhere as bad."""
     one = labels.where(F.col(id).isNotNull()).groupBy(F.col(id).cast("long").alias("id__")).agg(F.min("quality").alias("quality"))
-    return one.where("quality = 1").orderBy(F.xxhash64("id__"), "id__").limit(bound).select("id__")
+    return one.where("quality = 1").select("id__")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -226,6 +226,11 @@ def test_quality(spark, tables, corpus):
     assert got.where("kept and base_failed").count() == 0 and got.where("kept").count() > 20
 
 
+def test_quality_counts_all_trusted_texts(spark):
+    labels = spark.range(20_050).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(labels).count() == 20_050
+
+
 def test_katz(tables, corpus):
     tokens = {i: [*SPACED.findall((t or "").translate(LOWER)), None] for i, t in corpus[0]}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
