@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with production settings, and their SQL twins where SQL can say it."""
+"""The operators as queries over whole tables, with production settings, and their SQL twins where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, katz, minhash, packing, quality, sharding, substrings, suffixes, tokencounts, toxicity, twins
+from . import decontaminate, fingerprints, katz, minhash, packing, quality, sharding, substrings, suffixes, tokencounts, toxicity, trie, twins, whitening
 
 _shipped: set[str] = set()
 
@@ -61,6 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _query(lambda t: quality.report(t("documents"), t("labels"))),
     "op9_lm_scoring": _query(lambda t: katz.report(t("documents"), least=1)),
     "op10_token_counts": _query(lambda t: tokencounts.report(t("documents"), tokenizer("piece_bpe_32k.model"))),
+    "op11_conversation_trie": _query(lambda t: trie.report(t("conversations"))),
+    "op12_document_fingerprints": _query(lambda t: fingerprints.report(t("documents"))),
+    "op13_embedding_whitening": _query(lambda t: whitening.report(t("embeddings"))),
 }
 
 #: Results that SQL can say exactly. The method's own choices (darts, draws, weights, packing order, tokenizers) have no SQL;
@@ -68,4 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": twins.DECONTAMINATION,
     "op2_substring_dedup": twins.SUBSTRINGS,
+    "op11_conversation_trie": twins.TRIE,
+    "op12_document_fingerprints": twins.FINGERPRINTS,
 }
