@@ -42,9 +42,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN t USING (r)
 """
 
-_CRC = """CAST(xor(CAST(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST({0} AS VARCHAR)) + 1),
-      i -> CAST(ascii(substr(CAST({0} AS VARCHAR), i, 1)) AS BIGINT))), (c, x) ->
-      list_reduce(list_prepend(xor(c, x), range(8)), (y, _) -> xor(y >> 1, (y & 1) * 3988292384))), 4294967295)) AS BIGINT)"""
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST({0} AS VARCHAR)) + 1),
+      lambda i: CAST(ascii(substr(CAST({0} AS VARCHAR), i, 1)) AS BIGINT))), lambda c, x:
+      list_reduce(list_prepend(xor(c, x), range(8)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"""
 
 TRIE = f"""
 WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS txt, turn, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS tid
@@ -71,7 +71,7 @@ def _spaced(text: str) -> str:
 
 
 _SHINGLES = """CASE WHEN len({0}) = 0 THEN CAST([] AS VARCHAR[]) ELSE
-  list_transform(range(1, greatest(len({0}) - 4, 1) + 1), i -> substr(md5(array_to_string({0}[i:i + 4], ' ')), 1, 16)) END"""
+  list_transform(range(1, greatest(len({0}) - 4, 1) + 1), lambda i: substr(md5(array_to_string({0}[i:i + 4], ' ')), 1, 16)) END"""
 _SKETCH = f"list_sort(list_distinct({_SHINGLES}))[1:128]"
 
 
