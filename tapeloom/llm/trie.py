@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from ..operators.ordering import positions, running_totals
 from ..runtime import land
 
-#: Turns that a container may have left, if it has more than one string; with more than LEAST_HEADS times as many turns in all, the limit
-#: grows with the table, so that the heads of one level, which are broadcast, are LEAST_HEADS at most.
-LIMIT, LEAST_HEADS = 4_096, 1 << 20
+#: Turns that a container may have left, if it has more than one string; with more than MOST_HEADS times as many turns in all, the limit
+#: grows with the table, so that the heads of one level, which are broadcast, are MOST_HEADS at most.
+LIMIT, MOST_HEADS = 1_024, 1 << 20
 #: Turns of a conversation that one row of a join is repeated for; ids in one folded string.
 CHUNK, FOLD = 4_096, 1_024
 SHARED, FAMILY = 6, 100
@@ -126,7 +126,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distinct_strings(convs: DataFrame, turns: DataFrame) -> DataFrame:
-    """Equal conversations folded: (rep: the least of them, length, copies, ends: SHA-256 of their ids, ascending, comma-joined), landed.
+    """Equal conversations folded: (rep: the least of them, length, copies, ends: SHA-256 of their ids, ascending, comma-joined; key: of the
+    root), landed.
 
     Strings are told apart by 128 bits over their (depth, id) pairs, which add up in any order. Members of a string are ranged over all tasks
     and folded to lists of FOLD ids before one task reads them, in a stream, into the string's digest.
@@ -137,7 +138,8 @@ def distinct_strings(convs: DataFrame, turns: DataFrame) -> DataFrame:
     sort = ["a", "b", "length", "conv_id"]
     folded = members.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(_fold, "a long, b long, length long, first long, n long, ids string")
     each = folded.repartition("a", "b", "length").sortWithinPartitions("a", "b", "length", "first")
-    return land(each.mapInArrow(_digest, "rep long, length long, copies long, ends binary"), "distinct")
+    strings = each.mapInArrow(_digest, "rep long, length long, copies long, ends binary")
+    return land(strings.withColumn("key", F.lit(b"")), "distinct")
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +206,9 @@ def prefix_nodes(convs: DataFrame, turns: DataFrame, limit: int | None = None) -
     """
     strings = distinct_strings(convs, turns)
     total = strings.agg(F.sum("length").alias("n")).first()["n"] or 0
-    limit = max(limit or LIMIT, total // LEAST_HEADS)
+    limit = max(limit or LIMIT, total // MOST_HEADS)
     nothing = F.lit(None).cast("long").alias("parent_conv")
-    state = strings.select(F.lit(b"").alias("key"), nothing, F.lit(0).cast("long").alias("chars"), "rep", "copies", "length", "ends")
+    state = strings.select("key", nothing, F.lit(0).cast("long").alias("chars"), "rep", "copies", "length", "ends")
     heads, small, depth = [], [], 0
     while True:
         ended = F.col("length") == depth
@@ -218,7 +220,7 @@ def prefix_nodes(convs: DataFrame, turns: DataFrame, limit: int | None = None) -
         if large.isEmpty():
             small.append(state.withColumn("depth", F.lit(depth).cast("long")))
             break
-        # At most LEAST_HEADS rows: each has more than ``limit`` turns to itself.
+        # At most MOST_HEADS rows: each has more than ``limit`` turns to itself.
         named = F.broadcast(large.select("key", F.col("conv").alias("head_conv")))
         small.append(state.join(F.broadcast(large.select("key")), "key", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         heads.append(large)
