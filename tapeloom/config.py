@@ -62,9 +62,9 @@ class SplitSpec:
         if len(dates) != len(set(dates)):
             raise ValueError("A date belongs to one split only")
 
-    def rows(self) -> list[tuple[str, str, str]]:
-        seen = [(symbol, day, split) for symbol in self.seen for split in SPLITS[:3] for day in getattr(self, split)]
-        return seen + [(symbol, day, "heldout") for symbol in self.heldout for day in self.test]
+    def symbols(self) -> list[tuple[str, bool]]:
+        """Each symbol and whether it is held out."""
+        return [(symbol, False) for symbol in self.seen] + [(symbol, True) for symbol in self.heldout]
 
 
 @dataclass(frozen=True)

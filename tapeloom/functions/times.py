@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
+from functools import cache
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,22 +48,99 @@ def zone_seconds(zone: Column) -> Column:
     return F.when(zone == "Z", F.lit(0)).when(zone.startswith("-"), -size).otherwise(size)
 
 
-def to_utc(wall: Column, timezone: str) -> Column:
-    return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall), timezone))
+@dataclass(frozen=True)
+class ZoneTable:
+    """Offsets of a zone by time, in buckets of a mean year, so that a lookup is a few comparisons with a small array.
+
+    ``edges`` has ``stride`` times for each bucket, ascending, and ``offsets`` the ``stride`` + 1 offsets between them; an offset of
+    ``UNCLEAR`` stands where the clock skips a reading or shows it twice.
+    """
+
+    first: int
+    buckets: int
+    stride: int
+    edges: tuple[int, ...]
+    offsets: tuple[int, ...]
+
+    def offset(self, seconds: Column) -> Column:
+        """Offset at ``seconds``, null where there is none."""
+        listed = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+        bucket = F.greatest(F.lit(0), F.least(F.lit(self.buckets - 1), F.floor(seconds / BUCKET) - self.first)).cast("int")
+        edges, offsets = listed(self.edges), listed(self.offsets)
+        passed = [F.when(F.get(edges, bucket * self.stride + i) <= seconds, 1).otherwise(0) for i in range(self.stride)]
+        found = F.get(offsets, bucket * (self.stride + 1) + sum(passed[1:], passed[0]))
+        return F.when(found != UNCLEAR, found)
+
+
+#: Seconds of a bucket: a mean Gregorian year. UNCLEAR is no offset of any zone.
+BUCKET, UNCLEAR = 31_556_952, 1 << 40
+_FROM, _TO = -9_214_560_000, 9_214_646_400
+
+
+@cache
+def transitions(timezone: str) -> tuple[int, tuple[tuple[int, int, int], ...]]:
+    """The zone's first offset and its changes as (UTC second, offset before, offset after), in the years that BIGINT nanoseconds reach."""
+    zone, epoch = ZoneInfo(timezone), datetime(1970, 1, 1, tzinfo=UTC)
+
+    def at(second: int) -> int:
+        return int((epoch + timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
+
+    found, low, before = [], _FROM, at(_FROM)
+    first = before
+    while low < _TO:
+        high = low + 86_400
+        after = at(high)
+        if after != before:
+            a, b = low, high
+            while b - a > 1:
+                middle = (a + b) // 2
+                a, b = (middle, b) if at(middle) == before else (a, middle)
+            found.append((b, before, after))
+        low, before = high, after
+    return first, tuple(found)
+
+
+def _table(first: int, steps: list[tuple[int, int]]) -> ZoneTable:
+    """Buckets of (time from which, offset), ascending; ``first`` holds before all of them."""
+    start, end = _FROM // BUCKET - 1, _TO // BUCKET + 2
+    own: dict[int, list[tuple[int, int]]] = {}
+    for at, offset in steps:
+        own.setdefault(at // BUCKET, []).append((at, offset))
+    stride = max(map(len, own.values()), default=1)
+    edges, offsets, now = [], [], first
+    for bucket in range(start, end):
+        here = own.get(bucket, [])
+        edges += [at for at, _ in here] + [1 << 60] * (stride - len(here))
+        offsets += [now, *(offset for _, offset in here)]
+        now = offsets[-1]
+        offsets += [now] * (stride - len(here))
+    return ZoneTable(start, end - start, stride, tuple(edges), tuple(offsets))
+
+
+@cache
+def utc_table(timezone: str) -> ZoneTable:
+    first, changes = transitions(timezone)
+    return _table(first, [(at, after) for at, _, after in changes])
+
+
+@cache
+def wall_table(timezone: str) -> ZoneTable:
+    """By clock reading: between the two readings of a change the clock is skipped or shown twice, by however many seconds."""
+    first, changes = transitions(timezone)
+    steps = [step for at, a, b in changes for step in ((at + min(a, b), UNCLEAR), (at + max(a, b), b))]
+    return _table(first, steps)
 
 
-def to_local(utc: Column, timezone: str) -> Column:
-    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(utc), timezone))
+def to_utc(wall: Column, timezone: str) -> Column:
+    """Null where the local clock skips the reading or shows it twice."""
+    return wall - wall_table(timezone).offset(wall)
 
 
-def is_clear(wall: Column, utc: Column, timezone: str) -> Column:
-    """False where the local clock skips the reading or shows it twice."""
-    clear = to_local(utc, timezone) == wall
-    for shift in (3600, -3600, 1800, -1800):
-        clear = clear & (to_local(utc + shift, timezone) != wall)
-    return clear
+def to_local(utc: Column, timezone: str) -> Column:
+    return utc + utc_table(timezone).offset(utc)
 
 
 def session_open_ns(date: Column, start_seconds: int, timezone: str) -> Column:
     """Nanoseconds of the session's local opening on ``date``."""
-    return to_utc(F.unix_date(date).cast("bigint") * 86400 + start_seconds, timezone) * NANOS
+    wall = F.timestamp_seconds(F.unix_date(date).cast("bigint") * 86400 + start_seconds)
+    return F.unix_seconds(F.to_utc_timestamp(wall, timezone)) * NANOS

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import CleanSpec, SplitSpec, clock_seconds
+from ..config import SPLITS, CleanSpec, SplitSpec, clock_seconds
 from ..functions.columns import positive, quality_code, symbol_of, to_number
 from ..functions.times import (
     NANOS,
     UTC_NAMES,
     fraction_nanos,
     in_range,
-    is_clear,
     iso_parts,
     part,
     to_local,
@@ -25,6 +25,8 @@ from ..functions.times import (
 )
 
 TIES_WARNING = "Equal timestamps keep the order of the feed sequence; this is no claim about causal order"
+#: Columns of the readers that, in this order, tell where a row was in the input.
+PROVENANCE = ("source_place", "source_file", "source_block", "source_row")
 COPIES_WARNING = "Identical prints are kept: without trade ids they may be separate executions"
 
 
@@ -116,7 +118,6 @@ def parse_timestamps(df: DataFrame, spec: CleanSpec) -> DataFrame:
     else:
         df = (
             df.withColumn("_utc", F.when(zoned, wall - zone_seconds(zone)).otherwise(to_utc(wall, spec.timezone)))
-            .withColumn("_utc", F.when(zoned | is_clear(wall, utc, spec.timezone), utc))
             .withColumn("_local", F.when(zoned, to_local(utc, spec.timezone)).when(utc.isNotNull(), wall))
         )
     return (
@@ -144,13 +145,25 @@ def waterfall_counts(marked: DataFrame, steps: Sequence[str], label: str = "firs
 
 
 def calendar(spark: SparkSession, spec: SplitSpec) -> DataFrame:
-    rows = spark.createDataFrame(spec.rows(), "symbol string, day string, split string")
-    return rows.select("symbol", F.col("day").cast("date").alias("date"), "split")
+    """Every session that is expected. Symbols go to the tasks, which pair each with its dates: no product is made on the driver."""
+    def days(*splits: str) -> Column:
+        pairs = [(day, split if len(splits) > 1 else "heldout") for split in splits for day in getattr(spec, split)]
+        rows = [F.struct(F.lit(day).cast("date").alias("date"), F.lit(split).alias("split")) for day, split in pairs]
+        return F.array(*rows).cast("array<struct<date:date,split:string>>")
+
+    symbols = spark.createDataFrame(spec.symbols(), "symbol string, held boolean")
+    return symbols.select("symbol", F.inline(F.when(F.col("held"), days("test")).otherwise(days(*SPLITS[:3]))))
+
+
+def split_of(symbol: Column, date: Column, spec: SplitSpec) -> Column:
+    """The split of a session, null outside the calendar: one lookup of the symbol and one of the date, each in a set of settings."""
+    on = lambda days: date.isin(*[datetime.date.fromisoformat(day) for day in days])
+    by_date = F.coalesce(*[F.when(on(getattr(spec, split)), F.lit(split)) for split in SPLITS[:3]])
+    return F.when(symbol.isin(*spec.seen), by_date).when(symbol.isin(*spec.heldout) & on(spec.test), F.lit("heldout"))
 
 
 def assign_split(df: DataFrame, spec: SplitSpec) -> DataFrame:
-    """Add ``split``, null outside the calendar. The calendar is settings, so it is broadcast."""
-    return df.join(F.broadcast(calendar(df.sparkSession, spec)), ["symbol", "date"], "left")
+    return df.withColumn("split", split_of(F.col("symbol"), F.col("date"), spec))
 
 
 def filter_steps(spec: CleanSpec, has_correction: bool = True, has_condition: bool = True) -> list[tuple[str, Column]]:
@@ -169,6 +182,15 @@ def filter_steps(spec: CleanSpec, has_correction: bool = True, has_condition: bo
     ]
 
 
+def input_order(have: set[str], spec: CleanSpec) -> Column:
+    """What orders equal times: the feed's sequence; else the row's place in the files it was read from; else its place in the scan."""
+    if spec.seq_column in have:
+        return F.col(spec.seq_column).cast("bigint")
+    if have.issuperset(PROVENANCE):
+        return F.struct(*PROVENANCE)
+    return F.monotonically_increasing_id()
+
+
 def annotate(raw: DataFrame, spec: CleanSpec, split: SplitSpec) -> DataFrame:
     """Row-wise cleaning: every raw print with its parsed fields and ``first_fail``. No shuffle."""
     raw = normalize_columns(raw)
@@ -186,7 +208,7 @@ def annotate(raw: DataFrame, spec: CleanSpec, split: SplitSpec) -> DataFrame:
         codes["correction"] = quality_code(F.col(spec.correction_column), numeric_text=True)
     if spec.condition_column in have:
         codes["condition"] = quality_code(F.col(spec.condition_column))
-    seq = F.col(spec.seq_column).cast("bigint") if spec.seq_column in have else F.monotonically_increasing_id()
+    seq = input_order(have, spec)
     times = [spec.timestamp_column] if spec.timestamp_column in have else [spec.date_column, spec.time_column]
     picked = raw.select(
         symbol.alias("symbol"),
@@ -225,9 +247,14 @@ def raw_sessions(marked: DataFrame) -> DataFrame:
 
 def repeats(kept: DataFrame) -> DataFrame:
     """Kept rows after the first per (symbol, time), and per (symbol, time, price, size). Nothing is removed."""
-    prints = kept.groupBy("symbol", "ts_ns", "price", "size").agg(F.count(F.lit(1)).alias("n"))
-    instants = prints.groupBy("symbol", "ts_ns").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("copies"))
-    return instants.agg(
+    return repeats_by(kept, [])
+
+
+def repeats_by(kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for each combination of ``keys``, which equal instants must share."""
+    prints = kept.groupBy(*keys, "symbol", "ts_ns", "price", "size").agg(F.count(F.lit(1)).alias("n"))
+    instants = prints.groupBy(*keys, "symbol", "ts_ns").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("copies"))
+    return instants.groupBy(*keys).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("same_symbol_timestamp_ties"),
         F.coalesce(F.sum("copies"), F.lit(0)).alias("identical_print_rows"),
     )
@@ -258,7 +285,9 @@ def warnings_of(totals: DataFrame) -> DataFrame:
 
 
 def audit(marked: DataFrame, warnings: Sequence[str] = ()) -> DataFrame:
-    """The whole report as (section, key, n); repeats are counted on kept rows, codes on all rows."""
+    """The whole report as (section, key, n); repeats are counted on kept rows, codes on all rows, each warning is told once.
+
+    ``marked`` is read more than once, so give it landed."""
     spark = marked.sparkSession
     counted = repeats(retained(marked))
     names = ("same_symbol_timestamp_ties", "identical_print_rows")

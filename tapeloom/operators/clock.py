@@ -349,10 +349,22 @@ def causality_check(
         return clock_examples(marked_anchors(source, sessions, spec, clean, context), spec).where(F.col("anchor") <= t0)
 
     before, after = run(trades), run(changed)
-    inputs = ["split", *KEY, "anchor", "last_raw_trade_index", *FEATURES]
-    outputs = [*KEY, "anchor", "T1_target", "T2_target", "T3_target"]
+    inputs = changed_keys(before, after, [*KEY, "anchor"], ["split", "last_raw_trade_index", *FEATURES])
+    targets = changed_keys(before, after, [*KEY, "anchor"], ["T1_target", "T2_target", "T3_target"])
+    # A key comes up once for each kind in which it differs; one row of counts is left of both.
+    both = inputs.select(F.lit(1).alias("of_inputs")).unionByName(targets.select(F.lit(0).alias("of_inputs")))
+    return both.agg(F.count_if(F.col("of_inputs") == 1).alias("changed_inputs"), F.count_if(F.col("of_inputs") == 0).alias("changed_targets"))
 
-    def rows(df, other, columns, name):
-        return df.select(*columns).exceptAll(other.select(*columns)).agg(F.count(F.lit(1)).alias(name))
 
-    return rows(before, after, inputs, "changed_inputs").join(F.broadcast(rows(before, after, outputs, "changed_targets")))
+def changed_keys(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str], places: int = 9) -> DataFrame:
+    """Keys whose rows are not the same on both sides, rows that only one side has included.
+
+    Rows count +1 and -1, and equal ones cancel in one grouped sum. Reals are compared to ``places``, as two runs may differ in their last bits.
+    """
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        real = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+        rounded = [(F.round(F.col(v), places) + F.lit(0.0)).alias(v) if v in real else F.col(v) for v in values]
+        return df.select(*keys, *rounded, F.lit(sign).alias("_sign"))
+
+    net = signed(before, 1).unionByName(signed(after, -1)).groupBy(*keys, *values).agg(F.sum("_sign").alias("_net"))
+    return net.where("_net <> 0").select(*keys).distinct()

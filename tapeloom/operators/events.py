@@ -95,12 +95,17 @@ def missing_sessions(sessions: DataFrame, spec: SplitSpec) -> DataFrame:
     return expected_sessions(sessions.sparkSession, spec).join(sessions, list(KEY), "left_anti").select(*KEY, "split")
 
 
-def require_sessions(sessions: DataFrame, spec: SplitSpec, policy: str = "error") -> None:
-    if policy not in ("error", "skip"):
+POLICIES = ("error", "skip")
+
+
+def require_sessions(sessions: DataFrame, spec: SplitSpec, policy: str = "error") -> list[str]:
+    """Refuse missing sessions, or, with ``skip``, give the warning that tells of them."""
+    if policy not in POLICIES:
         raise ValueError("The policy is error or skip")
     n = missing_sessions(sessions, spec).count()
     if n and policy == "error":
         raise ValueError(f"{n} expected sessions are missing or short")
+    return [f"{n} expected sessions are missing or short and were skipped"] if n else []
 
 
 def empty_splits(sessions: DataFrame) -> DataFrame:

@@ -21,6 +21,13 @@ def session_fingerprints(df: DataFrame, keys: Sequence[str], columns: Sequence[s
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).cast("string").alias("hash_sum"))
 
 
+def portable_fingerprints(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The same with md5 over the columns' texts, which any engine can repeat; for whole numbers, texts and dates."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    row = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).cast("string").alias("hash_sum"))
+
+
 def fingerprint(df: DataFrame, settings: dict, columns: Sequence[str] | None = None) -> str:
     """One digest of all rows and the settings, equal whatever the row order or partitioning."""
     columns = list(columns or df.columns)

@@ -63,9 +63,12 @@ def matched_prior(counts: DataFrame, vocab: int, keys: Sequence[str] = ()) -> Da
     return full.withColumn("p", (F.col("n") + 1) / (F.sum("n").over(total) + vocab))
 
 
-def check_prior(prior: DataFrame, tolerance: float = 1e-9) -> None:
-    row = prior.agg(F.min("p").alias("low"), F.sum("p").alias("total")).first()
-    if row.low is None or row.low <= 0 or abs(row.total - 1) > tolerance:
+def check_prior(prior: DataFrame, keys: Sequence[str] = (), tolerance: float = 1e-9) -> None:
+    """Each prior (one for each combination of ``keys``) is positive and sums to one; an empty table is no prior."""
+    each = prior.groupBy(*keys).agg(F.min("p").alias("low"), F.sum("p").alias("total"), F.count_if(F.col("p").isNull()).alias("lacking"))
+    fair = F.coalesce((F.col("low") > 0) & (F.abs(F.col("total") - 1) <= tolerance) & (F.col("lacking") == 0), F.lit(False))
+    row = each.agg(F.count(F.lit(1)).alias("priors"), F.count_if(~fair).alias("unfit")).first()
+    if not row.priors or row.unfit:
         raise ValueError("A prior must be positive and sum to one")
 
 
@@ -99,8 +102,9 @@ def with_counts(pairs: DataFrame, counts: DataFrame, prior: DataFrame, vocab: in
 def shrinkage_prob(
     pairs: DataFrame, counts: DataFrame, prior: DataFrame, strength: float, vocab: int, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``p``, the shrunk probability of ``next`` after ``prev``."""
+    """Add ``p``, the shrunk probability of ``next`` after ``prev``. An unfit prior or strength is refused."""
     check_strength(strength)
+    check_prior(prior, keys)
     joined = with_counts(pairs, counts, prior, vocab, keys)
     return joined.withColumn("p", shrunk(F.col("n"), F.col("row_n"), F.col("prior_p"), strength)).drop("n", "row_n", "prior_p")
 
@@ -113,8 +117,9 @@ def fold_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def strength_scores(
     pairs: DataFrame, counts: DataFrame, prior: DataFrame, grid: Sequence[float], vocab: int, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean loss of the validation ``pairs`` for every strength of the grid."""
+    """Mean loss of the validation ``pairs`` for every strength of the grid. An unfit prior or strength is refused."""
     check_strength(*grid)
+    check_prior(prior, keys)
     joined = with_counts(fold_pairs(pairs, keys), counts, prior, vocab, keys)
     each = joined.withColumn("strength", F.explode(F.array(*[F.lit(float(s)) for s in grid])))
     loss = -F.log(shrunk(F.col("n"), F.col("row_n"), F.col("prior_p"), F.col("strength")))

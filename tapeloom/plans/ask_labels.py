@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEY
-from ..operators import clock, labels
+from ..operators import clock, events, labels
 from ..operators.clean import waterfall_counts
 from .oracle import clock as clock_sql
 from .prepare import BAND, HORIZON, Prepared
@@ -33,21 +33,29 @@ def numbered_examples(p: Prepared):
     return labels.number_examples(p.examples.select("split", *KEY, "anchor")).select("split", "example_index", *KEY, "anchor")
 
 
+#: A context longer than both widths, so that the 21 features all differ.
+LONG = 24
 HISTORY = {
     "last_f0": "f0", "last_f1": "f1", "last_f2": "f2",
-    **{f"{name}_{width}": f"{letter}{'12' if width == 'context' else width}"
-       for width in ("5", "context")
-       for name, letter in (("return_sum", "s"), ("return_std", "d"), ("return_abs", "a"), ("interval_mean", "i"), ("size_mean", "z"), ("size_std", "v"))},
-}
+    **{f"{name}_{width}": aggregate.format(f"w{LONG if width == 'context' else width}")
+       for width in ("5", "20", "context")
+       for name, aggregate in (
+           ("return_sum", "sum(f1) OVER {0}"), ("return_std", "stddev_pop(f1) OVER {0}"), ("return_abs", "avg(abs(f1)) OVER {0}"),
+           ("interval_mean", "avg(f0) OVER {0}"), ("size_mean", "avg(f2) OVER {0}"), ("size_std", "stddev_pop(f2) OVER {0}"))},
+}
 HISTORY_SQL = ", ".join(f"CAST(CAST({sql} AS FLOAT) AS DOUBLE) AS {name}" for name, sql in HISTORY.items())
+HISTORY_WINDOWS = ", ".join(f"w{n} AS (PARTITION BY symbol, date ORDER BY e ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 20, LONG))
 
 
 @question(
     "symbol date anchor:i " + " ".join(f"{name}:r" for name in HISTORY),
-    f"SELECT h.symbol, h.date, h.e AS anchor, {HISTORY_SQL} FROM history h JOIN ex ON ex.symbol = h.symbol AND ex.date = h.date AND ex.anchor = h.e",
+    f"""SELECT * FROM (SELECT symbol, date, e AS anchor, events, {HISTORY_SQL} FROM all_ev WHERE events > {LONG} WINDOW {HISTORY_WINDOWS})
+        WHERE anchor >= {LONG - 1} AND (anchor - {LONG - 1}) % {LONG + HORIZON} = 0 AND anchor + {HORIZON} < events""",
 )
 def history_features(p: Prepared):
-    return p.examples.select(*KEY, "anchor", *[F.col(name).cast("double") for name in HISTORY])
+    """All 21 features, over 5, 20 and 24 events."""
+    found = labels.event_examples(events.events_of(p.trades, LONG), LONG, HORIZON, BAND)
+    return found.select(*KEY, "anchor", *[F.col(name).cast("double") for name in HISTORY])
 
 
 @question(
@@ -251,8 +259,11 @@ def _late_prices() -> str:
 
 @question(
     "changed_inputs:i changed_targets:i",
-    """SELECT 0 AS changed_inputs, (SELECT count(*) FROM (SELECT symbol, date, anchor, round(T1_target, 9), round(T2_target, 9), round(T3_target, 9) FROM cex WHERE anchor <= 600
-         EXCEPT ALL SELECT symbol, date, anchor, round(T1_target, 9), round(T2_target, 9), round(T3_target, 9) FROM cex_late WHERE anchor <= 600)) AS changed_targets""",
+    """SELECT 0 AS changed_inputs, (SELECT count(*) FROM (SELECT symbol, date, anchor FROM (SELECT * FROM
+           (SELECT symbol, date, anchor, round(T1_target, 9), round(T2_target, 9), round(T3_target, 9) FROM cex WHERE anchor <= 600
+            EXCEPT ALL SELECT symbol, date, anchor, round(T1_target, 9), round(T2_target, 9), round(T3_target, 9) FROM cex_late WHERE anchor <= 600)
+         UNION ALL SELECT * FROM (SELECT symbol, date, anchor, round(T1_target, 9), round(T2_target, 9), round(T3_target, 9) FROM cex_late WHERE anchor <= 600
+            EXCEPT ALL SELECT symbol, date, anchor, round(T1_target, 9), round(T2_target, 9), round(T3_target, 9) FROM cex WHERE anchor <= 600)) GROUP BY 1, 2, 3)) AS changed_targets""",
     clock_sql("_late", _late_prices()),
     clock=True,
 )

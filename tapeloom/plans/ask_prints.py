@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import KEY, SPLITS
 from ..functions.columns import joint_decode, seq_decode, seq_encode, symbol_of
 from ..operators import clean, clock, events, tokens
@@ -72,6 +73,13 @@ def zip_batches(folder: str):
     return write
 
 
+def write_archives(df, folder: str) -> list[str]:
+    """One archive for each partition, named in their order; their paths, sorted."""
+    folder = folder.removeprefix("file:")
+    os.makedirs(folder)
+    return sorted(r.path for r in df.mapInPandas(zip_batches(folder), "path string").collect())
+
+
 @question(
     "symbol n:i price_sum:r empty_suffix:i",
     "SELECT symbol, count(*) AS n, sum(price) AS price_sum, count(*) FILTER (suffix = '') AS empty_suffix FROM marked GROUP BY 1",
@@ -79,10 +87,7 @@ def zip_batches(folder: str):
 )
 def zip_round_trip(spark, sf_dir):
     """Prints packed into ZIP archives by the executors and read back, one task per member."""
-    folder = scratch(spark, "zips").removeprefix("file:")
-    os.makedirs(folder)
-    spread = tape.raw_prints(spark, sf_dir).repartition("seq")
-    paths = [r.path for r in spread.mapInPandas(zip_batches(folder), "path string").collect()]
+    paths = write_archives(tape.raw_prints(spark, sf_dir).repartition("seq"), scratch(spark, "zips"))
     df = prints.read_prints(spark, paths)
     symbol = symbol_of(F.col("sym_root"), F.col("sym_suffix"))
     return df.groupBy(symbol.alias("symbol")).agg(
@@ -91,28 +96,104 @@ def zip_round_trip(spark, sf_dir):
 
 
 @question(
-    "date n:i",
-    """SELECT d.day AS date, count(p.seq) AS n FROM (SELECT strftime(TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS day FROM range(31) t(i)) d
+    "date n:i refused",
+    """SELECT d.day AS date, count(p.seq) AS n, 'overwrite,errorifexists' AS refused FROM (SELECT strftime(TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS day FROM range(30) t(i)) d
        LEFT JOIN (SELECT * FROM placed WHERE root IN ('click', 'error') AND suffix = '' AND clock >= 34200 AND clock < 57600) p ON p.date = d.day GROUP BY 1""",
     raw=True,
 )
 def day_extract(spark, sf_dir):
-    days = [*tape.DAYS, "2024-01-31"]
-    chosen = store.select_prints(tape.raw_prints(spark, sf_dir), ["click", "error"], days, "09:30:00", "16:00:00", ["tr_corr", "tr_scond"])
-    return store.day_manifest(chosen, days)
+    """An extract written by day; a second one with a day that has no rows, and one without leave to overwrite, change nothing."""
+    prints_, out = tape.raw_prints(spark, sf_dir), scratch(spark, "extract")
+    shape = ("09:30:00", "16:00:00", ["tr_corr", "tr_scond"], out)
+    store.extract_prints(prints_, ["click", "error"], tape.DAYS, *shape)
+    refused = []
+    for days, mode in ((["2023-01-31", *tape.DAYS], "overwrite"), (tape.DAYS[:1], "errorifexists")):
+        try:
+            store.extract_prints(prints_, ["click", "error"], days, *shape, mode=mode)
+        except (ValueError, FileExistsError):
+            refused.append(mode)
+    stored = spark.read.parquet(out)
+    return store.day_manifest(stored, tape.DAYS).withColumn("refused", F.lit(",".join(refused)))
 
 
 @question(
-    "split date n:i tokens:i",
-    "SELECT split, date, count(*) AS n, sum(token) AS tokens FROM coded GROUP BY 1, 2",
+    "part a:i b:i c:r",
+    """SELECT 'events ' || split || ' ' || date AS part, count(*) AS a, sum(token) AS b, sum(f1) AS c FROM coded GROUP BY split, date
+       UNION ALL SELECT 'session ' || symbol || ' ' || date, sid, events, k FROM sess
+       UNION ALL SELECT 'bin ' || field, bin, n, center FROM centers
+       UNION ALL SELECT 'refused', 1, 1, 0.0""",
 )
 def prepared_round_trip(p: Prepared):
+    """A store published, refused under other settings, opened again, and its events, sessions and bins beside SQL's."""
     root = scratch(p.spark, "prepared")
-    store.write_prepared(p.coded, p.sessions, root)
-    stored, _ = store.read_prepared(p.spark, root)
-    return stored.groupBy("split", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("token").alias("tokens"))
+    settings = config.settings(p.clean_spec, p.split_spec, p.token_spec)
+    store.write_prepared(p.coded, p.sessions, clean.audit(p.tape), p.binner, settings, root)
+    refused = 0
+    try:
+        store.open_prepared(p.spark, root, config.settings(p.clean_spec, p.split_spec, dataclasses.replace(p.token_spec, context=1)))
+    except ValueError:
+        refused = 1
+    opened = store.open_prepared(p.spark, root, settings)
+    label = lambda *words: F.concat_ws(" ", *[F.col(w) if i else F.lit(w) for i, w in enumerate(words)]).alias("part")
+    parts = opened.events.groupBy("split", "date").agg(F.count(F.lit(1)).alias("a"), F.sum("token").alias("b"), F.sum("f1").alias("c"))
+    rows = parts.select(label("events", "split", "date"), "a", "b", "c")
+    rows = rows.unionByName(opened.sessions.select(label("session", "symbol", "date"), F.col("sid").alias("a"), F.col("events").alias("b"), F.col("k").cast("double").alias("c")))
+    tally = tokens.bin_occupancy(opened.events.where("split = 'train'"), p.token_spec.bins, ("split",)).select("field", "bin", "n")
+    centers = opened.binner.to_frame(p.spark).select("field", F.posexplode("centers").alias("bin", "c"))
+    rows = rows.unionByName(centers.join(tally, ["field", "bin"]).select(label("bin", "field"), F.col("bin").alias("a"), F.col("n").alias("b"), "c"))
+    return rows.unionByName(p.spark.createDataFrame([("refused", 1, refused, 0.0)], "part string, a long, b long, c double"))
+
+
+ORDER_SQL = """SELECT kind, symbol, date, row_number() OVER (PARTITION BY kind, symbol, date ORDER BY ts_ns // 3600000000000,
+       CASE WHEN seq % 10 >= 8 THEN 0 WHEN seq % 10 < 5 THEN 1 ELSE 2 END, seq) - 1 AS r, price, size
+       FROM kept, (SELECT unnest(['csv', 'parquet', 'zip']) AS kind)"""
+
+
+@question("kind symbol date r:i price:r size:r", ORDER_SQL, raw=True)
+def file_order(spark, sf_dir):
+    """Prints without a feed sequence and with hours for times, in files of unequal size, keep the order of the files where times tie."""
+    hourly = tape.raw_prints(spark, sf_dir).withColumn("time_m", F.concat(F.substring("time_m", 1, 2), F.lit(":00:00")))
+    digit = F.col("seq") % 10
+    parts = [hourly.where(digit < 5), hourly.where((digit >= 5) & (digit < 8)), hourly.where(digit >= 8)]
+    numbered = None
+    for kind in ("csv", "parquet", "zip"):
+        paths = []
+        for i, part in enumerate(parts):
+            ordered, path = part.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq"), f"{scratch(spark, f'order-{i}')}.{kind}"
+            if kind == "zip":
+                paths.append(write_archives(ordered, path))
+            else:
+                store.write_table(ordered, path)
+                paths.append([path])
+        # The third part is given first.
+        df = prints.read_prints(spark, [*paths[2], *paths[0], *paths[1]])
+        kept = clean.retained(clean.annotate(df, tape.CLEAN, tape.SPLIT))
+        here = events.number_trades(kept).select(F.lit(kind).alias("kind"), *KEY, "r", "price", "size")
+        numbered = here if numbered is None else numbered.unionByName(here)
+    return numbered
+
+
+CHANGES_SQL = """SELECT seq, day, CASE WHEN day = '2024-03-10' THEN CASE WHEN clock < 7200 THEN 18000 WHEN clock >= 10800 THEN 14400 END
+       ELSE CASE WHEN clock < 3600 THEN 14400 WHEN clock >= 7200 THEN 18000 END END * CAST(1000000000 AS BIGINT) + ts_ns - epoch_us(date_trunc('day', ts)) * 1000
+       + epoch_us(CAST(day AS TIMESTAMP)) * 1000 AS ts_ns, clock AS said FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN '2024-03-10' ELSE '2024-11-03' END AS day FROM marked)"""
 
 
+@question(
+    "seq:i date ts_ns:i clock:i",
+    f"SELECT seq, CASE WHEN ts_ns IS NOT NULL THEN day END AS date, ts_ns, CASE WHEN ts_ns IS NOT NULL THEN said END AS clock FROM ({CHANGES_SQL})",
+    raw=True,
+)
+def clock_changes(spark, sf_dir):
+    """The tape's times read on the two days of 2024 on which New York's clock changes: skipped and doubled readings are invalid."""
+    spec = dataclasses.replace(tape.CLEAN, timezone="America/New_York")
+    day = F.when(F.col("seq") % 2 == 0, "2024-03-10").otherwise("2024-11-03")
+    return clean.annotate(tape.raw_prints(spark, sf_dir).withColumn("date", day), spec, tape.SPLIT).select("seq", "date", "ts_ns", "clock")
+
+
+CALENDAR = """SELECT symbol, day AS date, CASE WHEN i < 18 THEN 'train' WHEN i < 24 THEN 'val' ELSE 'test' END AS split FROM
+  (SELECT unnest(['click', 'view', 'purchase']) AS symbol), (SELECT i, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS day FROM range(30) t(i))
+  UNION ALL SELECT 'error', strftime(TIMESTAMP '2024-01-25' + to_days(CAST(i AS INTEGER)), '%Y-%m-%d'), 'heldout' FROM range(6) t(i)"""
+
 AUDIT_SQL = """
 SELECT 'total' AS section, 'input_rows' AS key, count(*) AS n FROM marked
 UNION ALL SELECT 'total', 'retained_rows', count(*) FROM kept
@@ -138,17 +219,30 @@ def streamed_audit(spark, sf_dir):
 
 @question("section key n:i", f"SELECT * FROM ({AUDIT_SQL})")
 def cleaning_audit(p: Prepared):
-    return clean.audit(p.marked)
+    return clean.audit(p.tape)
+
+
+@question(
+    "section key n:i",
+    f"""SELECT 'warnings' AS section, n || ' expected sessions are missing or short and were skipped' AS key, 1 AS n FROM (
+          SELECT count(*) AS n FROM ({CALENDAR}) c ANTI JOIN sess s ON c.symbol = s.symbol AND c.date = s.date) WHERE n > 0
+        UNION ALL SELECT 'warnings', n || ' sessions have too few events and were dropped', 1 FROM (SELECT count(*) AS n FROM
+          (SELECT symbol, date FROM trades WHERE trades BETWEEN 2 AND 13 GROUP BY 1, 2)) WHERE n > 0
+        UNION ALL SELECT * FROM ({AUDIT_SQL}) WHERE section = 'filters'""",
+)
+def prepared_audit(p: Prepared):
+    """The filters of the audit and its warnings, those of the preparation with them."""
+    return p.report.where("section in ('warnings', 'filters')")
 
 
 @question("symbol n:i", "SELECT symbol, count(*) AS n FROM marked GROUP BY 1")
 def listed_symbols(p: Prepared):
-    return p.marked.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return p.tape.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 @question("seq:i ts_ns:i date clock:i", "SELECT * FROM marked")
 def parsed_times(p: Prepared):
-    return p.marked.select("seq", "ts_ns", "date", "clock")
+    return p.tape.select("seq", "ts_ns", "date", "clock")
 
 
 @question(
@@ -172,7 +266,7 @@ def zone_mix(spark, sf_dir):
     "SELECT 'correction' AS kind, corr AS code, count(*) AS n FROM marked GROUP BY 2 UNION ALL SELECT 'condition', cond, count(*) FROM marked GROUP BY 2",
 )
 def code_counts(p: Prepared):
-    return clean.code_counts(p.marked)
+    return clean.code_counts(p.tape)
 
 
 @question(
@@ -182,7 +276,7 @@ def code_counts(p: Prepared):
        ON s.step = 'input' OR coalesce(m.first_fail, 'retained') = s.step GROUP BY 1""",
 )
 def waterfall(p: Prepared):
-    return clean.waterfall_counts(p.marked, clean.step_names(p.marked, p.clean_spec))
+    return clean.waterfall_counts(p.tape, clean.step_names(p.tape, p.clean_spec))
 
 
 @question("symbol date split ts_ns:i seq:i price:r size:r", "SELECT * FROM kept")
@@ -218,7 +312,7 @@ def repeated_coarse_prints(p: Prepared):
 
 @question("symbol raw_date n:i", "SELECT symbol, date AS raw_date, count(*) AS n FROM marked GROUP BY 1, 2")
 def raw_sessions(p: Prepared):
-    return clean.raw_sessions(p.marked)
+    return clean.raw_sessions(p.tape)
 
 
 @question(f"symbol date split e:i {F_COLUMNS}", "SELECT * FROM all_ev")
@@ -240,11 +334,6 @@ def session_table(p: Prepared):
 
 
 LONG_SESSIONS = "SELECT symbol, date, any_value(split) AS split FROM all_ev WHERE events > 48 GROUP BY 1, 2"
-CALENDAR = """SELECT symbol, day AS date, CASE WHEN i < 18 THEN 'train' WHEN i < 24 THEN 'val' ELSE 'test' END AS split FROM
-  (SELECT unnest(['click', 'view', 'purchase']) AS symbol), (SELECT i, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS day FROM range(30) t(i))
-  UNION ALL SELECT 'error', strftime(TIMESTAMP '2024-01-25' + to_days(CAST(i AS INTEGER)), '%Y-%m-%d'), 'heldout' FROM range(6) t(i)"""
-
-
 @question("symbol date split", f"SELECT * FROM ({CALENDAR}) c ANTI JOIN ({LONG_SESSIONS}) l ON c.symbol = l.symbol AND c.date = l.date")
 def missing_sessions(p: Prepared):
     return events.missing_sessions(events.session_table(p.trades, 48), p.split_spec)
@@ -282,15 +371,20 @@ def recovered_times(p: Prepared):
 
 
 @question(
-    "differing:i",
-    """SELECT count(*) AS differing FROM coded JOIN (SELECT symbol, date, e,
-         (f0 >= a0)::INT AS x0 FROM ev, (SELECT median(f0) AS a0 FROM ev WHERE split = 'train')) USING (symbol, date, e) WHERE (c0 >= 4)::INT <> x0""",
+    "symbol date e:i left_codes right_codes",
+    """SELECT symbol, date, e, CASE WHEN e % 101 <> 7 THEN concat_ws(',', c0, CASE WHEN e % 37 = 5 THEN (c1 + 1) % 8 ELSE c1 END, c2) END AS left_codes,
+       CASE WHEN e % 53 <> 3 THEN concat_ws(',', c0, c1, c2) END AS right_codes FROM coded
+       WHERE e % 101 = 7 AND e % 53 <> 3 OR e % 101 <> 7 AND (e % 37 = 5 OR e % 53 = 3)""",
 )
 def code_parity(p: Prepared):
-    """Stored codes against the same codes decided again from the median edge alone."""
-    halves = p.coded.select(*KEY, "e", (F.col("c0") >= 4).cast("int").alias("c0"), F.lit(0).alias("c1"), F.lit(0).alias("c2"))
-    again = tokens.assign_bins(p.events, [[p.binner.edges[0][3]], [], []])
-    return events.code_differences(halves, again).agg(F.count(F.lit(1)).alias("differing"))
+    """All three codes of every stored event against codes decided anew from the edges: only the planted differences show."""
+    planted = p.coded.withColumn("c1", F.when(F.col("e") % 37 == 5, (F.col("c1") + 1) % 8).otherwise(F.col("c1"))).where("e % 101 <> 7")
+    again = tokens.assign_bins(p.events, p.binner.edges).where("e % 53 <> 3")
+    return events.code_differences(planted, again).select(*KEY, "e", side_text("left_codes"), side_text("right_codes"))
+
+
+def side_text(side: str):
+    return F.when(F.col(side).isNotNull(), F.concat_ws(",", *[F.col(f"{side}.{c}").cast("string") for c in tokens.CODES])).alias(side)
 
 
 EDGE_ROWS = " UNION ALL ".join(f"SELECT {i} AS field, unnest(range(1, 8)) AS k, unnest(q{i}) AS edge FROM edges" for i in range(3))

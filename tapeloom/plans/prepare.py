@@ -27,6 +27,8 @@ class Prepared:
     split_spec: SplitSpec
     token_spec: TokenSpec
     clock_spec: ClockSpec
+    missing: str = "error"
+    column_warnings: tuple[str, ...] = ()
     made: dict = field(default_factory=dict, repr=False)
 
     def once(self, name: str, make: Callable):
@@ -52,12 +54,17 @@ class Prepared:
         return self.token_spec.vocab
 
     @cached_property
-    def kept(self) -> DataFrame:
-        """Kept prints, landed so that ordering them does not parse the raw tape twice; a mix of zoned and naive times is refused."""
+    def tape(self) -> DataFrame:
+        """Every print with its parsed fields and first failed filter, landed, so that the raw text is parsed once for cleaning and
+        audit alike; a mix of zoned and naive times is refused."""
         marked, kinds = clean.watched(self.marked)
-        kept = land(clean.retained(marked), "kept")
+        tape = land(marked, "tape")
         clean.refuse_mix(kinds.get)
-        return kept
+        return tape
+
+    @property
+    def kept(self) -> DataFrame:
+        return clean.retained(self.tape)
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -65,7 +72,19 @@ class Prepared:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return land(events.session_table(self.trades, self.context), "sessions")
+        """Usable sessions. A split without any is refused, and so are expected ones that are missing, unless they are to be skipped."""
+        sessions = land(events.session_table(self.trades, self.context), "sessions")
+        self.made["warnings"] = events.require_sessions(sessions, self.split_spec, self.missing)
+        events.check_splits(sessions)
+        return sessions
+
+    @property
+    def report(self) -> DataFrame:
+        """The audit with all warnings: columns that were lacking, and sessions that were skipped or too short."""
+        self.sessions  # noqa: B018 - sees to its warnings
+        n = events.short_sessions(self.trades, self.context).count()
+        short = [f"{n} sessions have too few events and were dropped"] if n else []
+        return clean.audit(self.tape, [*self.column_warnings, *self.made["warnings"], *short])
 
     @cached_property
     def usable_trades(self) -> DataFrame:
@@ -121,9 +140,13 @@ _prepared: dict[tuple, Prepared] = {}
 
 
 def prepare(
-    prints: DataFrame, clean_spec: CleanSpec, split_spec: SplitSpec, token_spec: TokenSpec, clock_spec: ClockSpec
+    prints: DataFrame, clean_spec: CleanSpec, split_spec: SplitSpec, token_spec: TokenSpec, clock_spec: ClockSpec, missing: str = "error"
 ) -> Prepared:
-    return Prepared(clean.annotate(prints, clean_spec, split_spec), clean_spec, split_spec, token_spec, clock_spec)
+    """``missing`` says what becomes of expected sessions that are missing or too short: ``error`` or ``skip``."""
+    if missing not in events.POLICIES:
+        raise ValueError("The policy is error or skip")
+    warnings = clean.check_columns(clean.normalize_columns(prints), clean_spec)
+    return Prepared(clean.annotate(prints, clean_spec, split_spec), clean_spec, split_spec, token_spec, clock_spec, missing, tuple(warnings))
 
 
 def prepared_tape(spark: SparkSession, sf_dir: str, token_spec: TokenSpec = tape.TOKENS) -> Prepared:
@@ -131,5 +154,5 @@ def prepared_tape(spark: SparkSession, sf_dir: str, token_spec: TokenSpec = tape
     key = (spark.sparkContext.applicationId, sf_dir, token_spec)
     if key not in _prepared:
         prints = tape.raw_prints(spark, sf_dir)
-        _prepared[key] = prepare(prints, tape.CLEAN, tape.SPLIT, token_spec, tape.CLOCK)
+        _prepared[key] = prepare(prints, tape.CLEAN, tape.SPLIT, token_spec, tape.CLOCK, missing="skip")
     return _prepared[key]

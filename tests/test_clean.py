@@ -161,7 +161,7 @@ def test_zip_source_equals_csv(spark, tmp_path):
 def test_csv_keeps_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text('symbol,Size,note\nNA,007,\n"x, y",1e3,null\n')
     df = prints.read_prints(spark, str(tmp_path / "a.csv"))
-    assert df.columns == ["symbol", "size", "note", "source_file"]
+    assert df.columns == ["symbol", "size", "note", "source_file", "source_block", "source_row", "source_place"]
     assert [(r.symbol, r["size"], r.note) for r in df.collect()] == [("NA", "007", ""), ("x, y", "1e3", "null")]
     with pytest.raises(ValueError, match="Unsupported"):
         prints.read_prints(spark, "a.txt")
