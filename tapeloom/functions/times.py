@@ -7,7 +7,7 @@ from datetime import UTC, datetime, timedelta
 from functools import cache
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NANOS = 1_000_000_000
@@ -50,26 +50,22 @@ def zone_seconds(zone: Column) -> Column:
 
 @dataclass(frozen=True)
 class ZoneTable:
-    """Offsets of a zone by time, in buckets of a mean year, so that a lookup is a few comparisons with a small array.
-
-    ``edges`` has ``stride`` times for each bucket, ascending, and ``offsets`` the ``stride`` + 1 offsets between them; an offset of
-    ``UNCLEAR`` stands where the clock skips a reading or shows it twice.
+    """Offsets of a zone by time, one row for each bucket of a mean year: its ``stride`` times of change, ascending, and the offsets
+    before, between and after them. An offset of ``UNCLEAR`` stands where the clock skips a reading or shows it twice.
     """
 
-    first: int
-    buckets: int
     stride: int
-    edges: tuple[int, ...]
-    offsets: tuple[int, ...]
+    rows: tuple[tuple[int, ...], ...]
 
-    def offset(self, seconds: Column) -> Column:
-        """Offset at ``seconds``, null where there is none."""
-        listed = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
-        bucket = F.greatest(F.lit(0), F.least(F.lit(self.buckets - 1), F.floor(seconds / BUCKET) - self.first)).cast("int")
-        edges, offsets = listed(self.edges), listed(self.offsets)
-        passed = [F.when(F.get(edges, bucket * self.stride + i) <= seconds, 1).otherwise(0) for i in range(self.stride)]
-        found = F.get(offsets, bucket * (self.stride + 1) + sum(passed[1:], passed[0]))
-        return F.when(found != UNCLEAR, found)
+    def offsets(self, df: DataFrame, seconds: str, name: str) -> DataFrame:
+        """Add the offset at ``seconds`` as ``name``, null where there is none: a lookup in a few hundred rows and some comparisons."""
+        edges, offsets = [f"_edge{i}" for i in range(self.stride)], [f"_offset{i}" for i in range(self.stride + 1)]
+        table = df.sparkSession.createDataFrame(self.rows, ", ".join(f"{c} long" for c in ("_bucket", *edges, *offsets)))
+        placed = df.withColumn("_bucket", F.floor(F.col(seconds) / BUCKET)).join(F.broadcast(table), "_bucket", "left")
+        found = F.col(offsets[0])
+        for edge, after in zip(edges, offsets[1:]):
+            found = F.when(F.col(seconds) >= F.col(edge), F.col(after)).otherwise(found)
+        return placed.withColumn(name, found).withColumn(name, F.when(F.col(name) != UNCLEAR, F.col(name))).drop("_bucket", *edges, *offsets)
 
 
 #: Seconds of a bucket: a mean Gregorian year. UNCLEAR is no offset of any zone.
@@ -107,14 +103,14 @@ def _table(first: int, steps: list[tuple[int, int]]) -> ZoneTable:
     for at, offset in steps:
         own.setdefault(at // BUCKET, []).append((at, offset))
     stride = max(map(len, own.values()), default=1)
-    edges, offsets, now = [], [], first
+    rows, now = [], first
     for bucket in range(start, end):
         here = own.get(bucket, [])
-        edges += [at for at, _ in here] + [1 << 60] * (stride - len(here))
-        offsets += [now, *(offset for _, offset in here)]
+        offsets = [now, *(offset for _, offset in here)]
         now = offsets[-1]
-        offsets += [now] * (stride - len(here))
-    return ZoneTable(start, end - start, stride, tuple(edges), tuple(offsets))
+        lacking = stride - len(here)
+        rows.append((bucket, *(at for at, _ in here), *[1 << 60] * lacking, *offsets, *[now] * lacking))
+    return ZoneTable(stride, tuple(rows))
 
 
 @cache
@@ -131,13 +127,14 @@ def wall_table(timezone: str) -> ZoneTable:
     return _table(first, steps)
 
 
-def to_utc(wall: Column, timezone: str) -> Column:
-    """Null where the local clock skips the reading or shows it twice."""
-    return wall - wall_table(timezone).offset(wall)
+def with_utc(df: DataFrame, wall: str, timezone: str, name: str) -> DataFrame:
+    """Add the UTC second at which the local clock shows ``wall``; null where it skips the reading or shows it twice."""
+    return wall_table(timezone).offsets(df, wall, "_shift").withColumn(name, F.col(wall) - F.col("_shift")).drop("_shift")
 
 
-def to_local(utc: Column, timezone: str) -> Column:
-    return utc + utc_table(timezone).offset(utc)
+def with_local(df: DataFrame, utc: str, timezone: str, name: str) -> DataFrame:
+    """Add what the local clock shows at the UTC second ``utc``."""
+    return utc_table(timezone).offsets(df, utc, "_shift").withColumn(name, F.col(utc) + F.col("_shift")).drop("_shift")
 
 
 def session_open_ns(date: Column, start_seconds: int, timezone: str) -> Column:

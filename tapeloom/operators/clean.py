@@ -18,9 +18,9 @@ from ..functions.times import (
     in_range,
     iso_parts,
     part,
-    to_local,
-    to_utc,
     wall_seconds,
+    with_local,
+    with_utc,
     zone_seconds,
 )
 
@@ -116,10 +116,8 @@ def parse_timestamps(df: DataFrame, spec: CleanSpec) -> DataFrame:
     if spec.timezone in UTC_NAMES:
         df = df.withColumn("_utc", F.when(zoned, wall - zone_seconds(zone)).otherwise(wall)).withColumn("_local", utc)
     else:
-        df = (
-            df.withColumn("_utc", F.when(zoned, wall - zone_seconds(zone)).otherwise(to_utc(wall, spec.timezone)))
-            .withColumn("_local", F.when(zoned, to_local(utc, spec.timezone)).when(utc.isNotNull(), wall))
-        )
+        df = with_utc(df, "_wall", spec.timezone, "_utc").withColumn("_utc", F.when(zoned, wall - zone_seconds(zone)).otherwise(utc))
+        df = with_local(df, "_utc", spec.timezone, "_local")
     return (
         df.withColumn("ts_ns", utc * NANOS + fraction_nanos(F.col("_fraction")))
         .withColumn("zoned", F.when(F.col("_clock").isNotNull(), zoned))

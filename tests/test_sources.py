@@ -194,7 +194,7 @@ def test_zone_tables_against_zoneinfo(spark, timezone):
         shown = {wall - o for o in known if offset(wall - o) == o}
         want[wall] = shown.pop() if len(shown) == 1 else None
     df = spark.createDataFrame([(w,) for w in walls], "w long")
-    got = df.select("w", times.to_utc(F.col("w"), timezone), times.to_local(F.col("w"), timezone)).collect()
+    got = times.with_local(times.with_utc(df, "w", timezone, "u"), "w", timezone, "l").select("w", "u", "l").collect()
     assert {r[0]: r[1] for r in got} == want and {r[0]: r[2] for r in got} == {w: w + offset(w) for w in walls}
     assert any(u is None for u in want.values()) or timezone == "Asia/Kolkata"
 
