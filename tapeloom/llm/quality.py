@@ -24,6 +24,8 @@ SMOOTHING = 0.5
 THRESHOLD = -0.2
 
 _BLOCK = 1 << 12
+#: Tasks whose blocks are added up together first.
+FAN_IN = 512
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 SYMBOL = ~byte_table(b"#*$%&|<>")
 REPEAT, FEWEST, MOST_REPEATED = 8, 20, 30
@@ -45,10 +47,17 @@ class Ratios:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text") -> Ratios:
-    """Ratios from all of ``docs`` and those of them whose ids ``trusted`` (one column, each id once) lists."""
-    marked = docs.select(F.col(id).alias("id__"), F.col(text).alias("text")).join(trusted.select(F.col(trusted.columns[0]).alias("id__"), F.lit(True).alias("trusted")), "id__", "left")
+    """Ratios from all of ``docs`` and those of them whose ids ``trusted`` (one column, each id once) lists.
+
+    Texts meet the trusted ids by one shuffle, whatever the number of ids, and stream past a table of the ids of their partition, unsorted.
+    """
+    ids = trusted.select(F.col(trusted.columns[0]).alias("id__"), F.lit(True).alias("trusted")).hint("shuffle_hash")
+    marked = docs.select(F.col(id).alias("id__"), F.col(text).alias("text")).join(ids, "id__", "left")
 
     def count(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         totals = np.zeros((2, 1 << BUCKET_BITS), np.int64)
         for batch in (s for b in batches for s in slices(b, "text")):
             bucket, row = ngrams(scan(*text_bytes(batch.column("text")), SPACED))
@@ -58,15 +67,19 @@ def fit(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "te
         if totals[0].any():
             blocks = range((1 << BUCKET_BITS) // _BLOCK)
             parts = [totals[:, b * _BLOCK : (b + 1) * _BLOCK].astype("<i8").tobytes() for b in blocks]
-            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+            columns = [pa.array(list(blocks), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "task", "counts"])
 
     def add(table):
         total = sum(np.frombuffer(c, "<i8") for c in table.column("counts").to_pylist())
-        return pa.Table.from_arrays([table.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+        return pa.Table.from_arrays([*(table.column(c).slice(0, 1) for c in ("block", "task")), pa.array([total.tobytes()], pa.binary())], ["block", "task", "counts"])
 
-    schema = "block int, counts binary"
+    schema = "block int, task int, counts binary"
+    # Two steps, so that no group holds a block of every task.
+    counted = marked.select("text", "trusted").mapInArrow(count, schema)
+    counted = counted.groupBy("block", F.expr(f"task div {FAN_IN}").alias("group")).applyInArrow(add, schema)
     raw, target = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    for r in marked.select("text", "trusted").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
+    for r in counted.groupBy("block").applyInArrow(add, schema).collect():
         own = slice(r["block"] * _BLOCK, (r["block"] + 1) * _BLOCK)
         raw[own], target[own] = np.frombuffer(r["counts"], "<i8").reshape(2, _BLOCK)
     if not target.any():

@@ -233,7 +233,7 @@ def test_whitening_of_repeated_and_missing_directions(spark, tables):
     w, want, values = check_whitening(spark, list(enumerate(corners)), "double")
     assert w.shape[1] == 3 and np.allclose(w.T @ w / len(w), np.eye(3), atol=1e-10)  # any turn of the three is right
     rng = np.random.default_rng(8)
-    few = [(i, list(rng.standard_normal(30))) for i in range(6)]
+    few = [(i, rng.standard_normal(30).tolist()) for i in range(6)]
     w, want, _ = check_whitening(spark, few, "double")
     assert w.shape[1] == 5 and np.abs(np.abs(w) - np.abs(want)).max() < 1e-8
 
