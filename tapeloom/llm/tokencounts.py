@@ -49,7 +49,13 @@ class Model:
         sizes = range(self.model.get_piece_size())
         plain = [i for i in sizes if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
         self.score = {self.model.id_to_piece(i): self.model.get_score(i) for i in plain}
-        self.longest = max(map(len, self.score), default=1)
+        # Entries read from their ends: each character leads on, and "" marks that an entry is whole.
+        self.back: dict = {}
+        for name in self.score:
+            node = self.back
+            for c in reversed(name):
+                node = node.setdefault(c, {})
+            node[""] = {}
         self.bytewise = any(map(self.model.is_byte, sizes))
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, int] = {}
@@ -72,17 +78,32 @@ class Model:
             out = [counts[p] if n is None else n for p, n in zip(pieces, out, strict=True)]
         return out
 
+    def totals(self, texts: list[str]) -> list[int]:
+        """Last entries of the prefix tables of many texts: sums of the last entries of their pieces.
+
+        New pieces are worked out together, in order, so that one goes on from the prefix it shares with the one before; the library
+        counts them in one call.
+        """
+        cut = [self.pieces(text) if text else [] for text in texts]
+        ends = self.ends
+        new = sorted({piece for pieces in cut for piece in pieces if piece not in ends})
+        found = {}
+        before, count, last = "", [0], [""]
+        for piece, whole in zip(new, map(len, self.model.encode(new, num_threads=1)) if new else (), strict=True):
+            text = SIGN + piece.replace(" ", SIGN)
+            same = next((i for i, (a, b) in enumerate(zip(text, before)) if a != b), min(len(text), len(before)))
+            del count[same + 1 :], last[same + 1 :]
+            self.extend(text, count, last)
+            found[piece] = count[-1] if piece and count[-1] == whole else whole
+            before = text
+        out = [sum(found[p] if p in found else ends[p] for p in pieces) for pieces in cut]
+        if len(ends) + len(found) > REMEMBERED:
+            ends.clear()
+        ends.update(found)
+        return out
+
     def total(self, text: str) -> int:
-        """The last entry of the prefix table: the sum of the last entries of its pieces."""
-        total = 0
-        for piece in self.pieces(text) if text else ():
-            n = self.ends.get(piece)
-            if n is None:
-                n = int(self.prefix_steps(piece)[-1]) if piece else self.count([piece])[0]
-                if len(self.ends) < REMEMBERED:
-                    self.ends[piece] = n
-            total += n
-        return total
+        return self.totals([text])[0]
 
     def merged(self, text: str) -> list[str]:
         """Tokens of a short string, by merging the best pair of neighbours as long as there is one."""
@@ -108,18 +129,26 @@ class Model:
 
     def recurrence(self, piece: str) -> np.ndarray:
         """Counts of the prefixes of a piece from those of shorter ones."""
-        text = SIGN + piece.replace(" ", SIGN)
         count, last = [0], [""]
-        for i in range(1, len(text) + 1):
-            for n in range(min(self.longest, i), 0, -1):
+        self.extend(SIGN + piece.replace(" ", SIGN), count, last)
+        return np.array(count[2:], np.int32)
+
+    def extend(self, text: str, count: list[int], last: list[str]) -> None:
+        """Counts and last tokens of the prefixes that ``count`` and ``last`` do not reach yet."""
+        for i in range(len(count), len(text) + 1):
+            node, n, ending = self.back, 0, [1]
+            while n < i and (node := node.get(text[i - 1 - n])) is not None:
+                n += 1
+                if n > 1 and "" in node:
+                    ending.append(n)
+            for n in reversed(ending):
                 token = text[i - n : i]
-                if (n == 1 or token in self.score) and self._ends(last[i - n], token):
+                if self._ends(last[i - n], token):
                     break
             last.append(token)
             # Unknown characters side by side are one token if the model does not spell them in bytes.
             joined = not self.bytewise and token not in self.score and last[i - n] and last[i - n] not in self.score
             count.append(count[i - n] + (0 if joined else self._worth(token)))
-        return np.array(count[2:], np.int32)
 
     def prefix_steps(self, piece: str) -> np.ndarray:
         """Counts of the prefixes of a piece, one for each of its characters."""
@@ -159,16 +188,25 @@ def model(path: str) -> Model:
     return _models[path]
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A name like this that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _apply(docs: DataFrame, text: str, added: list[tuple[str, str]], work: Callable) -> DataFrame:
-    """``docs`` with columns replaced or added; ``work(text)`` gives one value for each."""
+    """``docs`` with columns replaced or added; ``work(texts)`` gives the values of each text."""
     names = [n for n, _ in added]
     kept = [f for f in docs.schema.fields if f.name.lower() not in names]
-    probe = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("text__"))
+    own = _unused(docs, "text")
+    probe = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias(own))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` {t}" for n, t in added])
 
     def apply(batches):
-        for batch in (s for b in batches for s in slices(b, "text__")):
-            made = list(zip(*[work(t or "") for t in batch.column("text__").to_pylist()], strict=True))
+        for batch in (s for b in batches for s in slices(b, own)):
+            made = zip(*work([t or "" for t in batch.column(own).to_pylist()]), strict=True)
             columns = [pa.array(list(v), pa.int64() if t == "long" else pa.string() if t == "string" else pa.list_(pa.int32())) for v, (_, t) in zip(made, added, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*(f.name for f in kept), *names])
 
@@ -180,7 +218,7 @@ def token_totals(docs: DataFrame, path: str, text: str = "text", column: str = "
 
     A null or empty text has none. A column of the same name is replaced. Texts are never cut.
     """
-    return _apply(docs, text, [(column, "long")], lambda t: (model(path).total(t),))
+    return _apply(docs, text, [(column, "long")], lambda texts: [(n,) for n in model(path).totals(texts)])
 
 
 def prefix_table(docs: DataFrame, path: str, text: str = "text", column: str = "prefix_tokens") -> DataFrame:
@@ -188,7 +226,7 @@ def prefix_table(docs: DataFrame, path: str, text: str = "text", column: str = "
 
     Adding a character may lower a count, when it completes a longer token. A null or empty text has an empty array.
     """
-    return _apply(docs, text, [(column, "array<int>")], lambda t: (model(path).prefixes(t),))
+    return _apply(docs, text, [(column, "array<int>")], lambda texts: [(model(path).prefixes(t),) for t in texts])
 
 
 def tokens_before(prefixes: str, characters) -> F.Column:
@@ -205,8 +243,9 @@ def longest_prefix(prefixes: str, budget) -> F.Column:
 
 def truncated(docs: DataFrame, path: str, budget: int, text: str = "text") -> DataFrame:
     """``docs`` with each text cut to the longest prefix of at most ``budget`` tokens; a null stays null."""
-    table = prefix_table(docs, path, text, "prefix_tokens__")
-    return table.withColumn(text, F.substring(F.col(text), F.lit(1), longest_prefix("prefix_tokens__", budget))).drop("prefix_tokens__")
+    prefixes = _unused(docs, "prefix_tokens")
+    table = prefix_table(docs, path, text, prefixes)
+    return table.withColumn(text, F.substring(F.col(text), F.lit(1), longest_prefix(prefixes, budget))).drop(prefixes)
 
 
 def report(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
