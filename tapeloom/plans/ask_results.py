@@ -190,11 +190,12 @@ def probe_scaler(p: Prepared):
     return p.spark.createDataFrame(rows, "i int, feature string, mean double, scale double")
 
 
-@question()
+@question("i:i classes:i weight_sum:r", "SELECT i, 3 AS classes, 0.0 AS weight_sum FROM range(13) f(i)", clock=True)
 def probe_parameters(p: Prepared):
-    """Weights of the chosen volatility probe."""
+    """Weights of the chosen volatility probe, summed over the classes: the penalty is the same for all, so at the optimum they cancel."""
     frame = fitted(p)[0].to_frame(p.spark)
-    return frame.select("class", "bias", F.posexplode("weight").alias("i", "weight"))
+    weights = frame.select("class", F.posexplode("weight").alias("i", "weight"))
+    return weights.groupBy("i").agg(F.count("*").alias("classes"), (F.round(F.sum("weight"), 4) + F.lit(0.0)).alias("weight_sum"))
 
 
 @question("class:i i:i optimal", "SELECT c.i AS class, f.i - 1 AS i, true AS optimal FROM range(3) c(i), range(14) f(i), (SELECT count(*) FROM cex)", clock=True)
@@ -204,15 +205,23 @@ def probe_gradient(p: Prepared):
     return slopes.select("class", "i", (F.abs("slope") < 1e-5).alias("optimal"))
 
 
-@question()
+@question("split symbol date anchor:i label:i proper", "SELECT *, T2_label AS label, true AS proper FROM clab WHERE split <> 'train'", clock=True)
 def probe_predictions(p: Prepared):
-    scored = probes.predict_probe(probe_rows(p).where("split <> 'train'"), fitted(p)[0])
-    return metrics.predictions(scored, ["split", *IDENT])
+    """Every row outside training scored: three probabilities that sum to one, the likeliest class and its loss."""
+    found = metrics.predictions(probes.predict_probe(probe_rows(p).where("split <> 'train'"), fitted(p)[0]), ["split", *IDENT])
+    values = [F.col(f"p{k}") for k in range(3)]
+    own = F.when(F.col("label") == 0, values[0]).when(F.col("label") == 1, values[1]).otherwise(values[2])
+    likeliest = F.when(F.col("predicted") == 0, values[0]).when(F.col("predicted") == 1, values[1]).otherwise(values[2])
+    fits = (F.abs(values[0] + values[1] + values[2] - 1) < 1e-9) & (likeliest == F.greatest(*values)) & (F.abs(F.exp(-F.col("nll")) - own) < 1e-9)
+    return found.select("split", *IDENT, "label", fits.alias("proper"))
 
 
-@question()
+@question("strength:r converged selected_is_lowest", "SELECT unnest([0.001, 0.01, 0.1]) AS strength, true AS converged, true AS selected_is_lowest")
 def probe_selection(p: Prepared):
-    return p.spark.createDataFrame(fitted(p)[1], "strength double, val_nll double, objective double, gradient double, iterations int, selected boolean")
+    """The candidate table: each fit is flat where it stopped, and the selected one has the lowest validation loss."""
+    table = p.spark.createDataFrame(fitted(p)[1], "strength double, val_nll double, objective double, gradient double, iterations int, selected boolean")
+    lowest = min(row["val_nll"] for row in fitted(p)[1])
+    return table.select("strength", (F.col("gradient") <= 1e-5).alias("converged"), (F.col("selected") == (F.col("val_nll") == lowest)).alias("selected_is_lowest"))
 
 
 @question("rows:i rebuilt", "SELECT count(*) AS rows, true AS rebuilt FROM cex WHERE split <> 'train'", clock=True)
@@ -252,13 +261,86 @@ def two_view_features(p: Prepared):
     return two_views(p).select(*IDENT, view[0].alias("first"), view[p.context - 1].alias("last"), total.alias("total"))
 
 
-@question()
+GRID = dict(tasks={"T1": "T1_label", "T2": "T2_label", "T3": "T3_label"}, seeds=(42, 43), budgets=(150, "all"), grid=(0.01, 0.1))
+
+
+def grid(p: Prepared) -> probes.Grid:
+    """Three tasks, two seeds, 150 and all labels, statistics with and without a representation: 48 probes fitted together."""
+    def make(p: Prepared) -> probes.Grid:
+        # T1 counts few events in a small table, so its lower tertile is 0, on which ties would go up and leave no lower class.
+        low, high = p.thresholds["T1"]
+        strict = (F.col("T1_target") > low).cast("int") + (F.col("T1_target") > high).cast("int")
+        rows = p.clock_labels.withColumn("T1_label", strict).select("split", *IDENT, F.array(*clock.FEATURES).alias("x"), *GRID["tasks"].values())
+        rows = rows.join(two_views(p), IDENT).withColumn("both", probes.assemble(F.col("x"), F.col("view")))
+        return probes.probe_grid(rows, {"stats": F.col("x"), "stats_views": F.col("both")}, IDENT, **GRID)
+
+    return p.once("grid", make)
+
+
+#: The grid's rows, training sets and class priors; every other figure of a probe is a fit, of which SQL can say that it is there.
+GRID_CTES = """
+grows AS (SELECT clab.* REPLACE ((T1_target > q1[1])::INT + (T1_target > q1[2])::INT AS T1_label) FROM clab, thr WHERE last_raw_trade_index - 12 >= 12),
+gset AS (
+  SELECT seed, '150' AS budget, symbol, date, anchor, T1_label, T2_label, T3_label FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed ORDER BY ('0x' || substr(md5(concat_ws('|', seed, symbol, date, anchor)), 1, 8))::BIGINT, symbol, date, anchor) AS rank
+    FROM grows, (SELECT unnest([42, 43]) AS seed) WHERE split = 'train') WHERE rank <= 150
+  UNION ALL SELECT seed, 'all', symbol, date, anchor, T1_label, T2_label, T3_label FROM grows, (SELECT unnest([42, 43]) AS seed) WHERE split = 'train'),
+glong AS (
+  SELECT 'T1' AS task, * EXCLUDE (T1_label, T2_label, T3_label), T1_label AS label FROM gset UNION ALL SELECT 'T2', * EXCLUDE (T1_label, T2_label, T3_label), T2_label FROM gset
+  UNION ALL SELECT 'T3', * EXCLUDE (T1_label, T2_label, T3_label), T3_label FROM gset),
+gcount AS (SELECT task, seed, budget, count(*) AS n_train, count(*) FILTER (label = 0) AS train_0, count(*) FILTER (label = 1) AS train_1,
+  count(*) FILTER (label = 2) AS train_2 FROM glong GROUP BY 1, 2, 3),
+gtest AS (
+  SELECT 'T1' AS task, split, symbol, date, anchor, T1_label AS label FROM grows WHERE split <> 'train'
+  UNION ALL SELECT 'T2', split, symbol, date, anchor, T2_label FROM grows WHERE split <> 'train'
+  UNION ALL SELECT 'T3', split, symbol, date, anchor, T3_label FROM grows WHERE split <> 'train'),
+gscored AS (SELECT t.*, c.* EXCLUDE (task), -ln((CASE label WHEN 0 THEN train_0 WHEN 1 THEN train_1 ELSE train_2 END + 1.0) / (n_train + 3)) AS nll FROM gtest t JOIN gcount c USING (task)),
+gmethod AS (SELECT unnest(['frequency', 'stats', 'stats_views']) AS method)
+"""
+
+
+def grid_rows(p: Prepared, groups: list[str]) -> DataFrame:
+    table = grid(p).metrics(groups)
+    prior = F.col("method") == "frequency"
+    sound = F.col("nll").between(1e-6, 50) & F.col("brier").between(0, 2) & F.col("accuracy").between(0, 1) & (prior | F.col("strength").isin(*GRID["grid"]))
+    return table.select(
+        "task", "method", "budget", "seed", *groups, "examples", "n_train", *[f"train_{k}" for k in range(3)], F.when(prior, F.col("nll")).alias("prior_nll"), sound.alias("sound")
+    )
+
+
+def grid_sql(groups: str) -> str:
+    return f"""SELECT task, method, budget, seed, {groups}, count(*) AS examples, any_value(n_train) AS n_train, any_value(train_0) AS train_0, any_value(train_1) AS train_1,
+       any_value(train_2) AS train_2, CASE WHEN method = 'frequency' THEN avg(nll) END AS prior_nll, true AS sound FROM gscored, gmethod GROUP BY task, method, budget, seed, {groups}"""
+
+
+GRID_COLUMNS = "examples:i n_train:i train_0:i train_1:i train_2:i prior_nll:r sound"
+
+
+@question(f"task method budget seed:i split {GRID_COLUMNS}", grid_sql("split"), GRID_CTES, clock=True)
 def probe_grid(p: Prepared):
-    """Volatility task over seeds and methods: class prior, statistics, statistics with a representation."""
-    rows = probe_rows(p).join(two_views(p), IDENT).withColumn("both", probes.assemble(F.col("x"), F.col("view")))
-    rows = p.landed("grid-rows", lambda p: rows)
-    methods = {"stats": F.col("x"), "stats_views": F.col("both")}
-    return probes.probe_grid(rows, methods, IDENT, {"T2": "label"}, (42, 43), (150,), (0.01, 0.1))
+    """Metrics of the selected probes and of the class priors by split, with their training counts."""
+    return grid_rows(p, ["split"])
+
+
+@question(f"task method budget seed:i split symbol date {GRID_COLUMNS}", grid_sql("split, symbol, date"), GRID_CTES, clock=True)
+def probe_sessions(p: Prepared):
+    """The same by session."""
+    return grid_rows(p, ["split", *KEY])
+
+
+@question(
+    "task method budget seed:i strength:r optimal selected_is_lowest",
+    """SELECT task, method, budget, seed, strength, true AS optimal, true AS selected_is_lowest FROM gcount, gmethod, (SELECT unnest([0.01, 0.1]) AS strength)
+       WHERE method <> 'frequency'""",
+    GRID_CTES,
+    clock=True,
+)
+def probe_candidates(p: Prepared):
+    """All 48 candidates: flat where they stopped, and of each pair the one with the lower validation loss is selected."""
+    table, keys = grid(p).candidates, ["task", "method", "budget", "seed"]
+    lowest = table.groupBy(*keys).agg(F.min("val_nll").alias("lowest"))
+    chosen = F.col("selected") == (F.col("val_nll") == F.col("lowest"))
+    return table.join(lowest, keys).select(*keys, "strength", (F.col("gradient") <= 1e-5).alias("optimal"), chosen.alias("selected_is_lowest"))
 
 
 @question(

@@ -227,7 +227,22 @@ def test_probe(spark):
     with pytest.raises(RuntimeError, match="converge"):
         probes.fit_probe(train, 0.001, max_iter=1)
     grid = probes.probe_grid(df.withColumn("z", F.col("x")), {"stats": F.col("z")}, ["i"], {"T": "label"}, [1], [60, "all"], [0.1])
-    compare.check_grid(grid, {"task": ["T"], "method": ["frequency", "stats"], "budget": ["60", "all"], "seed": [1], "split": ["val"]})
+    # The fits in step arrive where MLlib does, also on a subset and with a constant feature.
+    for candidate, found in grid.fitted.items():
+        rows_ = train if candidate.budget == "all" else train.join(probes.budget_subsets(train, ["i"], [1], [60]).select("i"), "i", "left_semi")
+        alone = probes.fit_probe(rows_, 0.1)
+        assert found.mean == pytest.approx(alone.mean) and found.scale == pytest.approx(alone.scale) and found.gradient <= 1e-6
+        assert found.objective == pytest.approx(alone.objective, abs=1e-9)
+        assert [w for row in found.weight for w in row] == pytest.approx([w for row in alone.weight for w in row], abs=1e-4)
+        score = lambda one: [x for r in probes.predict_probe(val, one).orderBy("i").collect() for x in r.p]  # noqa: E731, B023
+        assert score(found) == pytest.approx(score(alone), abs=1e-5)
+    stored = {(r.budget, r["class"]): r for r in grid.heads.collect()}
+    assert len(stored) == 6 and stored["all", 2].bias == grid.fitted[next(c for c in grid.fitted if c.budget == "all")].bias[2]
+    assert {r.i for r in grid.metrics(["i"]).select("i").collect()} == set(range(150, 240))
+    assert grid.candidates.where("selected").count() == 2 and {(r.budget, r.n_train) for r in grid.counts.collect()} == {("60", 60), ("all", 150)}
+    with pytest.raises(ValueError, match="three classes"):
+        probes.probe_grid(df.where("label < 2 or split = 'val'"), {"stats": F.col("x")}, ["i"], {"T": "label"}, [1], ["all"], [0.1])
+    compare.check_grid(grid.metrics(), {"task": ["T"], "method": ["frequency", "stats"], "budget": ["60", "all"], "seed": [1], "split": ["val"]})
     with pytest.raises(ValueError, match="Fewer than"):
         probes.budget_subsets(train, ["i"], [1], [151])
 
