@@ -52,18 +52,15 @@ class Encoder:
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit numbers; pieces that are new are encoded together."""
         cut = [_CUT.split(t) if _UNEVEN.search(t) else t.split(" ") for t in texts]
+        heads = self._encode([words.pop(0) for words in cut])
         known = self.known
-        found = [list(map(known.get, words[1:])) for words in cut]
-        new = list({w for words, own in zip(cut, found, strict=True) if None in own for w, x in zip(words[1:], own, strict=True) if x is None})
+        room = max(0, REMEMBERED - len(known))
+        new = list(set().union(*cut).difference(known))
         made = dict(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-        heads = self._encode([words[0] for words in cut])
-        out = []
-        for words, own, head in zip(cut, found, heads, strict=True):
-            if None in own:
-                own = [made[w] if x is None else x for w, x in zip(words[1:], own, strict=True)]
-            out.append(b"".join([head, *own]))
-        room = REMEMBERED - len(known)
-        known.update(made if len(made) <= room else dict(list(made.items())[: max(room, 0)]))
+        known.update(made)
+        out = [b"".join([head, *map(known.__getitem__, words)]) for head, words in zip(heads, cut, strict=True)]
+        for w in new[room:]:
+            del known[w]
         return out
 
     def ids(self, text: str) -> bytes:
