@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEY, SPLITS
 from ..operators import clock, compare, integrity, labels, metrics, probes, tokens, windows
+from ..runtime import shared_dir
 from . import frozen
 from .ask_labels import AUDIT_SQL, DISTRIBUTION_SQL
 from .ask_models import BATCH, COVERAGE_SQL, SEEDS, pairs, stream_at, totals
@@ -359,11 +362,11 @@ def subset_counts(p: Prepared):
     clock=True,
 )
 def frozen_scoring(p: Prepared):
-    """Held-out prints cleaned, coded, labelled and scored anew with stored edges, thresholds and probe."""
-    stored = tokens.Binner.from_frame(p.binner.to_frame(p.spark))
-    kept = p.kept.where("split = 'heldout'")
-    coded, labelled = frozen.apply_frozen(kept, stored, p.thresholds, p.clock_spec, p.clean_spec, p.context)
-    scored = frozen.score_frozen(labelled, coded, p.context, fitted(p)[0], clock.FEATURES)
+    """Held-out prints scored anew by a bundle of edges, thresholds and probe that was stored and opened again."""
+    path = f"{shared_dir(p.spark)}/tapeloom/bundle-{uuid.uuid4().hex}"
+    fitted_ = frozen.Bundle(p.binner, p.thresholds, {"T2": fitted(p)[0]}, tuple(clock.FEATURES), p.token_spec, p.clock_spec, p.clean_spec)
+    opened = frozen.open_bundle(p.spark, path, frozen.write_bundle(p.spark, fitted_, path))
+    scored = frozen.apply_frozen(p.kept.where("split = 'heldout'"), opened).score("T2")
     total = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
     return scored.select("split", *IDENT, F.array_join("tokens", ",").alias("tokens"), "T1_label", "T2_label", "T3_label", (F.abs(total - 1) < 1e-9).alias("proper"))
 

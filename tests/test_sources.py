@@ -250,3 +250,33 @@ def test_members_are_streamed(spark, tmp_path, monkeypatch):
     assert rows[17] == {"k": "17", "text": 'line\nwith "quotes", ' + "x" * 200, "source_place": 3, "source_file": f"{path}/a.csv", "source_row": 17}
     assert [(r["k"], r["text"], r["source_row"]) for r in rows[-2:]] == [("7", "", 5000), ("null", "NA", 5001)]
     assert prints.read_prints(spark, path).count() == 5002
+
+
+def test_frozen_bundle(spark, tmp_path):
+    """A bundle comes back as it was, tampering is refused, and scoring new prints numbers them once."""
+    import test_tasks
+    from tapeloom.config import ClockSpec
+    from tapeloom.operators import clock, probes
+    from tapeloom.plans import frozen
+
+    head = probes.Probe((0.1,) * 13, (1.0 / 3,) * 13, tuple((k * 0.1,) * 13 for k in range(3)), (0.0, 0.5, -0.5), 0.1, 7, 0.9, 1e-7)
+    bundle = frozen.Bundle(BINNER, {"T1": (0.5, 1.0), "T2": (0.1, 1 / 7), "T3": (-0.1, 0.1)}, {"T2": head}, tuple(clock.FEATURES), TokenSpec(2, test_tasks.CONTEXT), test_tasks.SPEC, test_tasks.CLEAN)
+    path = str(tmp_path / "bundle")
+    digest = frozen.write_bundle(spark, bundle, path)
+    assert frozen.open_bundle(spark, path, digest) == bundle
+    with pytest.raises(ValueError, match="digest"):
+        frozen.open_bundle(spark, path, "0" * 64)
+    with pytest.raises(FileExistsError):
+        frozen.write_bundle(spark, bundle, path)
+    stored = json.loads(spark.read.text(path).first().value)
+    stored["content"]["thresholds"]["T2"][0] += 1e-9
+    spark.createDataFrame([(json.dumps(stored),)], "value string").coalesce(1).write.text(f"{path}-changed")
+    with pytest.raises(ValueError, match="digest"):
+        frozen.open_bundle(spark, f"{path}-changed")
+    with pytest.raises(FileNotFoundError):
+        frozen.open_bundle(spark, f"{path}-none")
+    kept = test_tasks.trade_frame(spark, *test_tasks.regular(1400)).select("symbol", "date", "split", "ts_ns", F.col("r").alias("seq"), "price", "size")
+    applied = frozen.apply_frozen(kept, bundle)
+    scored = applied.score("T2")
+    assert isinstance(bundle.clock_spec, ClockSpec) and scored.count() > 0
+    assert "RangePartitioning" not in scored._jdf.queryExecution().toString()  # the order was made once and landed
