@@ -23,7 +23,7 @@ from .scan import LOWER, SPACED, mix, scan, text_bytes
 #: Counts up to this one are discounted.
 HIGHEST = 5
 #: Pairs seen less often are left to the backoff if nothing else is asked for.
-LEAST = 2
+LEAST = 1
 
 _WORDS, _PAIRS, _COUNTS, _STATS = 0, 1, 2, 9
 _END, _BEGIN = np.uint64(0xE4D0F7E275E9D1A7), np.uint64(0xB361A0D05747C69B)
