@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CleanSpec, ClockSpec, SplitSpec, TokenSpec
 from ..operators import clean, clock, events, labels, tokens, windows
 from ..runtime import land
+from ..sources.files import stamp
 from . import tape
 
 HORIZON = 4
@@ -150,9 +151,11 @@ def prepare(
 
 
 def prepared_tape(spark: SparkSession, sf_dir: str, token_spec: TokenSpec = tape.TOKENS) -> Prepared:
-    """The tape of ``sf_dir``, prepared once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, token_spec)
+    """The tape of ``sf_dir``, prepared once per application and state of its files: changed input is prepared anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, token_spec, stamp(spark, f"{sf_dir}/events.parquet"))
     if key not in _prepared:
+        for old in [k for k in _prepared if k[:3] == key[:3]]:
+            del _prepared[old]
         prints = tape.raw_prints(spark, sf_dir)
         _prepared[key] = prepare(prints, tape.CLEAN, tape.SPLIT, token_spec, tape.CLOCK, missing="skip")
     return _prepared[key]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator, Sequence
@@ -84,6 +85,16 @@ def row_in_task() -> Column:
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files at a path: it changes when they do."""
+    hadoop, system = _path(spark, path)
+    each, found = system.listFiles(hadoop, True), []
+    while each.hasNext():
+        status = each.next()
+        found.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop, system = _path(spark, path)
     return system.exists(hadoop)

@@ -197,3 +197,14 @@ def test_audit_reads_only_touched_buckets(spark, tmp_path):
         whole = clean.annotate(spark.read.schema(schema).parquet(*[f"{feed}/{k}" for k in range(i + 1)]), CleanSpec(), SPLIT)
         assert got == {(r.section, r.key): r.n for r in clean.audit(whole).collect()}
     assert read == [[0, 1, 2], [1]] and got["total", "same_symbol_timestamp_ties"] == 2 and got["total", "identical_print_rows"] == 1
+
+
+def test_changed_input_is_prepared_anew(spark, tmp_path):
+    from tapeloom.plans.prepare import prepared_tape
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.limit(50).write.parquet(str(tmp_path / "events.parquet"))
+    first = prepared_tape(spark, str(tmp_path))
+    assert prepared_tape(spark, str(tmp_path)) is first and first.tape.count() == 50
+    source.limit(60).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert prepared_tape(spark, str(tmp_path)).tape.count() == 60
