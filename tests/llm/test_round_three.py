@@ -71,3 +71,68 @@ def test_log_ratios_and_verdicts(spark, tables, corpus, monkeypatch):
     assert all(r.kept == (not r.base_failed and r.log_ratio >= quality.THRESHOLD) for r in got) and 0 < sum(r.kept for r in got) < len(got)
     empty = quality.report(docs.where(F.lit(False)), labels)
     assert empty.count() == 0
+
+
+def _matrix(parts, shards, seed):
+    from tapeloom.llm import sharding
+
+    rows = [sharding.matrix_row(np.cumsum(parts), shards, seed, p) for p in range(len(parts))]
+    table = np.array([own for own, _ in rows])
+    assert (table.sum(axis=1) == parts).all() and (table.sum(axis=0) == sharding.shard_sizes(sum(parts), shards)).all()
+    for p, (_, before) in enumerate(rows):
+        assert (before == table[:p].sum(axis=0)).all()
+    return table
+
+
+def test_matrix_has_the_law_of_a_uniform_shuffle():
+    """Every matrix of a tiny case occurs as often as among all ways to deal the rows."""
+    import itertools
+
+    parts, shards = [2, 1, 3], 2
+    owner = [p for p, n in enumerate(parts) for _ in range(n)]
+    want = collections.Counter()
+    for chosen in itertools.combinations(range(6), 3):
+        want[tuple(sum(owner[c] == p for c in chosen) for p in range(3))] += 1
+    draws = 6000
+    got = collections.Counter(tuple(_matrix(parts, shards, seed)[:, 0].tolist()) for seed in range(draws))
+    assert set(got) <= set(want)
+    chi = sum((got[m] - draws * w / 20) ** 2 / (draws * w / 20) for m, w in want.items())
+    assert chi < 25  # 5 degrees of freedom
+
+
+def test_matrix_of_billions_of_rows():
+    """Margins are exact and moments right where counts are beyond numpy's sampler."""
+    parts, shards = [3_000_000_001, 17, 0, 5_000_000_000, 2_500_000_000], 3
+    first = np.array([_matrix(parts, shards, seed)[0] for seed in range(400)], float)
+    total = sum(parts)
+    mean = parts[0] / shards
+    deviation = (parts[0] * (1 / 3) * (2 / 3) * (total - parts[0]) / (total - 1)) ** 0.5
+    z = (first - mean) / deviation
+    assert np.abs(z.mean(axis=0)).max() < 4 / 20 and np.abs(z.std(axis=0) - 1).max() < 0.15
+    assert np.corrcoef(z[:, 0], z[:, 1])[0, 1] < -0.3
+
+
+def test_rejection_agrees_with_exact_probabilities():
+    from tapeloom.llm import sharding
+
+    rng = np.random.default_rng(3)
+    good, bad, n, draws = 12, 30, 9, 20_000
+    got = collections.Counter(sharding._by_rejection(rng, good, bad, n) for _ in range(draws))
+    p = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(n + 1)}
+    chi = sum((got[k] - draws * v) ** 2 / (draws * v) for k, v in p.items() if draws * v > 5)
+    assert chi < 28
+    for a, b in ((1_000, 1_500), (10**10, 10**10 + 12345), (5_000, 4_000)):
+        exact = math.fsum(math.log(x) for x in range(min(a, b) + 1, max(a, b) + 1)) * (1 if a > b else -1)
+        assert abs(sharding._log_factorials(a, b) - exact) < 1e-9 * abs(exact)
+
+
+def test_sharding_of_odd_tables(spark, tables):
+    from tapeloom.llm import sharding
+
+    rows = [(i % 3, "same", 7, 1) for i in range(100)] + [(None, None, 7, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, row__ int, dealt int").repartition(6)
+    got = sharding.shuffled(df, 4)
+    assert got.columns == ["doc_id", "text", "row__", "dealt", "shard", "slot"]
+    taken = sorted((r.shard, r.slot) for r in got.collect())
+    assert taken == [(s, k) for s, n in enumerate([26, 26, 26, 25]) for k in range(n)]
+    assert sharding.report(df.where("false")).count() == 0
