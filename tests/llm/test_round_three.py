@@ -136,3 +136,105 @@ def test_sharding_of_odd_tables(spark, tables):
     taken = sorted((r.shard, r.slot) for r in got.collect())
     assert taken == [(s, k) for s, n in enumerate([26, 26, 26, 25]) for k in range(n)]
     assert sharding.report(df.where("false")).count() == 0
+
+
+def test_ftrl_against_a_plain_loop(spark, tables):
+    """The classifier's weights by dictionaries and Python floats, one coordinate at a time, and scores from them."""
+    from tapeloom.llm import toxicity
+
+    rng = random.Random(6)
+    bad, good = ["vile", "rotten", "awful"], ["table", "river", "cloud", "seven"]
+    settings = toxicity.Settings(alpha=0.5, beta=1.0, l1=0.4, l2=0.1, passes=3)
+    sets, labels = [], []
+    for i in range(120):
+        y = int(rng.random() < 0.4)
+        own = rng.sample(range(40), rng.randrange(0, 9)) + ([50 + rng.randrange(3)] if y and rng.random() < 0.8 else [])
+        sets.append(np.array(sorted(set(own)), np.uint32))
+        labels.append(y)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        if k != "bias" and abs(z[k]) <= settings.l1:
+            return 0.0
+        lift, l2 = (0.0, 0.0) if k == "bias" else (math.copysign(settings.l1, z[k]), settings.l2)
+        return (lift - z[k]) / ((settings.beta + math.sqrt(n[k])) / settings.alpha + l2)
+
+    for _ in range(settings.passes):
+        for own, y in zip(sets, labels):
+            keys = [*own.tolist(), "bias"]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for k in keys:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / settings.alpha * w[k]
+                n[k] += g * g
+    want = {k: weight(k) for k in z if k != "bias" and weight(k)}
+    feature, got, bias = toxicity.ftrl(sets, np.array(labels), settings)
+    assert set(feature.tolist()) == set(want) and 3 < len(want) < 43
+    assert np.allclose([want[f] for f in feature.tolist()], got, atol=2e-4) and abs(bias - weight("bias")) < 2e-4
+    # Repeated rows, nulls, empty tables and extra columns.
+    texts = [(i, f"{rng.choice(bad)} {rng.choice(good)} {rng.choice(good)}" if i % 3 == 0 else f"{rng.choice(good)} {rng.choice(good)}") for i in range(90)]
+    rows = [(i, t, 1, "s") for i, t in texts] + [(None, "vile", 1, "s"), (1, None, 1, "s"), (2, "", 1, "s"), (2, "", 1, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y__ int, score string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    found = toxicity.report(docs, marks)
+    assert found.count() == 94 and found.where("score < 0 or score > 1 or score is null").count() == 0
+    assert toxicity.report(docs.where("false"), marks).count() == 0
+    assert {r.score for r in toxicity.report(docs, marks.where("false")).collect()} == {0.5}
+
+
+def test_packing_against_the_least_possible():
+    """Tiny cases: never more than one sequence above the optimum that a search of all packings finds, mostly none above."""
+    from tapeloom.llm import packing
+
+    rng = random.Random(12)
+
+    def optimum(sizes, capacity):
+        best = len(sizes)
+
+        def place(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(sizes):
+                best = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + sizes[i] <= capacity and bins[k] not in bins[:k]:
+                    place(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+            place(i + 1, [*bins, sizes[i]])
+
+        place(0, [])
+        return best
+
+    above = 0
+    for _ in range(150):
+        capacity = rng.choice([7, 10, 16])
+        sizes = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 10))), reverse=True)
+        plan = packing.make_plan(dict(collections.Counter(sizes)), capacity)
+        length, rank = np.array(sizes), np.array([sizes[:i].count(s) for i, s in enumerate(sizes)])
+        sequence, offset = plan.place(length, rank)
+        used = collections.defaultdict(list)
+        for s, at, n in zip(sequence.tolist(), offset.tolist(), sizes):
+            used[s].append((at, n))
+        for pieces in used.values():
+            pieces.sort()
+            assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(n for _, n in pieces) <= capacity
+        least = optimum(sizes, capacity)
+        assert least <= len(used) <= least + 1
+        above += len(used) > least
+    assert above <= 15
+
+
+def test_packing_of_odd_tables(spark, tables):
+    from tapeloom.llm import packing
+
+    path = tokenizer("byte_bpe_50k.json")
+    rows = [(1, "a b", 5, 6), (1, "a b", 5, 6), (None, None, 5, 6), (2, "", 5, 6), (3, "word " * 3000, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int, offset int")
+    got = packing.pack(docs, path).collect()
+    assert sorted(r.doc_id or 0 for r in got if r.piece == 0) == [0, 1, 1, 2, 3] and all(0 < r.length <= 1024 for r in got)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(v)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:])) for v in by.values())
+    assert packing.pack(docs.where("false"), path).count() == 0
