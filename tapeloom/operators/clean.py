@@ -282,17 +282,19 @@ def warnings_of(totals: DataFrame) -> DataFrame:
     return totals.where("n > 0").select(F.lit("warnings").alias("section"), note.alias("key"), F.lit(1).cast("bigint").alias("n")).where("key is not null")
 
 
-def audit(marked: DataFrame, warnings: Sequence[str] = ()) -> DataFrame:
+def audit(marked: DataFrame, warnings: Sequence[str] = (), warn_of_repeats: bool = True) -> DataFrame:
     """The whole report as (section, key, n); repeats are counted on kept rows, codes on all rows, each warning is told once.
 
-    ``marked`` is read more than once, so give it landed."""
+    ``marked`` is read more than once, so give it landed. Without ``warn_of_repeats`` their counts stand alone."""
     spark = marked.sparkSession
     counted = repeats(retained(marked))
     names = ("same_symbol_timestamp_ties", "identical_print_rows")
     totals = counted.select(
         F.inline(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in names]))
     )
-    report = audit_partials(marked).unionByName(totals).unionByName(warnings_of(totals))
+    report = audit_partials(marked).unionByName(totals)
+    if warn_of_repeats:
+        report = report.unionByName(warnings_of(totals))
     if warnings:
         given = spark.createDataFrame([("warnings", w, 1) for w in sorted(set(warnings))], "section string, key string, n bigint")
         report = report.unionByName(given)
