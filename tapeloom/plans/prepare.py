@@ -81,11 +81,14 @@ class Prepared:
 
     @property
     def report(self) -> DataFrame:
-        """The audit with all warnings: columns that were lacking, and sessions that were skipped or too short."""
+        """The audit with all warnings: repeats, columns that were lacking, and sessions that were skipped or too short."""
+        return self.audit()
+
+    def audit(self, warn_of_repeats: bool = True) -> DataFrame:
         self.sessions  # noqa: B018 - sees to its warnings
         n = events.short_sessions(self.trades, self.context).count()
         short = [f"{n} sessions have too few events and were dropped"] if n else []
-        return clean.audit(self.tape, [*self.column_warnings, *self.made["warnings"], *short])
+        return clean.audit(self.tape, [*self.column_warnings, *self.made["warnings"], *short], warn_of_repeats)
 
     @cached_property
     def usable_trades(self) -> DataFrame:
