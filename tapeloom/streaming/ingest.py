@@ -80,12 +80,13 @@ def update_tallies(spark: SparkSession, out: str) -> list[int]:
     return buckets
 
 
-def landed_audit(spark: SparkSession, out: str) -> DataFrame:
-    """Counters summed over batches, and the tallies of repeats, brought up to date first."""
+def landed_audit(spark: SparkSession, out: str, warn_of_repeats: bool = True) -> DataFrame:
+    """Counters summed over batches, and the tallies of repeats, brought up to date first; with ``warn_of_repeats`` also their warnings."""
     update_tallies(spark, out)
     counters = spark.read.parquet(f"{out}/counters").groupBy("section", "key").agg(F.sum("n").alias("n"))
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TALLIES]
     stored = spark.read.parquet(f"{out}/tallies") if exists(spark, f"{out}/tallies") else spark.createDataFrame([], ", ".join(f"{c} long" for c in TALLIES))
     pairs = F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in TALLIES])
     totals = stored.agg(*sums).select(F.inline(pairs))
-    return counters.unionByName(totals).unionByName(warnings_of(totals))
+    report = counters.unionByName(totals)
+    return report.unionByName(warnings_of(totals)) if warn_of_repeats else report

@@ -15,6 +15,6 @@ def copied(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["cleaning_audit", "prepared_audit"])
+@pytest.mark.parametrize("name", ["cleaning_audit", "prepared_audit", "streamed_audit"])
 def test_audits_of_repeated_prints(spark, copied, name):
     assert compare(spark, copied, name).startswith("ok")
