@@ -87,22 +87,28 @@ def parcels(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Several arrays as one value: their number, lengths in bytes, then their bytes, first bytes of all items before second ones.
+    """Several arrays as one value: their number, the items and used bytes of each, then first bytes of all items before second ones.
 
-    Small numbers thus leave long runs of zeros, which the exchange's own compression takes away.
+    A byte that is zero in all items is left out, so small numbers take little room before the exchange's own compression too.
     """
-    blobs = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays]
-    return b"".join([np.array([len(blobs), *map(len, blobs)], "<i8").tobytes(), *blobs])
+    head, blobs = [len(arrays)], []
+    for a in arrays:
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T if len(a) else np.zeros((0, 0), np.uint8)
+        used = np.flatnonzero(planes.any(axis=1))
+        head += [len(a), sum(1 << i for i in used.tolist())]
+        blobs.append(planes[used].tobytes())
+    return b"".join([np.array(head, "<u8").tobytes(), *blobs])
 
 
-def unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
-    head = np.frombuffer(payload, "<i8", len(kinds) + 1)
+def unpack(payload: bytes, *kinds: str | np.dtype) -> list[np.ndarray]:
+    head = np.frombuffer(payload, "<u8", 2 * len(kinds) + 1)
     at, out = 8 * len(head), []
-    for kind, size in zip(kinds, head[1:].tolist(), strict=True):
-        width_ = np.dtype(kind).itemsize
-        planes = np.frombuffer(payload, np.uint8, size, at).reshape(width_, -1)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
-        at += size
+    for kind, n, mask in zip(kinds, head[1::2].tolist(), head[2::2].tolist(), strict=True):
+        items = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        used = [i for i in range(items.shape[1]) if mask >> i & 1]
+        items[:, used] = np.frombuffer(payload, np.uint8, n * len(used), at).reshape(len(used), n).T
+        out.append(items.view(kind).reshape(-1))
+        at += n * len(used)
     return out
 
 

@@ -7,7 +7,7 @@
 ``a(u)`` makes the probabilities after ``u`` add up to one over all words and the unseen one; ``s(u)`` is 1 unless that would
 leave less than one count in ``c(u) + 1``. With a ``least`` of 1 every pair counts and all travel whole. With a larger one 32-bit keys of
 all pairs are exchanged first, and only pairs that may be frequent enough travel whole. Counts lie in tables partitioned by key. A chunk
-asks for each distinct word, pair and context once; a context as frequent as to fill a bucket is cut by the word that follows.
+asks for each distinct word, pair and context once, in the second exchange by the numbers that the first one gave the words; a context as frequent as to fill a bucket is cut by the word that follows.
 """
 
 from __future__ import annotations
@@ -98,19 +98,22 @@ class Chunk:
     def learn(self, found: dict, buckets: int, documents: int, least: int) -> None:
         """Corpus counts of the words, which pairs may be frequent enough, and the distinct contexts worth asking for."""
         self.count = np.zeros(len(self.words), np.int64)
+        self.number = np.zeros(len(self.words), np.uint64)
         for b, p in parts_of(self.words, buckets):
-            (self.count[p],) = unpack(found[_WORDS, b], "<u8")
+            self.count[p], rank = unpack(found[_WORDS, b], "<u8", "<u4")
+            self.number[p] = rank.astype(np.uint64) * np.uint64(buckets) + np.uint64(b + 1)
         again = np.full(len(self.pairs), least <= 1)
         for b, p in parts_of(self.pairs, buckets) if least > 1 else ():
             again[p] = np.unpackbits(np.frombuffer(found[_PAIRS, b], np.uint8), count=p.stop - p.start)
         self.contexts, self.pair_nth = np.unique(self.pair_context, return_inverse=True)
         place = np.minimum(np.searchsorted(self.words, self.contexts), max(0, len(self.words) - 1))
         self.context_count = np.where(self.contexts == _BEGIN, documents, self.count[place] if len(self.words) else 0)
+        self.context_number = np.where(self.contexts == _BEGIN, np.uint64(0), self.number[place] if len(self.words) else np.uint64(0))
         self.least = least
         self.chosen = np.flatnonzero(again & (self.context_count[self.pair_nth] >= least))
 
     def requests(self, buckets: int, total: int):
-        """Per bucket: its contexts (numbers) and its chosen pairs, both in order of the context's hash."""
+        """Per bucket: its contexts and its chosen pairs, in order of the numbers of the contexts and of the pairs' words."""
         asked = np.flatnonzero(self.context_count >= self.least)
         cuts = _cuts(self.context_count[asked], buckets, total)
         context = np.repeat(asked, cuts)
@@ -119,8 +122,8 @@ class Chunk:
         own = _cuts(self.context_count[self.pair_nth[self.chosen]], buckets, total)
         turn = (mix(self.words[self.pair_word[self.chosen]] ^ np.uint64(3)) % own.astype(np.uint64)).astype(np.int64)
         pair_bucket = _bucket(self.pair_context[self.chosen], turn, buckets)
-        pair_order = np.lexsort((self.words[self.pair_word[self.chosen]], self.pair_nth[self.chosen], pair_bucket))
-        context_order = np.lexsort((context, context_bucket))
+        pair_order = np.lexsort((self.context_number[self.pair_nth[self.chosen]], self.number[self.pair_word[self.chosen]], pair_bucket))
+        context_order = np.lexsort((self.context_number[context], context_bucket))
         context, context_bucket = context[context_order], context_bucket[context_order]
         again = np.zeros(len(context), bool)  # two cuts of a context may fall into one bucket
         again[1:] = (context[1:] == context[:-1]) & (context_bucket[1:] == context_bucket[:-1])
@@ -134,12 +137,24 @@ class Chunk:
     def ask_counts(self, buckets: int, total: int) -> list[tuple[int, int, bytes]]:
         out = []
         for b, contexts, pairs in self.requests(buckets, total):
-            each = np.searchsorted(self.pair_nth[pairs], contexts, "right") - np.searchsorted(self.pair_nth[pairs], contexts)
+            known = self.context_number[contexts]
+            at = np.searchsorted(known, self.context_number[self.pair_nth[pairs]])
             word = self.pair_word[pairs]
-            out.append((b, _COUNTS, pack(steps(self.contexts[contexts]), each.astype("<u4"), self.words[word], self.pair_counts[pairs].astype("<u4"), self.count[word].astype("<u8"))))
+            out.append((b, _COUNTS, pack(steps(known), at.astype("<u4"), steps(self.number[word]), self.pair_counts[pairs].astype("<u4"), _turned(self.count[word]))))
         return out
 
 
+def _turned(counts: np.ndarray) -> np.ndarray:
+    """Differences of counts with the sign as their last bit: words come by rank, so most are small."""
+    d = np.diff(counts, prepend=np.int64(0))
+    return ((d << 1) ^ (d >> 63)).astype("<u8")
+
+
+def _turned_back(differences: np.ndarray) -> np.ndarray:
+    z = differences.astype(np.int64)
+    return np.cumsum((z >> 1) ^ -(z & 1))
+
+
 def _cuts(counts: np.ndarray, buckets: int, total: int) -> np.ndarray:
     """Into how many parts a context is cut: as many as it would fill quarters of a bucket."""
     return np.minimum(1 + (4.0 * buckets * counts / max(total, 1)).astype(np.int64), buckets)
@@ -158,7 +173,10 @@ def _reply_first(least: int):
             totals = np.zeros(len(keys), np.int64)
             np.add.at(totals, where, np.concatenate([n for *_, n in sent]).astype(np.int64))
             ends = np.cumsum([len(k) for _, k, _ in sent])
-            out += [(chunk, _WORDS, pack(totals[w].astype("<u8"))) for (chunk, *_), w in zip(sent, np.split(where, ends[:-1]), strict=True)]
+            # From here on a word is its rank by count in this bucket: ranks are short, and sorted ones have close counts.
+            rank = np.empty(len(keys), np.int64)
+            rank[np.argsort(-totals, kind="stable")] = np.arange(len(keys))
+            out += [(chunk, _WORDS, pack(totals[w].astype("<u8"), rank[w].astype("<u4"))) for (chunk, *_), w in zip(sent, np.split(where, ends[:-1]), strict=True)]
             stats[0], stats[1] = totals.sum(), (totals > 0).sum()
             stats[2:] = [(totals == r).sum() for r in range(1, HIGHEST + 2)]
         if sent := [(chunk, *unpack(payload, "<u4", "u1", "u1")) for chunk, payload in got.get(_PAIRS, [])]:
@@ -181,8 +199,8 @@ def _reply_first(least: int):
 def _reply_counts(unigrams: Unigrams, least: int):
     def reply(bucket: int, got: dict) -> list[tuple[int, int, bytes]]:
         sent = [(chunk, *unpack(payload, "<u8", "<u4", "<u8", "<u4", "<u8")) for chunk, payload in got.get(_COUNTS, [])]
-        sent = [(chunk, whole(contexts), *more) for chunk, contexts, *more in sent]
-        context = np.concatenate([np.repeat(c, n) for _, c, n, *_ in sent])
+        sent = [(chunk, whole(contexts), at, whole(words), n, _turned_back(alone)) for chunk, contexts, at, words, n, alone in sent]
+        context = np.concatenate([c[at] for _, c, at, *_ in sent])
         word, count, alone = (np.concatenate([x[i] for x in sent]) for i in (3, 4, 5))
         order = np.lexsort((word, context))
         new = np.ones(len(order), bool)
@@ -204,7 +222,7 @@ def _reply_counts(unigrams: Unigrams, least: int):
         for chunk, contexts, _, words, *_ in sent:
             place = np.minimum(np.searchsorted(keys, contexts), max(0, len(keys) - 1))
             has = keys[place] == contexts if len(keys) else np.zeros(len(contexts), bool)
-            out.append((chunk, _COUNTS, pack(everywhere[at : at + len(words)].astype("<u8"), np.packbits(has), known[place[has]].view(np.uint8))))
+            out.append((chunk, _COUNTS, pack(everywhere[at : at + len(words)].astype("<u8"), np.packbits(has), known[place[has]])))
             at += len(words)
         return out
 
@@ -250,10 +268,9 @@ def scored(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", le
         pair = np.zeros(len(chunk.pairs), np.int64)
         taken, share = np.zeros(len(chunk.contexts)), np.zeros(len(chunk.contexts))
         for b, contexts, pairs in chunk.requests(buckets, unigrams.total):
-            counts, bits, rows = unpack(found[_COUNTS, b], "<u8", "u1", "u1")
+            counts, bits, rows = unpack(found[_COUNTS, b], "<u8", "u1", _CONTEXT)
             pair[pairs] = counts
             has = contexts[np.unpackbits(bits, count=len(contexts)).astype(bool)]
-            rows = rows.view(_CONTEXT)
             taken[has] += rows["few"] @ (factors[1 : HIGHEST + 1] * np.arange(1, HIGHEST + 1)) + rows["more"]
             share[has] += rows["share"]
         count = np.maximum(chunk.context_count, 1)
