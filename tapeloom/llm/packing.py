@@ -29,6 +29,8 @@ CAPACITY = 1024
 END = 2
 #: Words whose ids a task remembers.
 REMEMBERED = 250_000
+#: New words that are encoded as one text.
+TOGETHER = 1_000
 
 _UNEVEN = re.compile(r" (?![^\s\x1c-\x1f])")
 _CUT = re.compile(r" (?=[^\s\x1c-\x1f])")
@@ -45,10 +47,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # Bytes of text that each id stands for: a byte-level token has one character for each.
+        sizes = {i: len(token) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        sizes |= {i: len(token.content.encode()) for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.sizes = np.zeros(max(sizes, default=0) + 1, np.int64)
+        self.sizes[list(sizes)] = list(sizes.values())
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The same for words with a space in front: many as one text, whose ids are told apart by the bytes they stand for."""
+        runs = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        encoded = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in encoded]) if runs else np.zeros(0, "<u4")
+        ends = np.cumsum([len(w.encode()) for w in words], dtype=np.int64)
+        reached = np.cumsum(self.sizes[ids])
+        at = np.searchsorted(reached, ends)
+        if len(words) and not (len(ids) and reached[-1] == ends[-1] and np.array_equal(reached[at], ends)):
+            return self._encode(words)  # some token does not stand for the bytes of its text
+        blob, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        return [blob[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit numbers; pieces that are new are encoded together."""
         cut = [_CUT.split(t) if _UNEVEN.search(t) else t.split(" ") for t in texts]
@@ -56,7 +76,7 @@ class Encoder:
         known = self.known
         room = max(0, REMEMBERED - len(known))
         new = list(set().union(*cut).difference(known))
-        made = dict(zip(new, self._encode([f" {w}" for w in new]), strict=True))
+        made = dict(zip(new, self._encode_words([f" {w}" for w in new]), strict=True))
         known.update(made)
         out = [b"".join([head, *map(known.__getitem__, words)]) for head, words in zip(heads, cut, strict=True)]
         for w in new[room:]:

@@ -1,9 +1,10 @@
-"""Sizes of what operators exchange."""
+"""Sizes of what operators exchange, and calls of the libraries they use."""
 
 import numpy as np
 import pyarrow as pa
 
-from tapeloom.llm import katz
+from tapeloom.llm import katz, packing
+from tapeloom.llm.queries import tokenizer
 
 
 def exchanged(chunks: list[pa.Table], buckets: int = 16) -> tuple[int, int]:
@@ -40,3 +41,21 @@ def test_pairs_of_lm_scoring_travel_by_numbers_of_their_words():
         chunks.append(pa.table({"doc_id": pa.array(range(60 * k, 60 * k + 60), pa.int64()), "text": texts, "held_out": [False] * 60}))
     pairs, size = exchanged(chunks)
     assert size < 8 * pairs
+
+
+def test_new_words_of_packing_are_encoded_together():
+    """Few texts reach the library, and ids are those of whole texts, odd blanks and special strings among them."""
+    encoder = packing.Encoder(tokenizer("byte_bpe_50k.json"))
+    words = [f"Wort{i}" for i in range(3_000)] + ["naïve", "x\ny\n\n", "<|endoftext|>", "a<|endoftext|>b", "😀", "don't", "é\u0301", "\x1c", "\u00a0z", "…"]
+    texts = [" ".join(words[k::7]) for k in range(7)] + ["  two  blanks ", "", "\n lines \n\n  of \t text ", "tail  ", " ", "\x1c y", "<|endoftext|> <|endoftext|>"]
+    library, calls = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, batch, **options):
+            calls.append(len(batch))
+            return library.encode_batch_fast(batch, **options)
+
+    encoder.tokenizer = Counted()
+    got = encoder.many(texts)
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sum(calls) <= len(texts) + 10
