@@ -16,12 +16,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..runtime import land, shared_dir
 from .scan import settle, text_bytes
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 6 << 20
+#: Bits of a row number that tell the rows of a chunk apart; the bits above them are the chunk's number.
+PLACE_BITS = 20
 
 
 def buckets_of(spark: SparkSession) -> int:
@@ -34,8 +38,8 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunked(docs: DataFrame, nbytes: int | None = None, **columns) -> DataFrame:
-    """Land ``docs`` with a row number ``rid`` and a ``chunk`` number, bucketed by chunk.
+def chunked(docs: DataFrame, nbytes: int | None = None, nrows: int = 1 << PLACE_BITS, **columns) -> DataFrame:
+    """Land ``docs`` with a row number ``rid`` and a ``chunk`` number, bucketed by chunk; ``rid`` follows the order of reading.
 
     ``columns`` maps new names to columns of ``docs``; ``doc_id`` and ``text`` must be among them. Numbers are made
     once and landed, so that tasks that run again after the loss of an executor see the same ones.
@@ -43,24 +47,24 @@ def chunked(docs: DataFrame, nbytes: int | None = None, **columns) -> DataFrame:
     limit = nbytes or CHUNK_BYTES
     spark = docs.sparkSession
     chosen = docs.select(*[c.alias(name) for name, c in columns.items()])
-    schema = "chunk long, rid long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
+    numbers = [StructField("chunk", LongType()), StructField("rid", LongType())]
+    schema = StructType(numbers + [StructField(f.name, f.dataType) for f in chosen.schema])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        rows, part, filled = 0, 0, 0
+        part, filled, rows = 0, 0, 0
         for batch in batches:
             sizes = np.diff(text_bytes(batch.column("text"))[1])
-            chunk = np.empty(len(sizes), np.int64)
+            chunk, place = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
             for i, size in enumerate(sizes.tolist()):
-                if filled and filled + size > limit:
-                    part, filled = part + 1, 0
-                filled += size
-                chunk[i] = part
+                if rows == nrows or filled and filled + size > limit:
+                    part, filled, rows = part + 1, 0, 0
+                chunk[i], place[i] = part, rows
+                filled, rows = filled + size, rows + 1
             chunk += task << 20
-            rid = (np.int64(task) << 40) + rows + np.arange(len(sizes), dtype=np.int64)
-            rows += len(sizes)
+            rid = (chunk << PLACE_BITS) + place
             yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(rid), *batch.columns], ["chunk", "rid", *batch.schema.names])
 
     name = f"tapeloom_chunks_{uuid.uuid4().hex}"
@@ -73,6 +77,13 @@ def chunked(docs: DataFrame, nbytes: int | None = None, **columns) -> DataFrame:
     return spark.table(name)
 
 
+def picked(landed: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of a landed table whose ``rid`` is in ``ids``. The ids alone are dealt out, as one list for each chunk; the table's rows stay
+    in their buckets, however many ids there are."""
+    listed = ids.select(F.shiftright("rid", PLACE_BITS).alias("chunk"), "rid").groupBy("chunk").agg(F.collect_set("rid").alias("rids__"))
+    return landed.join(listed.hint("shuffle_hash"), "chunk").where(F.array_contains("rids__", F.col("rid"))).drop("rids__")
+
+
 #: Documents of a chunk are always seen in this order; rows without an id come last.
 ORDER = [("doc_id", "ascending"), ("rid", "ascending")]
 

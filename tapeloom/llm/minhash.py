@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import land
+from .chunks import chunked, picked
 from .scan import SPACED, mix, scan, sequence_hash, slices, text_bytes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -31,6 +32,8 @@ BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
 #: Groups of a band up to this size give all their pairs.
 SMALL = 12
+#: Texts stay where they are landed, in chunks of at most so many bytes and rows.
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 4096
 #: A block of a larger group has about so many members and shingles at most.
 BLOCK, BLOCK_SHINGLES = 256, 250_000
 #: Shingles of at most so many members of a block are counted pair by pair, others by products of matrices.
@@ -215,7 +218,7 @@ def overlaps(element: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 def joining(blocks: DataFrame, texts: DataFrame, similar: float, weighted: bool) -> DataFrame:
     """Links ``a < b`` that join the components of each block's members: all pairs of a block are compared on their whole texts."""
-    texts = texts.join(blocks.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi")
+    texts = picked(texts, blocks.select(F.col("rep").alias("rid")))
     both = blocks.join(texts.select(F.col("rid").alias("rep"), "text"), "rep").select("block", "rep", "root", "text")
 
     def compare(table):
@@ -250,10 +253,10 @@ def joining(blocks: DataFrame, texts: DataFrame, similar: float, weighted: bool)
 
 def links(pairs: DataFrame, texts: DataFrame, similar: float, weighted: bool) -> DataFrame:
     """The pairs whose whole texts have a similarity of at least ``similar``."""
-    # Only texts that are in a pair are dealt out.
-    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid", "left_semi")
+    # Only texts that are in a pair are dealt out. A star's centre is always ``a``; its pairs are checked where their ``b`` is.
+    texts = picked(texts, pairs.select(F.explode(F.array("a", "b")).alias("rid")))
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def check(batches):
         for batch in (s for b in batches for s in slices(b, "text_b")):
@@ -295,21 +298,26 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _held(docs: DataFrame, text: str) -> dict[str, str]:
+    """Names that the columns of ``docs`` have in the landed table, where they clash with no others."""
+    return {c: "text" if c == text else f"c{i}" for i, c in enumerate(docs.columns)}
+
+
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``docs`` landed as ``row`` with a row number ``rid``, and per ``rid`` its class.
+    """``docs`` landed in chunks with a row number ``rid`` and columns named by ``_held``, and per ``rid`` its class.
 
-    The second table has ``rid, class_id`` (least id of the class), ``keep`` (one row of each class) and ``n_links`` (checked links of
+    The second table has ``rid, id, class_id`` (least id of the class), ``keep`` (one row of each class) and ``n_links`` (checked links of
     the row's set to different sets; in a larger group those that join its class, not all that there are). Rows whose shingle sets are equal are one class without being paired; texts without words,
     null ones too, are alone, each its own class. Ties of ids are broken by the order of reading; a null id comes last.
     ``weighted`` counts a shingle as often as it occurs.
     """
-    landed = land(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "docs")
-    named = landed.select("rid", F.col("row")[id].cast("long").alias("id__"), F.col("row")[text].alias("text"))
-    facts = land(described(named, weighted), "sets")
+    held = {name: F.col(f"`{c}`") for c, name in _held(docs, text).items()}
+    landed = chunked(docs, CHUNK_BYTES, CHUNK_ROWS, **{"doc_id": F.col(f"`{id}`").cast("long"), **held})
+    facts = land(described(landed.select("rid", F.col("doc_id").alias("id__"), "text"), weighted), "sets")
     order = F.struct(F.col("id__").isNull().alias("n"), F.col("id__").alias("i"), F.col("rid").alias("r"))
     sets = facts.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rep"), F.min(order).alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     sets = land(sets, "representatives")
-    texts = named.select("rid", "text")
+    texts = landed.select("chunk", "rid", "text")
     pairs, large = candidate_pairs(sets, similar)
     found = land(links(land(pairs, "pairs"), texts, similar, weighted), "edges")
     roots = components(found)
@@ -329,19 +337,19 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: fl
     result = facts.select("rid", "id__", "set_key").join(by_set, "set_key", "left")
     alone = F.col("head").isNull()
     return landed, result.select(
-        "rid", F.when(alone, F.col("id__")).otherwise(F.col("head.i")).alias("class_id"),
+        "rid", F.col("id__").alias("id"), F.when(alone, F.col("id__")).otherwise(F.col("head.i")).alias("class_id"),
         (alone | (F.col("head.r") == F.col("rid"))).alias("keep"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
-def clean_rows(docs: DataFrame, **options) -> DataFrame:
+def clean_rows(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """One row of each class, with all columns of ``docs``."""
-    landed, found = classes(docs, **options)
-    return landed.join(found.where("keep").select("rid"), "rid", "left_semi").select("row.*")
+    landed, found = classes(docs, text=text, **options)
+    kept = picked(landed, found.where("keep").select("rid"))
+    return kept.select(*[F.col(name).alias(c) for c, name in _held(docs, text).items()])
 
 
 def report(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """One row per document: its class, whether it is the one that stays, and its set's links to different sets."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    landed, found = classes(chosen, weighted=weighted)
-    return landed.select("rid", "row.doc_id").join(found, "rid").select("doc_id", "class_id", "keep", "n_links")
+    found = classes(docs.select("doc_id", "text"), weighted=weighted)[1]
+    return found.select(F.col("id").alias("doc_id"), "class_id", "keep", "n_links")
